@@ -5,18 +5,30 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, wavelet
+from . import html_density, ogg, packing, warc, wavelet
 from .common import read_table
 
 
+def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.read_media(ogg.write_media(read_table(spark, sf_dir, "documents")))
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
+
+
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return wavelet.read_shards(shards)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op9_wavelet_shards)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op4_html_main_text, op5_best_fit_packing, op7_warc_chunks, op9_wavelet_shards)}
 ORACLE_SQL: dict[str, str] = {}
