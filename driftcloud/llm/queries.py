@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, ogg, packing, warc, wavelet
+from . import html_density, line_spread, ogg, packing, target_quality, warc, wavelet
 from .common import read_table
 
 
@@ -21,6 +21,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = target_quality.score_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return scored.drop("text")
+
+
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
 
@@ -30,5 +35,21 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(shards)
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op4_html_main_text, op5_best_fit_packing, op7_warc_chunks, op9_wavelet_shards)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_spread.remove_spread_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ogg_media,
+        op4_html_main_text,
+        op5_best_fit_packing,
+        op6_quality_llr,
+        op7_warc_chunks,
+        op9_wavelet_shards,
+        op10_line_spread,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op10_line_spread": line_spread.ORACLE}
