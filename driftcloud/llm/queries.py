@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, line_spread, ogg, packing, target_quality, warc, wavelet
+from . import html_density, line_spread, minhash, ogg, packing, target_quality, warc, wavelet
 from .common import read_table
 
 
@@ -13,6 +13,10 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.write_media(read_table(spark, sf_dir, "documents")))
 
 
+def op2_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_main_text(read_table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ogg_media,
+        op2_minhash_components,
         op4_html_main_text,
         op5_best_fit_packing,
         op6_quality_llr,

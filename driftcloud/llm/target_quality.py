@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import text_or_empty
 
-BUCKETS, TRUSTED_DOCS, SMOOTHING, THRESHOLD = 16_384, 20_000, 1.0, -0.1
+BUCKETS, TRUSTED_DOCS, SMOOTHING, THRESHOLD = 16_384, 20_000, 1.0, -0.05
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Up to so many repeated windows, membership is tested one by one; beyond, windows are sorted.
 FEW_REPEATED = 32
