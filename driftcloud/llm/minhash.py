@@ -4,9 +4,10 @@ A document's word shingles are hashed once; the hash's top bits name a bin and e
 bins copy a full bin that a shared sequence of random probes finds (optimal densification).  Signatures are cut into
 bands; a band's value is a bucket.  Documents with the same shingle set form a class first, and only one of each class
 goes on.  A bucket's candidate edges form a star around its smallest member, so their number is linear in its size; every
-edge is confirmed on full sets.  Members of a bucket that are still in different components afterwards are compared
-around further hubs, until each bucket is one component or all of its members have been hubs: no link inside a bucket is
-lost.  With 32 bands of 4 bins, a pair at similarity 0.8 shares no bucket with a chance of about 5e-8.
+edge is confirmed on full sets.  Where members of a bucket are in different components afterwards, those that have too few
+shingles in common with all the rest to be similar to any are settled; the others are compared around further hubs, four
+times as many each round, until each bucket is one component or all of its members have been hubs: no link inside a
+bucket is lost.  With 32 bands of 4 bins, a pair at similarity 0.8 shares no bucket with a chance of about 5e-8.
 
 Shingles are identified by 64-bit hashes and whole sets by 128 bits.  Defined results: a null or blank text has an empty set and is
 linked with nothing; a text shorter than a shingle is one shingle; equal texts are linked; rows with an equal doc_id share
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_batches, stored, text_or_empty
 
@@ -145,6 +146,15 @@ def _packed_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, shingles binary")
 
 
+def _shingle_rows(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"], words)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc_id, np.int64)), pa.array(s.astype(np.int64))], ["doc_id", "g"])
+
+    return map_batches(docs, run, "doc_id long, g long")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full sets are similar enough; ``docs`` has one row of text per doc_id."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -185,17 +195,37 @@ def _residual(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed, "bucket", "left_semi")
 
 
-def _star(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Edges around each bucket's smallest member that set sizes allow, and the members without the hubs."""
-    known = "component" in members.columns
-    hub = F.min(F.struct("rep", "n", *["component"] * known)).alias("hub")
-    hubs = members.groupBy("bucket").agg(hub, F.count("*").alias("size")).where("size > 1").select("bucket", "hub")
-    rest = members.join(hubs, "bucket").where("rep <> hub.rep")
+def _without_lonely(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Drops from mixed buckets the documents that no other text in them can be similar to.
+
+    ``percent`` of the union needs common >= p / (1 + p) * (size + other size), and what a document has in common with
+    any other is at most the number of its shingles that some other document of these buckets has.
+    """
+    p = percent / 100
+    sizes = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    need = members.join(sizes, "bucket").withColumn("need", p / (1 + p) * (F.col("n") + F.greatest("least", p * F.col("n"))))
+    docs = members.select(F.col("rep").alias("doc_id")).distinct()
+    shingles = _shingle_rows(texts.join(docs, "doc_id", "left_semi"), words)
+    common = shingles.groupBy("g").agg(F.count("*").alias("docs")).where("docs > 1").select("g")
+    shared = stored(shingles.join(common, "g").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("shared")))
+    return need.join(shared, "rep").where(F.col("shared") + 1e-6 >= F.col("need")).select("bucket", "rep", "n", "component")
+
+
+def _star(members: DataFrame, percent: int, hubs_each: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Edges around each bucket's smallest members that set sizes allow, and the members without these hubs."""
+    if hubs_each == 1:
+        hubs = members.groupBy("bucket").agg(F.min(F.struct(*[c for c in members.columns if c != "bucket"])).alias("hub"), F.count("*").alias("size")).where("size > 1").select("bucket", "hub")
+        rest = members.join(hubs, "bucket").where("rep <> hub.rep")
+        both = rest
+    else:
+        ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
+        hubs = ranked.where(F.col("rank") <= hubs_each).select("bucket", F.struct("rep", "n", "component").alias("hub"))
+        rest = ranked.where(F.col("rank") > hubs_each)
+        both = members.join(hubs, "bucket").where("hub.rep < rep")
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    if known:
+    if "component" in members.columns:
         fits = fits & (F.col("component") != F.col("hub.component"))
-    pairs = rest.where(fits).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    return pairs, rest.select("bucket", "rep", "n")
+    return both.where(fits).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), rest.select("bucket", "rep", "n")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -205,9 +235,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     reps = stored(sketched.where("size(buckets) > 0").join(classes, ["k1", "k2", "n"]).where("doc_id = rep").select("rep", "n", "buckets").dropDuplicates(["rep"]))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
     members = reps.select(F.explode("buckets").alias("bucket"), "rep", "n")
-    edges, labels, tested = None, None, None
+    edges, labels, tested, hubs_each = None, None, None, 1
     while True:
-        pairs, rest = _star(members, percent)
+        pairs, rest = _star(members, percent, hubs_each)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             new = stored(confirm(pairs, texts, words, percent))
@@ -216,9 +246,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
             tested = pairs if tested is None else tested.unionByName(pairs)
         elif labels is None:
             break
-        members = stored(_residual(rest, labels))
-        if members.isEmpty():
+        mixed = stored(_residual(rest, labels))
+        if hubs_each == 1 and not mixed.isEmpty():
+            mixed = stored(_residual(_without_lonely(mixed, texts, words, percent).drop("component"), labels))
+        if mixed.isEmpty():
             break
+        members, hubs_each = mixed, 4 * hubs_each
     result = sketched.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     if labels is not None:
         result = result.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
