@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, line_spread, minhash, ogg, packing, target_quality, warc, wavelet
+from . import ctw, html_density, line_spread, minhash, ogg, packing, target_quality, viterbi, warc, wavelet
 from .common import read_table
 
 
@@ -17,6 +17,10 @@ def op2_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.encode_and_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_main_text(read_table(spark, sf_dir, "pages"))
 
@@ -34,6 +38,10 @@ def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
 
 
+def op8_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return wavelet.read_shards(shards)
@@ -49,10 +57,12 @@ QUERIES = {
     for f in (
         op1_ogg_media,
         op2_minhash_components,
+        op3_sentencepiece_viterbi,
         op4_html_main_text,
         op5_best_fit_packing,
         op6_quality_llr,
         op7_warc_chunks,
+        op8_ctw_scores,
         op9_wavelet_shards,
         op10_line_spread,
     )
