@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +34,20 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_own_scratch: dict[str, str] = {}
+
+
+def saved(df):
+    """``df`` written once as Parquet below spark.checkpoint.dir and read back; a local session without it gets a folder of its own."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_scratch.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="driftcloud-scratch-"))
+    path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
