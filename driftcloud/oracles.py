@@ -1 +1,131 @@
-ORACLE_SQL = {}
+"""DuckDB statements of the registered queries, written apart from the operators (windows by offsets, not dilation; plain joins)."""
+
+from __future__ import annotations
+
+from . import fixtures
+from .params import COARSE, Params
+
+P, G = Params(grid=COARSE), COARSE
+
+
+def _d(x: float) -> str:
+    return f"{x!r}::double"
+
+
+def _eps(depth: str, base: float, a) -> str:
+    return f"greatest({_d(a.least)}, least({_d(a.most)}, case when {depth} > {_d(a.threshold)} then {_d(base)} * (1 + {_d(a.slope)} * ({depth} - {_d(a.threshold)})) else {_d(base)} end))"
+
+
+def _projected(source: str, keys: str) -> str:
+    """CTE body: rows of ``source`` (gx, gy, gz, scene_id, di) in image di."""
+    edge = 1e-6
+    fov = f"phi between {_d(G.phi_min - edge)} and {_d(G.phi_max + edge)} and theta between {_d(G.theta_min - edge)} and {_d(G.theta_max + edge)}"
+    return f"""(
+  select {keys}, depth, phi, theta, coalesce({fov}, false) as in_fov,
+    case when {fov} then greatest(0, least({G.height - 1}, floor((theta - {_d(G.theta_min)}) / {_d(G.v_res)})::int)) end as v,
+    case when {fov} then greatest(0, least({G.width - 1}, floor((phi - {_d(G.phi_min)}) / {_d(G.h_res)})::int)) end as h
+  from (select {keys}, depth, case when depth > 1e-6 then atan2(ly, lx) end as phi, case when depth > 1e-6 then asin(greatest(-1, least(1, lz / depth))) end as theta
+    from (select *, sqrt(lx * lx + ly * ly + lz * lz) as depth
+      from (select q.*, r00 * q.gx + r10 * q.gy + r20 * q.gz - (r00 * tx + r10 * ty + r20 * tz) as lx, r01 * q.gx + r11 * q.gy + r21 * q.gz - (r01 * tx + r11 * ty + r21 * tz) as ly,
+              r02 * q.gx + r12 * q.gy + r22 * q.gz - (r02 * tx + r12 * ty + r22 * tz) as lz
+            from {source} q join sweeps s on s.scene_id = q.scene_id and s.sweep_idx = q.di))))"""
+
+
+_BASE = f"""with sweeps as materialized ({fixtures.SWEEPS_DUCK}),
+points as materialized ({fixtures.POINTS_DUCK}),
+kept as (select *, sqrt(x * x + y * y + z * z) as rng from points where sqrt(x * x + y * y + z * z) between {_d(P.min_range)} and {_d(P.max_range)}),
+gpoints as materialized (select k.scene_id, k.sweep_idx, k.point_idx, k.x, k.y, k.z, k.rng, r00 * x + r01 * y + r02 * z + tx as gx, r10 * x + r11 * y + r12 * z + ty as gy, r20 * x + r21 * y + r22 * z + tz as gz
+  from kept k join sweeps using (scene_id, sweep_idx))"""
+_OWN = f"""{_BASE},
+own_in as (select *, sweep_idx as di from gpoints),
+own as materialized {_projected("own_in", "scene_id, sweep_idx, point_idx, di")},
+image as materialized (select scene_id, di, v, h, min(depth) as min_depth, max(depth) as max_depth, count(*) as n from own where in_fov group by all)"""
+_OFFSETS = f"(select * from (select unnest(range({-P.window_v}, {P.window_v + 1})) as dv) cross join (select unnest(range({-P.window_h}, {P.window_h + 1})) as dh))"
+_DILATED = f"""{_OWN},
+cells as (select unnest(range({G.height})) as v), columns_ as (select unnest(range({G.width})) as h),
+dilated as materialized (select i.scene_id, i.di, c.v, k.h, min(min_depth) as min_depth, max(max_depth) as max_depth, sum(n)::bigint as n
+  from image i join cells c on c.v between i.v - {P.window_v} and i.v + {P.window_v} join columns_ k on k.h between i.h - {P.window_h} and i.h + {P.window_h} group by all)"""
+_COARSE_LABELS = f"""{_DILATED},
+steps as (select unnest(range(1, {P.frames + 1})) as k),
+asked as (select g.*, k, g.sweep_idx - k as di from gpoints g, steps where g.sweep_idx >= {P.init_sweeps - 1} and g.sweep_idx - k >= 0
+  and exists (select 1 from gpoints o where o.scene_id = g.scene_id and o.sweep_idx = g.sweep_idx - k)),
+seen as materialized {_projected("asked", "scene_id, sweep_idx, point_idx, k, di")},
+around as (select s.scene_id, s.sweep_idx, s.point_idx, s.k, any_value(s.in_fov) as in_fov, any_value(s.depth) as depth, min(i.min_depth) as least
+  from seen s left join {_OFFSETS} o on s.in_fov left join image i on i.scene_id = s.scene_id and i.di = s.di and i.v = s.v + o.dv and i.h = s.h + o.dh group by all),
+coarse as materialized (select scene_id, sweep_idx, point_idx, k, case when not in_fov then 1 when least is null then 2 when depth < least - {_d(P.epsilon)} then 0 else 1 end::tinyint as label from around)"""
+_VOTED = f"""{_COARSE_LABELS},
+votes as (select scene_id, sweep_idx, point_idx, max(label) filter (k = 1) as previous, count(*) filter (label = 0) as votes from coarse group by all),
+voted as materialized (select g.scene_id, g.sweep_idx, g.point_idx, (case when votes >= {P.vote} then 0 else coalesce(previous, 3) end)::tinyint as label
+  from gpoints g left join votes using (scene_id, sweep_idx, point_idx) where g.sweep_idx >= {P.init_sweeps - 1})"""
+_BOXES = f""",
+ann as materialized (select *, row_number() over (partition by scene_id, instance_id order by ts_us) as r from ({fixtures.ANNOTATIONS_DUCK})),
+vel as materialized (select a.*,
+    coalesce(case when n.ts_us - p.ts_us <= 3000000 and n.ts_us - p.ts_us > 1000 then (n.tx - p.tx) / ((n.ts_us - p.ts_us) / 1e6) end, case when a.ts_us - p.ts_us > 1000 then (a.tx - p.tx) / ((a.ts_us - p.ts_us) / 1e6) end, case when n.ts_us - a.ts_us > 1000 then (n.tx - a.tx) / ((n.ts_us - a.ts_us) / 1e6) end, 0) as vx,
+    coalesce(case when n.ts_us - p.ts_us <= 3000000 and n.ts_us - p.ts_us > 1000 then (n.ty - p.ty) / ((n.ts_us - p.ts_us) / 1e6) end, case when a.ts_us - p.ts_us > 1000 then (a.ty - p.ty) / ((a.ts_us - p.ts_us) / 1e6) end, case when n.ts_us - a.ts_us > 1000 then (n.ty - a.ty) / ((n.ts_us - a.ts_us) / 1e6) end, 0) as vy, 0::double as vz
+  from ann a left join ann p on p.scene_id = a.scene_id and p.instance_id = a.instance_id and p.r = a.r - 1 left join ann n on n.scene_id = a.scene_id and n.instance_id = a.instance_id and n.r = a.r + 1),
+pairs as (select s.scene_id, s.sweep_idx, s.ts_us as t, i.instance_id from sweeps s join (select distinct scene_id, instance_id from ann) i using (scene_id)),
+found as (select q.*, (select max(ts_us) from ann a where a.scene_id = q.scene_id and a.instance_id = q.instance_id and a.ts_us <= t) as pt, (select min(ts_us) from ann a where a.scene_id = q.scene_id and a.instance_id = q.instance_id and a.ts_us >= t) as nt from pairs q),
+joined as (select f.scene_id, f.sweep_idx, f.instance_id, f.t, f.pt, f.nt, p.tx as px, p.ty as py, p.tz as pz, p.qw as pw, p.qz as pq, n.tx as nx, n.ty as ny, n.tz as nz, n.qw as nw, n.qz as nq, coalesce(p.vx, n.vx) as ex, coalesce(p.vy, n.vy) as ey,
+    coalesce(p.w, n.w) as w, coalesce(p.l, n.l) as l, coalesce(p.h, n.h) as h
+  from found f left join vel p on p.scene_id = f.scene_id and p.instance_id = f.instance_id and p.ts_us = f.pt left join vel n on n.scene_id = f.scene_id and n.instance_id = f.instance_id and n.ts_us = f.nt),
+methods as (select *, case when pt = t then 'exact' when pt is not null and nt is not null then 'interpolated' when abs(t - coalesce(pt, nt)) <= {P.extrapolate_us} then 'extrapolated' end as method, (t - pt) / (nt - pt)::double as f,
+    case when pw * nw + pq * nq < 0 then -1 else 1 end as sg, least(abs(pw * nw + pq * nq), 1) as c from joined),
+turned as (select *, case when c > 0.9995 then 1 - f else sin((1 - f) * acos(c)) / sin(acos(c)) end as wa, sg * case when c > 0.9995 then f else sin(f * acos(c)) / sin(acos(c)) end as wb from methods where method is not null),
+raw as (select *, wa * pw + wb * nw as aw, wa * pq + wb * nq as aq from turned),
+boxes as materialized (select scene_id, sweep_idx, instance_id, method, w, l, h,
+    case method when 'exact' then px when 'interpolated' then px + (nx - px) * f else coalesce(px, nx) + ex * ((t - coalesce(pt, nt)) / 1e6) end as tx,
+    case method when 'exact' then py when 'interpolated' then py + (ny - py) * f else coalesce(py, ny) + ey * ((t - coalesce(pt, nt)) / 1e6) end as ty,
+    coalesce(pz, nz) as tz, case when method = 'interpolated' then (nx - px) / ((nt - pt) / 1e6) else ex end as vx, case when method = 'interpolated' then (ny - py) / ((nt - pt) / 1e6) else ey end as vy, 0::double as vz,
+    case when method = 'interpolated' then aw / sqrt(aw * aw + aq * aq) else coalesce(pw, nw) end as qw, 0::double as qx, 0::double as qy, case when method = 'interpolated' then aq / sqrt(aw * aw + aq * aq) else coalesce(pq, nq) end as qz from raw),
+inside as materialized (select distinct g.scene_id, g.sweep_idx, g.point_idx, sqrt(b.vx * b.vx + b.vy * b.vy) >= {_d(P.speed_threshold)} as moves
+  from gpoints g join boxes b using (scene_id, sweep_idx)
+  where abs((1 - 2 * b.qz * b.qz) * (gx - b.tx) + 2 * b.qz * b.qw * (gy - b.ty)) <= b.l / 2 and abs(-2 * b.qz * b.qw * (gx - b.tx) + (1 - 2 * b.qz * b.qz) * (gy - b.ty)) <= b.w / 2 and abs(gz - b.tz) <= b.h / 2),
+gt as materialized (select distinct scene_id, sweep_idx, point_idx from inside where moves)"""
+_MATCHED = f"""{_VOTED}{_BOXES},
+matched as materialized (select v.*, g.point_idx is not null as is_gt from voted v left join gt g using (scene_id, sweep_idx, point_idx)),
+conf as (select scene_id, sweep_idx, count(*) filter (label = 0 and is_gt) as tp, count(*) filter (label = 0 and not is_gt) as fp, count(*) filter (label <> 0 and is_gt) as fn, count(*) filter (label <> 0 and not is_gt) as tn from matched group by all)"""
+_IOU = "round(case when tp + fp + fn > 0 then tp / (tp + fp + fn)::double else 0 end, 6) as iou"
+_TRIALS = f"""{_MATCHED},
+trials as (select unnest(range(9)) as trial_id, unnest(range(1, 10)) as vote),
+tried as (select t.trial_id, t.vote, case when v.votes >= t.vote then 0 else coalesce(v.previous, 3) end as label, g.point_idx is not null as is_gt from votes v cross join trials t left join gt g using (scene_id, sweep_idx, point_idx)),
+scored as (select trial_id::int as trial_id, vote::int as vote, count(*) filter (label = 0 and is_gt) as tp, count(*) filter (label = 0 and not is_gt) as fp, count(*) filter (label <> 0 and is_gt) as fn, count(*) filter (label <> 0 and not is_gt) as tn from tried group by all)"""
+_DISK = f"""{_BASE},
+disk as (select *, row_number() over (partition by scene_id, sweep_idx order by point_idx) - 1 as rk, count(*) over (partition by scene_id, sweep_idx) as cnt from kept where x * x + y * y <= {_d(P.ground_radius**2)} and z between {_d(P.ground_z_min)} and {_d(P.ground_z_max)}),
+tr as (select distinct scene_id, sweep_idx, cnt, trial from disk, (select unnest(range({P.ground_trials})) as trial) where cnt >= 3),
+rk as (select *, (scene_id * 7919 + sweep_idx * 104729 + trial * 1299709 + 12345) % 2147483647 % cnt as k0, (scene_id * 7919 + sweep_idx * 104729 + trial * 1299709 + 15485863 + 12345) % 2147483647 % cnt as k1, (scene_id * 7919 + sweep_idx * 104729 + trial * 1299709 + 30971726 + 12345) % 2147483647 % cnt as k2 from tr),
+tri as (select r.scene_id, r.sweep_idx, r.trial, a.x as x0, a.y as y0, a.z as z0, b.x - a.x as ux, b.y - a.y as uy, b.z - a.z as uz, c.x - a.x as wx, c.y - a.y as wy, c.z - a.z as wz
+  from rk r join disk a on a.scene_id = r.scene_id and a.sweep_idx = r.sweep_idx and a.rk = k0 join disk b on b.scene_id = r.scene_id and b.sweep_idx = r.sweep_idx and b.rk = k1 join disk c on c.scene_id = r.scene_id and c.sweep_idx = r.sweep_idx and c.rk = k2),
+nrm as (select *, uy * wz - uz * wy as m0, uz * wx - ux * wz as m1, ux * wy - uy * wx as m2 from tri),
+pln as (select scene_id, sweep_idx, trial, m0 / s * g as nx, m1 / s * g as ny, m2 / s * g as nz, -(m0 / s * g * x0 + m1 / s * g * y0 + m2 / s * g * z0) as d from (select *, sqrt(m0 * m0 + m1 * m1 + m2 * m2) as s, case when m2 < 0 then -1 else 1 end as g from nrm) where s > 1e-6),
+inl as (select p.scene_id, p.sweep_idx, p.trial, any_value(nx) as nx, any_value(ny) as ny, any_value(nz) as nz, any_value(d) as d, count(*) filter (abs(nx * x + ny * y + nz * z + d) <= {_d(P.ground_inlier)}) as inliers from pln p join disk using (scene_id, sweep_idx) group by p.scene_id, p.sweep_idx, p.trial),
+best as (select * from inl qualify row_number() over (partition by scene_id, sweep_idx order by inliers desc, trial) = 1)"""
+
+ORACLE_SQL = {
+    "filter_range": f"{_BASE} select scene_id, sweep_idx, count(*) as n_kept from kept group by all",
+    "to_global": f"{_BASE} select scene_id, sweep_idx, round(sum(gx), 3) as gx, round(sum(gy), 3) as gy, round(sum(gz), 3) as gz from gpoints group by all",
+    "project_spherical": f"{_OWN} select scene_id, di, v, h, count(*) as n from own where in_fov group by all",
+    "depth_image": f"{_OWN} select scene_id, di, v, h, round(min_depth, 6) as min_depth, round(max_depth, 6) as max_depth, n from image",
+    "depth_image_dilated": f"{_DILATED} select scene_id, di, v::int as v, h::int as h, round(min_depth, 6) as min_depth, round(max_depth, 6) as max_depth, n from dilated",
+    "unproject_pixel": f"""{_OWN},
+loc as (select i.*, {_d(G.phi_min)} + (h + 0.5) * {_d(G.h_res)} as p, {_d(G.theta_min)} + (v + 0.5) * {_d(G.v_res)} as t from image i),
+xyz as (select *, max_depth * cos(t) * cos(p) as x, max_depth * cos(t) * sin(p) as y, max_depth * sin(t) as z from loc)
+select i.scene_id, di, v, h, round(r00 * x + r01 * y + r02 * z + tx, 6) as gx, round(r10 * x + r11 * y + r12 * z + ty, 6) as gy, round(r20 * x + r21 * y + r22 * z + tz, 6) as gz from xyz i join sweeps s on s.scene_id = i.scene_id and s.sweep_idx = i.di""",
+    "adaptive_epsilon": f"{_BASE} select scene_id, sweep_idx, point_idx, round({_eps('rng', P.mcc_forward, P.mcc_forward_adaptive)}, 6) as eps from kept",
+    "occlusion_coarse": f"{_COARSE_LABELS} select scene_id, sweep_idx, k::int as k, label, count(*) as n from coarse group by all",
+    "occlusion_vote": f"{_VOTED} select scene_id, sweep_idx, label, count(*) as n from voted group by all",
+    "ransac_ground": f"{_DISK} select b.scene_id, b.sweep_idx, count(*) as n_ground, any_value(inliers) as inliers from best b join kept k using (scene_id, sweep_idx) where abs(nx * x + ny * y + nz * z + d) <= {_d(P.ground_distance)} group by b.scene_id, b.sweep_idx",
+    "track_velocity": """with e as (select user_id % 2 as scene_id, user_id as instance_id, epoch_us(ts) as ts_us, event_id, value::double as tx, (event_id % 97)::double as ty from events where ts is not null and value is not null),
+o as (select scene_id, instance_id, ts_us, min_by(tx, event_id) as tx, min_by(ty, event_id) as ty from e group by all),
+w as (select *, lag(ts_us) over q as pt, lag(tx) over q as px, lag(ty) over q as py, lead(ts_us) over q as nt, lead(tx) over q as nx, lead(ty) over q as ny from o window q as (partition by scene_id, instance_id order by ts_us))
+select scene_id, instance_id, ts_us, round(coalesce(case when ts_us - pt > 1000 then (tx - px) / ((ts_us - pt) / 1e6) end, case when nt - ts_us > 1000 then (nx - tx) / ((nt - ts_us) / 1e6) end, 0), 6) as vx,
+  round(coalesce(case when ts_us - pt > 1000 then (ty - py) / ((ts_us - pt) / 1e6) end, case when nt - ts_us > 1000 then (ny - ty) / ((nt - ts_us) / 1e6) end, 0), 6) as vy, 0::double as vz from w""",
+    "boxes_asof": f"{_BASE}{_BOXES}, cnt as (select scene_id, sweep_idx, count(distinct point_idx) as n from inside group by all) select scene_id, sweep_idx, instance_id, method, " + ", ".join(f"round({c}, 6) as {c}" for c in ("tx", "ty", "tz", "vx", "vy", "vz", "qw", "qx", "qy", "qz")) + ", coalesce(n, 0) as n_inside from boxes left join cnt using (scene_id, sweep_idx)",
+    "generate_gt": f"{_BASE}{_BOXES} select scene_id, sweep_idx, point_idx from gt",
+    "gt_offsets": f"{_BASE}{_BOXES}, c as (select s.scene_id, s.sweep_idx, count(g.point_idx) as n from sweeps s left join gt g using (scene_id, sweep_idx) group by all) select *, sum(n) over (partition by scene_id order by sweep_idx)::bigint as until from c",
+    "confusion": f"{_MATCHED} select *, {_IOU} from conf",
+    "iou_report": f"{_MATCHED}, s as (select scene_id, sweep_idx, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(tn)::bigint as tn from conf group by rollup (scene_id, sweep_idx)) select *, {_IOU} from s",
+    "error_class": f"{_MATCHED} select scene_id, sweep_idx, point_idx, case when label = 0 and is_gt then 'TP' when label = 0 then 'FP' when is_gt then 'FN' else 'TN' end as error_class from matched",
+    "gt_class": f"{_BASE}{_BOXES} select p.scene_id, p.sweep_idx, case when k.point_idx is null then 'filtered_out' when g.point_idx is not null then 'dynamic' else 'static' end as gt_class, count(*) as n from points p left join kept k using (scene_id, sweep_idx, point_idx) left join gt g using (scene_id, sweep_idx, point_idx) group by all",
+    "sweep_geometric": f"{_TRIALS} select *, {_IOU} from scored",
+    "best_trial": f"{_TRIALS} select * from (select *, {_IOU} from scored) order by iou desc, trial_id limit 1",
+}
