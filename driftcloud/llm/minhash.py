@@ -27,6 +27,8 @@ from .common import map_batches, stored, text_or_empty
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 BINS, ROWS = 128, 4
+#: Bytes of shingle sets that may be broadcast; larger ones are joined.
+MOST_BROADCAST = 64 << 20
 _U = np.uint64
 
 
@@ -146,19 +148,25 @@ def _packed_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, shingles binary")
 
 
-def _shingle_rows(docs: DataFrame, words: int) -> DataFrame:
+def _shingle_rows(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"], words)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc_id, np.int64)), pa.array(s.astype(np.int64))], ["doc_id", "g"])
+            found = [np.frombuffer(x.as_py(), np.int64) for x in batch["shingles"]]
+            ids = np.repeat(batch["doc_id"].to_numpy(zero_copy_only=False), [len(s) for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["doc_id", "g"])
 
-    return map_batches(docs, run, "doc_id long, g long")
+    return map_batches(sets, run, "doc_id long, g long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough; ``docs`` has one row of text per doc_id."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _packed_sets(docs.join(wanted, "doc_id", "left_semi"), words)
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Stored shingle sets of the wanted doc_ids, marked for broadcast where all of them are known to be small."""
+    sets = stored(_packed_sets(docs.join(wanted, "doc_id", "left_semi"), words), "none")
+    size = sets.agg(F.sum(F.octet_length("shingles") + 64)).first()[0] or 0
+    return F.broadcast(sets) if size <= MOST_BROADCAST else sets
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +203,7 @@ def _residual(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed, "bucket", "left_semi")
 
 
-def _without_lonely(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _without_lonely(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Drops from mixed buckets the documents that no other text in them can be similar to.
 
     ``percent`` of the union needs common >= p / (1 + p) * (size + other size), and what a document has in common with
@@ -204,8 +212,7 @@ def _without_lonely(members: DataFrame, texts: DataFrame, words: int, percent: i
     p = percent / 100
     sizes = members.groupBy("bucket").agg(F.min("n").alias("least"))
     need = members.join(sizes, "bucket").withColumn("need", p / (1 + p) * (F.col("n") + F.greatest("least", p * F.col("n"))))
-    docs = members.select(F.col("rep").alias("doc_id")).distinct()
-    shingles = _shingle_rows(texts.join(docs, "doc_id", "left_semi"), words)
+    shingles = _shingle_rows(sets)
     common = shingles.groupBy("g").agg(F.count("*").alias("docs")).where("docs > 1").select("g")
     shared = stored(shingles.join(common, "g").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("shared")))
     return need.join(shared, "rep").where(F.col("shared") + 1e-6 >= F.col("need")).select("bucket", "rep", "n", "component")
@@ -235,20 +242,24 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     reps = stored(sketched.where("size(buckets) > 0").join(classes, ["k1", "k2", "n"]).where("doc_id = rep").select("rep", "n", "buckets").dropDuplicates(["rep"]))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
     members = reps.select(F.explode("buckets").alias("bucket"), "rep", "n")
-    edges, labels, tested, hubs_each = None, None, None, 1
+    edges, labels, tested, hubs_each, sets = None, None, None, 1, None
     while True:
         pairs, rest = _star(members, percent, hubs_each)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            new = stored(confirm(pairs, texts, words, percent))
-            edges = new if edges is None else stored(edges.unionByName(new))
-            labels = components(edges)
+            if sets is None:
+                sets = _sets_of(texts, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), words)
+            new = stored(confirm(pairs, sets, percent))
+            if labels is None or not new.isEmpty():
+                edges = new if edges is None else stored(edges.unionByName(new))
+                labels = components(edges)
             tested = pairs if tested is None else tested.unionByName(pairs)
         elif labels is None:
             break
         mixed = stored(_residual(rest, labels))
         if hubs_each == 1 and not mixed.isEmpty():
-            mixed = stored(_residual(_without_lonely(mixed, texts, words, percent).drop("component"), labels))
+            sets = _sets_of(texts, mixed.select(F.col("rep").alias("doc_id")).distinct(), words)
+            mixed = stored(_residual(_without_lonely(mixed, sets, percent).drop("component"), labels))
         if mixed.isEmpty():
             break
         members, hubs_each = mixed, 4 * hubs_each
