@@ -12,6 +12,7 @@ kept; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, text_or_empty
 
 SPACE = "▁"
-MAX_WORDS, MAX_WORD_CHARS = 300_000, 48
+MAX_WORDS, MAX_WORD_CHARS = 600_000, 48
 #: What an uncovered character loses against the least score.
 UNKNOWN_PENALTY = 10.0
 
@@ -41,6 +42,13 @@ class Viterbi:
         self.spelt = {i: p for p, (i, _) in self.pieces.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: Tree of the pieces: character -> (score or None, id, tree of what may follow).
+        self.tree: dict[str, tuple] = {}
+        inner: dict[str, dict] = {"": self.tree}
+        for p in sorted(self.prefixes):
+            inner[p] = {}
+            i, score = self.pieces.get(p, (0, None))
+            inner[p[:-1]][p[-1]] = (score, i, inner[p])
         #: A blank that only starts pieces (or stands among blanks) is a boundary of every path.
         self.blank_starts = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.words: dict[str, bytes] = {}
@@ -122,10 +130,35 @@ class Viterbi:
             parts.append(blanks[1:])
         return b"".join(map(self._word, parts))
 
+    def _settled(self, part: str) -> list[int]:
+        """The same best path for a part that fits a window: no boundary needs to be committed before its end."""
+        n, none = len(part), float("-inf")
+        score, back = [0.0] + [none] * n, [(0, ())] * (n + 1)
+        for s in range(n):
+            so_far, kids = score[s], self.tree
+            if so_far == none:
+                continue
+            for e in range(s, n):
+                node = kids.get(part[e])
+                if node is None:
+                    break
+                gain, i, kids = node
+                if gain is not None and so_far + gain > score[e + 1]:
+                    score[e + 1], back[e + 1] = so_far + gain, (s, i)
+            if so_far + self.uncovered > score[s + 1] and part[s] not in self.pieces:
+                score[s + 1], back[s + 1] = so_far + self.uncovered, (s, tuple(self.bytes[b] for b in part[s].encode()) if self.bytes else (self.unknown,))
+        ids, e = [], n
+        while e > 0:
+            e, piece = back[e]
+            ids.extend(reversed(piece) if isinstance(piece, tuple) else (piece,))
+        ids.reverse()
+        return ids
+
     def _word(self, part: str) -> bytes:
         ids = self.words.get(part)
         if ids is None:
-            ids = np.fromiter(self.stream(part), "<u4").tobytes()
+            found = self._settled(part) if len(part) <= MAX_WORD_CHARS else self.stream(part)
+            ids = array("I", found).tobytes()
             if len(part) <= MAX_WORD_CHARS:
                 if len(self.words) >= MAX_WORDS:
                     self.words.clear()
