@@ -96,4 +96,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return score_quality(docs, labels, **params).where("kept").select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
+    scored = score_quality(own, labels, **params)
+    # a filter on a generated column stays above the steps of the score; pushed below, it would repeat them many times over
+    return scored.select("_doc", F.explode(F.array("kept")).alias("_kept")).where("_kept").select("_doc.*")

@@ -283,10 +283,11 @@ def test_line_spread(spark, docs):
 
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
+    from driftcloud.llm.common import stored
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "best_fit_packing"]
     for _, stage in corpus_pipeline.STAGES[:2]:
         before = docs.count()
-        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        docs = stored(stage(spark, docs, "/root/testdata/sf0.001"))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count() <= before
