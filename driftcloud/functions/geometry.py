@@ -13,7 +13,7 @@ def fenced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with more columns, computed once per row: a Generate node keeps the next layer from repeating them."""
     packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_fence")
     kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, *[df[c].alias(f"_old_{c}") for c in df.columns if c in columns], packed).select(*kept, *[F.col(f"_fence.{n}").alias(n) for n in columns])
+    return df.select(*kept, packed).select(*kept, *[F.col(f"_fence.{n}").alias(n) for n in columns])
 
 
 def norm(x: Column, y: Column, z: Column) -> Column:
@@ -48,18 +48,18 @@ def rotation(w: Column, x: Column, y: Column, z: Column) -> dict[str, Column]:
     }
 
 
-def slerped(a: list[Column], b: list[Column], t: Column) -> list[Column]:
-    """Quaternion between two, over the shorter arc; linear where they nearly agree."""
-    dot = a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3]
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    cos = F.least(F.abs(dot), F.lit(1.0))
-    angle = F.acos(cos)
-    near = cos > 0.9995
-    wa = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
-    wb = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
-    parts = [wa * p + wb * q for p, q in zip(a, b)]
-    size = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
-    return [p / size for p in parts]
+def with_slerp(df: DataFrame, a: str, b: str, share: Column, names: tuple[str, ...] = ("qw", "qx", "qy", "qz")) -> DataFrame:
+    """Adds s_qw to s_qz: between the quaternions of the structs ``a`` and ``b``, over the shorter arc; linear where they nearly agree."""
+    p, q = [F.col(f"{a}.{n}") for n in names], [F.col(f"{b}.{n}") for n in names]
+    df = fenced(df, {"s_dot": p[0] * q[0] + p[1] * q[1] + p[2] * q[2] + p[3] * q[3], "s_t": share})
+    df = fenced(df, {"s_near": F.abs(F.col("s_dot")) > 0.9995, "s_angle": F.acos(F.least(F.abs(F.col("s_dot")), F.lit(1.0)))})
+    t, angle = F.col("s_t"), F.col("s_angle")
+    wa = F.when(F.col("s_near"), 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
+    wb = F.when(F.col("s_near"), t).otherwise(F.sin(t * angle) / F.sin(angle)) * F.when(F.col("s_dot") < 0, -1.0).otherwise(1.0)
+    df = fenced(df, {"s_a": wa, "s_b": wb})
+    df = fenced(df, {f"s_{n}": F.col("s_a") * x + F.col("s_b") * y for n, x, y in zip(names, p, q)})
+    size = F.sqrt(sum((F.col(f"s_{n}") * F.col(f"s_{n}") for n in names[1:]), F.col(f"s_{names[0]}") * F.col(f"s_{names[0]}")))
+    return fenced(df, {f"s_{n}": F.col(f"s_{n}") / size for n in names}).drop("s_dot", "s_t", "s_near", "s_angle", "s_a", "s_b")
 
 
 def adaptive_epsilon(depth: Column, base: float, a: Adaptive) -> Column:

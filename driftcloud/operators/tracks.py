@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geometry import rotation, slerped
+from ..functions.geometry import fenced, rotation, with_slerp
 from ..params import Params
 from ..session import saved
 
@@ -51,23 +51,22 @@ def boxes_asof(annotations: DataFrame, sweeps: DataFrame, p: Params) -> DataFram
     w = Window.partitionBy("scene_id", "instance_id").orderBy("ts")
     past, ahead = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
     both = asked.unionByName(known).select("*", F.last("a", ignorenulls=True).over(past).alias("p"), F.first("a", ignorenulls=True).over(ahead).alias("n")).where("q is not null")
-    t, prev, nxt, sample = F.col("ts"), F.col("p"), F.col("n"), F.col("q.b_sample")
-    exact = F.coalesce(sample, F.when(prev.ts_us == t, prev))
-    between = exact.isNull() & prev.isNotNull() & nxt.isNotNull()
-    end = F.coalesce(prev, nxt)
-    beyond = exact.isNull() & ~between & (F.abs(t - end.ts_us) <= p.extrapolate_us)
+    t, prev, nxt = F.col("ts"), F.col("p"), F.col("n")
+    both = fenced(both, {"exact": F.coalesce(F.col("q.b_sample"), F.when(prev.ts_us == t, prev)), "end": F.coalesce(prev, nxt)})
+    exact, end = F.col("exact"), F.col("end")
+    both = fenced(both, {"between": exact.isNull() & prev.isNotNull() & nxt.isNotNull(), "beyond": exact.isNull() & (F.abs(t - end.ts_us) <= p.extrapolate_us)})
+    both = with_slerp(both, "p", "n", F.try_divide(t - prev.ts_us, nxt.ts_us - prev.ts_us))
+    between, share = F.col("between"), (t - prev.ts_us) / (nxt.ts_us - prev.ts_us)
     span = (nxt.ts_us - prev.ts_us) / 1e6
-    share = (t - prev.ts_us) / (nxt.ts_us - prev.ts_us)
-    method = F.when(exact.isNotNull(), "exact").when(between, "interpolated").when(beyond, "extrapolated")
-    quaternion = slerped([prev[c] for c in ("qw", "qx", "qy", "qz")], [nxt[c] for c in ("qw", "qx", "qy", "qz")], share)
+    method = F.when(exact.isNotNull(), "exact").when(between, "interpolated").when(F.col("beyond"), "extrapolated")
     out: dict[str, Column] = {}
     for c, v in (("tx", "vx"), ("ty", "vy"), ("tz", "vz")):
         out[c] = F.when(exact.isNotNull(), exact[c]).when(between, prev[c] + (nxt[c] - prev[c]) * share).otherwise(end[c] + end[v] * (t - end.ts_us) / 1e6)
         out[v] = F.when(exact.isNotNull(), exact[v]).when(between, F.when(span > 0.001, (nxt[c] - prev[c]) / span).otherwise(0.0)).otherwise(end[v])
     for c in ("w", "l", "h", "category"):
         out[c] = F.when(exact.isNotNull(), exact[c]).when(between, prev[c]).otherwise(end[c])
-    for c, q in zip(("qw", "qx", "qy", "qz"), quaternion):
-        out[c] = F.when(exact.isNotNull(), exact[c]).when(between, q).otherwise(end[c])
+    for c in ("qw", "qx", "qy", "qz"):
+        out[c] = F.when(exact.isNotNull(), exact[c]).when(between, F.col(f"s_{c}")).otherwise(end[c])
     return both.select("scene_id", F.col("q.sweep_idx").alias("sweep_idx"), "instance_id", method.alias("method"), *[c.alias(n) for n, c in out.items()]).where("method is not null")
 
 
