@@ -77,13 +77,13 @@ def mcc_score(frames: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def occlusion_detailed(kind: str, phi: Column, theta: Column, depth: Column, h_phi: Column, h_theta: Column, h_depth: Column, anchor: Column, p: Params) -> Column:
     """Whether an evaluated point occludes, or is occluded by, a historical one."""
+    if kind not in ("OCCLUDING", "OCCLUDED_BY"):
+        raise ValueError(f"unknown occlusion {kind!r}")
     eps = adaptive_epsilon(anchor, p.detail_epsilon, p.detail_adaptive)
     near = (F.abs(phi - h_phi) <= p.detail_h) & (F.abs(theta - h_theta) <= p.detail_v)
     if kind == "OCCLUDING":
         return near & (depth < h_depth - eps)
-    if kind == "OCCLUDED_BY":
-        return near & (depth > h_depth + eps)
-    raise ValueError(f"unknown occlusion {kind!r}")
+    return near & (depth > h_depth + eps)
 
 
 def nearest_pixel(image: DataFrame, p: Params) -> DataFrame:
