@@ -3,11 +3,12 @@
 A text is its tokens: words (A-Z lower-cased) and an end.  The model sees the bytes of the words with one blank between
 them and a line end after the last.  Each byte is eight binary decisions; each decision has a context tree over the
 last ``DEPTH`` bytes, whose nodes mix their Krichevsky-Trofimov estimate with what their children say, by the weights of
-context-tree weighting.  Counts of byte 4-grams and of words come from all training documents.  A context is a node of
-its own if at least one of 2 ** ``FLOOR_BITS`` training bytes follows it; rarer ones share a leaf below their parent.  So
-at most 2 ** FLOOR_BITS contexts exist per depth at any size of corpus, which bounds what the driver builds and
-broadcasts.  Word counts are not bounded: the ``HEAD_WORDS`` most frequent words (a fixed bound) are broadcast, all
-others meet their counts in a join.
+context-tree weighting.  Every context that occurs is a node, however rare; nothing is folded away at any size.
+
+The tree is Spark tables of nodes, one per depth: counts and weights are summed from the deepest level to the root, mixtures
+come back by joins from parent to child.  Byte strings of scored texts take part with count 0, so each has a path.  Texts
+are read in blocks; a block's distinct byte strings meet their probabilities in a join and go back to the block.  The
+``HEAD_WORDS`` most frequent words (a fixed bound) are broadcast, all others meet their counts in a join.
 
 A document is held out if crc32 of its id as text, modulo 5, is 1.  Defined results: a null text is an empty one (its end
 token is scored); a null id counts as the text ''; repeated rows are scored each on their own; an empty table gives no rows;
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log, log10, pi
 
 import numpy as np
@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches, stored, text_or_empty
 
-DEPTH, FLOOR_BITS, HEAD_WORDS = 3, 14, 50_000
-SCORE_BATCH = 1024
-_END = ""  # no word is empty
+DEPTH, HEAD_WORDS = 5, 50_000
+SCORE_BATCH, BLOCK_DOCS = 512, 8192
+_END_BYTES = b""  # no word is empty
 
 
 def held_out() -> Column:
@@ -56,26 +56,106 @@ def _own_positions(n: int, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def gather_counts(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored tables of the training documents' words (word, c) and byte 4-grams (gram, c)."""
+def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The DEPTH bytes before each place and the byte there as one number, the latter lowest."""
+    wide, out = data.astype(np.int64), np.zeros(len(at), np.int64)
+    for k in range(DEPTH + 1):
+        out |= wide[at - k] << 8 * k
+    return out
+
+
+_PARTS = "block long, gram long, c long, word string, doc_id long, held_out boolean, text string"
+
+
+def gather_counts(rows: DataFrame) -> DataFrame:
+    """A stored table of three kinds of rows: documents with their block, the distinct grams of each block and words, both with
+    their counts in training documents (c)."""
+
+    def part(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        types = {"block": pa.int64(), "gram": pa.int64(), "c": pa.int64(), "word": pa.string(), "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.string()}
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()], list(types))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [_tokens(t) for t in batch["text"].to_pylist()]
-            found = Counter(w for ws in words for w in ws)
-            names = [w.decode() for w in found] + [_END]
-            data, ends = _byte_stream(words)
-            at = _own_positions(len(data), ends)
-            wide = data.astype(np.uint32)
-            grams, n = np.unique(wide[at - 3] << 24 | wide[at - 2] << 16 | wide[at - 1] << 8 | wide[at], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names + [None] * len(grams), pa.string()), pa.array(np.concatenate([np.zeros(len(names), np.int64), grams.astype(np.int64)])), pa.array(np.concatenate([np.fromiter(found.values(), np.int64, len(found)), [len(words)], n]))],
-                ["word", "gram", "c"],
-            )
+        from pyspark import TaskContext
+
+        block, size = TaskContext.get().partitionId() << 32, 0
+        found, grams, times = Counter(), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    counted = map_batches(train.select("text"), count, "word string, gram long, c long", rows=4096)
-    sums = stored(counted.groupBy("word", "gram").agg(F.sum("c").alias("c")))
-    return sums.where("word is not null").select("word", "c"), sums.where("word is null").select("gram", "c")
+        def ended() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(grams), 1 << 16):
+                n = len(grams[at : at + (1 << 16)])
+                yield part(n, block=pa.array(np.full(n, block)), gram=pa.array(grams[at : at + n]), c=pa.array(times[at : at + n]))
+            yield part(len(found), word=pa.array([w.decode() for w in found], pa.string()), c=pa.array(list(found.values()), pa.int64()))
+
+        for batch in batches:
+            texts, out = [_tokens(t) for t in batch["text"].to_pylist()], batch["held_out"].to_pylist()
+            new, n = [grams], [times]
+            for held in (False, True):
+                mine = [ws for ws, o in zip(texts, out) if o == held]
+                if not mine:
+                    continue
+                data, ends = _byte_stream(mine)
+                values, counts = np.unique(_grams(data, _own_positions(len(data), ends)), return_counts=True)
+                new.append(values)
+                n.append(counts * (not held))
+                if not held:
+                    found.update(w for ws in mine for w in ws)
+                    found[_END_BYTES] += len(mine)
+            grams, where = np.unique(np.concatenate(new), return_inverse=True)
+            times = np.bincount(where, np.concatenate(n), len(grams)).astype(np.int64)
+            yield part(batch.num_rows, block=pa.array(np.full(batch.num_rows, block)), doc_id=batch["doc_id"], held_out=batch["held_out"], text=batch["text"])
+            size += batch.num_rows
+            if size >= BLOCK_DOCS:
+                yield from ended()
+                block, size = block + 1, 0
+                found, grams, times = Counter(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if size:
+            yield from ended()
+
+    return stored(map_batches(rows, count, _PARTS, rows=SCORE_BATCH))
+
+
+def _log_kt_column(zeros: Column, ones: Column) -> Column:
+    """``_log_kt`` of two columns."""
+
+    def gamma(x: Column) -> Column:
+        y = x + 6.0
+        shift = x * (x + 1.0) * (x + 2.0) * (x + 3.0) * (x + 4.0) * (x + 5.0)
+        return (y - 0.5) * F.log(y) - y + 0.5 * log(2 * pi) + 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y) + 1.0 / (1260.0 * y * y * y * y * y) - F.log(shift)
+
+    return F.when(zeros + ones == 0, 0.0).otherwise(gamma(zeros + 0.5) + gamma(ones + 0.5) - gamma(zeros + ones + 1.0) - log(pi))
+
+
+def _of_gram(grams: DataFrame) -> DataFrame:
+    """The eight decisions of each gram: context, node (heap order) and bit beside the gram's columns."""
+    out = grams.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return out.withColumns({"context": F.shiftright("gram", 8), "node": F.expr("shiftright(int(256 | (gram & 255)), k + 1)"), "bit": F.expr("shiftright(int(gram & 255), k) & 1")}).drop("k")
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """log10 of the probability of each gram's last byte after the others (gram, p), from all grams and their counts (gram, c)."""
+    zeros, ones = F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)), F.sum(F.when(F.col("bit") == 1, F.col("c")).otherwise(0))
+    own = _log_kt_column(F.col("zeros"), F.col("ones"))
+    level = stored(_of_gram(grams).groupBy("context", "node").agg(zeros.alias("zeros"), ones.alias("ones")).withColumn("weighted", own).withColumn("w", F.lit(1.0)))
+    levels = [level]
+    for d in range(DEPTH - 1, -1, -1):
+        up = level.groupBy(F.col("context").bitwiseAND((1 << 8 * d) - 1).alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("inner")).withColumn("own", own)
+        most, least = F.greatest("own", "inner"), F.least("own", "inner")
+        up = up.withColumn("weighted", most + F.log1p(F.exp(least - most)) + log(0.5))
+        level = stored(up.select("context", "node", "zeros", "ones", "weighted", F.exp(log(0.5) + F.col("own") - F.col("weighted")).alias("w")))
+        levels.append(level)
+    path = None
+    for d, level in enumerate(reversed(levels)):
+        kt = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+        mine = level.select("context", "node", "w", kt.alias("kt"))
+        if path is None:
+            path = mine.select("context", "node", (F.col("w") * F.col("kt")).alias("one"), (1 - F.col("w")).alias("rest"))
+            continue
+        above = path.select(F.col("context").alias("parent"), "node", F.col("one").alias("one_above"), F.col("rest").alias("rest_above"))
+        both = mine.withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (d - 1)) - 1)).join(above, ["parent", "node"])
+        path = both.select("context", "node", (F.col("one_above") + F.col("rest_above") * F.col("w") * F.col("kt")).alias("one"), (F.col("rest_above") * (1 - F.col("w"))).alias("rest"))
+    steps = _of_gram(grams.select("gram")).join(path.select("context", "node", "one"), ["context", "node"])
+    return steps.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one")))).alias("p"))
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -99,7 +179,7 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """log10 probabilities of each byte after each context of the tree."""
+    """log10 probabilities of each byte after each context of a small tree in memory: what tests hold ``gram_scores`` against."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """levels: for each depth the contexts' codes (last byte lowest) and their counts of next bytes; depth 0 has code 0."""
@@ -140,65 +220,34 @@ class Model:
                 out[:, byte] += (yes if byte >> k & 1 else no)[:, node]
         return out
 
-    def deepest(self) -> np.ndarray:
-        """For every history of three bytes, the row of its deepest context."""
-        rows = np.zeros((256, 256, 256), np.uint16)
-        first = 1
-        for d, codes in enumerate(self.codes[1:], 1):
-            ids = np.arange(first, first + len(codes))
-            if d == 1:
-                rows[:, :, codes] = ids
-            elif d == 2:
-                rows[:, codes >> 8, codes & 255] = ids
-            else:
-                rows[codes >> 16, codes >> 8 & 255, codes & 255] = ids
-            first += len(codes)
-        return rows.reshape(-1)
-
-
-def build_model(grams: DataFrame, floor_bits: int = FLOOR_BITS) -> Model:
-    """Contexts and next-byte counts are summed and chosen by Spark; the driver gets those chosen, a bounded number."""
-    total = grams.agg(F.sum("c")).first()[0] or 0
-    levels = []
-    for d in range(DEPTH + 1):
-        nexts = grams.groupBy(F.shiftright("gram", 8).bitwiseAND((1 << 8 * d) - 1).alias("context"), F.col("gram").bitwiseAND(255).alias("byte")).agg(F.sum("c").alias("c"))
-        kept = nexts.groupBy("context").agg(F.sum("c").alias("n")).where(F.col("n") * (1 << floor_bits) >= total).select("context")
-        rows = nexts.join(kept, "context", "left_semi").toArrow()  # at most 2 ** floor_bits contexts of 256 bytes
-        contexts, bytes_, n = (rows[c].to_numpy() for c in ("context", "byte", "c"))
-        codes, where = np.unique(contexts, return_inverse=True)
-        if d == 0 and not len(codes):
-            codes = np.zeros(1, np.int64)
-        counts = np.zeros((len(codes), 256))
-        counts[where, bytes_] = n
-        levels.append((codes.astype(np.int64), counts))
-    return Model(levels)
-
-
-def score_documents(docs: DataFrame, floor_bits: int = FLOOR_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
+
+def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"), held_out().alias("held_out"))
-    words, grams = gather_counts(rows.where("not held_out"))
-    model = build_model(grams, floor_bits)
+    gathered = gather_counts(rows)
+    words = stored(gathered.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
+    in_blocks = gathered.where("gram is not null").select("block", "gram", "c")
+    scored = gram_scores(stored(in_blocks.groupBy("gram").agg(F.sum("c").alias("c"))))
+    known_grams = in_blocks.select("block", "gram").join(scored, "gram").select("block", "gram", "p", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    texts = gathered.where("text is not null").select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("p"), "doc_id", "held_out", "text")
+    blocks = known_grams.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("gram").asc_nulls_last())
     n_train, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     denominator = n_train + 0.5 * (distinct + 1)
     head = {r.word.encode(): (log10((r.c + 0.5) / denominator)) for r in words.orderBy(F.desc("c"), "word").limit(head_words).toLocalIterator()}
     end_score, end_known = head.pop(b"", log10(0.5 / denominator) if denominator else 0.0), int(n_train > 0)
-    shared = spark.sparkContext.broadcast((head, model.table, tuple(c.tobytes() for c in model.codes)))
+    shared = spark.sparkContext.broadcast(head)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, table, codes = shared.value
-        rows_of = _deepest_of(codes)
+        known = shared.value
         row_id = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for grams, table, batch in _with_tables(batches):
             texts = [_tokens(t) for t in batch["text"].to_pylist()]
             data, ends = _byte_stream(texts)
             at = _own_positions(len(data), ends)
-            wide = data.astype(np.int32)
-            place = rows_of[wide[at - 3] << 16 | wide[at - 2] << 8 | wide[at - 1]]
-            logs = np.concatenate([[0.0], np.cumsum(table[place, data[at]], dtype=np.float64)])
+            logs = np.concatenate([[0.0], np.cumsum(table[np.searchsorted(grams, _grams(data, at))])])
             cuts = np.concatenate([[0], np.searchsorted(at, ends)])
             ids, base, n_known, tail = [], [], [], ([], [], [])
             for k, ws in enumerate(texts):
@@ -232,7 +281,7 @@ def score_documents(docs: DataFrame, floor_bits: int = FLOOR_BITS, head_words: i
                 ["row", "doc_id", "held_out", "word", "n", "n_known", "base", "score", "n_bytes"],
             )
 
-    parts = stored(map_batches(rows, score, "row long, doc_id long, held_out boolean, word string, n long, n_known long, base double, score double, n_bytes long", rows=SCORE_BATCH))
+    parts = stored(map_batches(blocks, score, "row long, doc_id long, held_out boolean, word string, n long, n_known long, base double, score double, n_bytes long", rows=SCORE_BATCH))
     tail = parts.where("word is not null").select("row", "word", "n").join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(denominator))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"))
     return (
@@ -251,9 +300,19 @@ def score_documents(docs: DataFrame, floor_bits: int = FLOOR_BITS, head_words: i
     )
 
 
-@lru_cache(maxsize=1)
-def _deepest_of(codes: tuple[bytes, ...]) -> np.ndarray:
-    """Built once a worker for each model."""
-    model = Model.__new__(Model)
-    model.codes = [np.frombuffer(c, np.int64) for c in codes]
-    return model.deepest()
+def _with_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Documents of one block at a time with the block's grams, in order, and their scores, which come before them."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    grams = table = None
+    for batch in batches:
+        block = batch["block"].to_numpy()
+        is_text = batch["gram"].is_null().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(is_text.view(np.int8)) != 0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if is_text[a]:
+                if parts:
+                    grams, table = (np.concatenate(x) for x in zip(*parts))
+                    parts = []
+                yield grams, table, batch.slice(a, b - a)
+            else:
+                parts.append((batch["gram"].slice(a, b - a).to_numpy(), batch["p"].slice(a, b - a).to_numpy()))

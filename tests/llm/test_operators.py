@@ -229,6 +229,35 @@ def test_ctw(spark, docs):
         assert out[i].score < 0
 
 
+def test_ctw_keeps_every_context(spark, docs):
+    """Scores equal those of a tree in memory over all contexts of all depths, however rare, for seen and unseen histories."""
+    rows = docs.where("doc_id is not null and doc_id <> 3").select("doc_id", "text").unionByName(spark.createDataFrame([(i, f"rare{i} qz{i * i} vwx {'the cat' * (i % 3)}") for i in range(20, 40)], "doc_id long, text string"))
+    out, texts = by_id(ctw.score_documents(rows)), {r.doc_id: b" ".join((r.text or "").encode().lower().split()) + b"\n" for r in rows.collect()}
+    pad = b"\n" * ctw.DEPTH
+    levels = []
+    for d in range(ctw.DEPTH + 1):
+        seen = Counter((int.from_bytes((pad + t)[k + ctw.DEPTH - d : k + ctw.DEPTH], "big"), t[k]) for i, t in texts.items() if not out[i].held_out for k in range(len(t)))
+        codes = sorted({c for c, _ in seen})
+        counts = np.zeros((len(codes), 256))
+        place = {c: n for n, c in enumerate(codes)}
+        for (c, byte), n in seen.items():
+            counts[place[c], byte] = n
+        levels.append((np.array(codes, np.int64), counts))
+    table, places, first = ctw.Model(levels).table, [], 0
+    for codes, _ in levels:
+        places.append({c: first + n for n, c in enumerate(codes.tolist())})
+        first += len(codes)
+    assert sum(r.held_out for r in out.values()) > 1
+    for i, t in texts.items():
+        want = 0.0
+        for k in range(len(t)):
+            d = max(d for d in range(ctw.DEPTH + 1) if int.from_bytes((pad + t)[k + ctw.DEPTH - d : k + ctw.DEPTH], "big") in places[d])
+            want += table[places[d][int.from_bytes((pad + t)[k + ctw.DEPTH - d : k + ctw.DEPTH], "big")], t[k]]
+        assert out[i].score == pytest.approx(want, rel=1e-4)
+        assert out[i].bits_per_byte == pytest.approx(-want / math.log10(2) / len(t), rel=1e-4)
+    assert ctw.score_documents(empty(spark)).count() == 0
+
+
 def test_ctw_is_a_distribution():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 4000)
