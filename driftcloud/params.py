@@ -73,7 +73,7 @@ class Params:
     mcc_backward: float = 0.3
     mcc_backward_adaptive: Adaptive = field(default_factory=lambda: Adaptive(True, 20.0, 0.03, 1.0, 0.05))
     mcc_threshold: float = 0.2
-    mcc_interpolate: bool = False
+    mcc_interpolate: bool = True
     mcc_neighbours: int = 20
     mcc_triplets: int = 100
     # ground plane

@@ -105,3 +105,22 @@ def test_clusters_noise_and_hull(spark):
 def test_tree_spans(values):
     xyz = np.array([[float(v), 0.0, 0.0] for v in values])
     assert len(refinement._mutual_reachability_tree(xyz, 2)) == len(values) - 1
+
+
+@pytest.mark.parametrize("distance, score", [(20.0, 1.0), (12.0, 0.0)])
+def test_static_surface_around_an_empty_pixel_counts(spark, distance, score):
+    """A candidate in an empty pixel of the past image, inside a triangle of static points in the pixels around it."""
+    p, g = Params(mcc_include_current=False, mcc_sweeps=1), Grid()
+    phi, theta = g.phi_min + 455.5 * g.h_res, g.theta_min + 24.5 * g.v_res
+    at = lambda dp, dt, d: (d * math.cos(theta + dt) * math.cos(phi + dp), d * math.cos(theta + dt) * math.sin(phi + dp), d * math.sin(theta + dt))
+    offsets = [(-0.45, -0.5), (0.45, -0.5), (0.0, 1.0)]
+    rows = [(0, 0, i, *at(math.radians(a), math.radians(b), 20.0)) for i, (a, b) in enumerate(offsets)] + [(0, 1, 0, *at(0.0, 0.0, distance))]
+    gpoints = spark.createDataFrame(rows, f"{POINT}, gx double, gy double, gz double").withColumn("rng", F.sqrt(F.expr("gx * gx + gy * gy + gz * gz")))
+    same = {n: float(n in ("r00", "r11", "r22")) for n in geometry.POSE}
+    sweeps = spark.createDataFrame([{"scene_id": 0, "sweep_idx": i} | same for i in range(2)])
+    own = images.own_projection(gpoints.drop("rng"), sweeps, p)
+    static = motion.static_points(own, gpoints.where("sweep_idx = 0"), p.with_(init_sweeps=1))
+    candidates = gpoints.where("sweep_idx = 1")
+    assert static.count() == 3
+    row = motion.mcc_score(motion.mcc_frames(candidates, gpoints, sweeps, images.depth_image(own), static, p), candidates).first()
+    assert (row.checked, row.score) == (1, score)
