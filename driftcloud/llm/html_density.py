@@ -2,9 +2,11 @@
 
 Standard-library parser events, fed piece by piece, make lines (one per block element).  Each line has a ratio of text
 to tags; the ratios are smoothed with a Gaussian kernel, and lines at or above a share of their standard deviation seed
-content regions.  A region is the article or main element around a seed or, where a page has none, the seed's own
-parent; its other lines belong to it.  Elements that are never content by their name, role or class (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) take no part.
+content regions.  A region is the article or main element around a seed; where more of the seeds' text lies outside of
+these, it is the block around a seed (paragraphs, headings, lists and tables are no such blocks) and all between the first
+and the last of these seeds.  A region's other lines belong to it.  Elements that are never content by their name or role
+(menus, headers, footers, notices, forms, scripts, styles) take no part.  A class or id (sidebar, advert, comments) drops an
+element too, but not an article or main, and not one that turns out to wrap the content (``wrappers``).
 
 Defined results: a null or empty html, or one without content, gives an empty text and 0 characters; unclosed or stray
 tags are repaired as browsers do; repeated rows and null ids are kept; no pages give no rows.
@@ -13,6 +15,7 @@ tags are repaired as browsers do; repeated rows and null ids are kept; no pages
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -30,6 +33,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("aside button canvas dialog fieldset footer form frameset head iframe input label map menu nav noscript object script search select style svg template textarea title".split())
 REGIONS = frozenset(("article", "main"))
+#: Blocks of a text's own; their lines belong to the block around them.
+PARTS = frozenset("address blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li ol p pre summary table tbody td tfoot th thead tr ul".split())
 #: A new block ends an open paragraph; these end an open one of their own kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
@@ -45,6 +50,7 @@ class Line:
     region: int  # number of the article or main around it, 0 for none
     parent: int  # number of the block around it
     out: bool
+    doubtful: tuple[int, ...] = ()  # numbers of the elements around it whose class or id speaks against them, outermost first
 
 
 class LineParser(HTMLParser):
@@ -53,18 +59,20 @@ class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # name, out, region, number
+        self.open: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # name, out, region, number, doubtful
+        self.around: dict[int, tuple[int, ...]] = {}  # doubtful elements around each region
+        self.titled: tuple[int, ...] | None = None  # and around the first h1
         self.parts: list[str] = []
         self.tags = self.numbers = 0
 
-    def _state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, 0, 0)
+    def _state(self) -> tuple[bool, int, int, tuple[int, ...]]:
+        return self.open[-1][1:] if self.open else (False, 0, 0, ())
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            out, region, parent = self._state()
-            self.lines.append(Line(text, max(1, self.tags), region, parent, out))
+            out, region, parent, doubtful = self._state()
+            self.lines.append(Line(text, max(1, self.tags), region, parent, out, doubtful))
             self.tags = 0
         self.parts.clear()
 
@@ -80,13 +88,19 @@ class LineParser(HTMLParser):
                 self._close(SIBLINGS[tag], stop={"ul", "ol", "dl", "table", "select", "menu"})
         if tag in VOID:
             return
-        out, region, parent = self._state()
+        out, region, parent, doubtful = self._state()
         out = out or self._never(tag, attrs, region)
-        if block:
-            self.numbers += 1
+        self.numbers += 1
+        if tag not in REGIONS and self._doubted(tag, attrs, region):
+            doubtful = (*doubtful, self.numbers)
+        if block and tag not in PARTS:
             parent = self.numbers
-            region = self.numbers if tag in REGIONS else region
-        self.open.append((tag, out, region, parent))
+        if tag in REGIONS:
+            region = self.numbers
+            self.around[region] = doubtful
+        if tag == "h1" and self.titled is None and not out:
+            self.titled = doubtful
+        self.open.append((tag, out, region, parent, doubtful))
 
     def _never(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
         if tag in NEVER or tag == "header" and not region:
@@ -96,12 +110,18 @@ class LineParser(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in NEVER_ROLES:
                 return True
+            if name == "style" and re.search(r"display\s*:\s*none", value or ""):
+                return True
+        return False
+
+    def _doubted(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
+        if tag in ("html", "body"):
+            return False
+        for name, value in attrs:
             if name in ("class", "id"):
                 words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value or "").lower()))
                 if words & NEVER_WORDS or not region and words & OUTER_WORDS:
                     return True
-            if name == "style" and re.search(r"display\s*:\s*none", value or ""):
-                return True
         return False
 
     def _close(self, names: set[str], stop: set[str] | frozenset[str]) -> None:
@@ -141,24 +161,47 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return (np.convolve(ratios, kernel, "full") / np.convolve(np.ones(len(ratios)), kernel, "full"))[reach : reach + len(ratios)]
 
 
+def wrappers(parser: LineParser, seeds: list[Line]) -> set[int]:
+    """Doubtful elements that wrap the content: those around the first h1 with most of the seeds' text; those around a region,
+    if no region is free of doubt; and, while no seed is left otherwise, the one with most of the seeds' text."""
+    size = sum(len(line.text) for line in seeds)
+    held: Counter[int] = Counter()
+    for line in seeds:
+        for n in line.doubtful:
+            held[n] += len(line.text)
+    kept = {n for n in parser.titled or () if 2 * held[n] > size}
+    if not any(line.region and kept.issuperset(line.doubtful) for line in seeds):
+        kept.update(n for line in seeds if line.region for n in parser.around[line.region])
+    while seeds and not any(kept.issuperset(line.doubtful) for line in seeds):
+        most = max(sorted(set(held) - kept), key=lambda n: held[n])  # of equal ones the outermost
+        if 2 * held[most] <= size:
+            break
+        kept.add(most)
+    return kept
+
+
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     parser = LineParser()
     for at in range(0, len(html), FEED_CHARS):
         parser.feed(html[at : at + FEED_CHARS])
     parser.close()
     lines = parser.lines
-    allowed = [line for line in lines if not line.out]
-    if not allowed:
+    if all(line.out for line in lines):
         return ""
     ratios = smoothed(np.array([len(line.text) / line.tags for line in lines]), sigma)
     cut = threshold * ratios.std()
-    seeds = [line for line, ratio in zip(lines, ratios) if ratio >= cut and not line.out] or allowed
-    regions = {line.region for line in seeds if line.region} or {line.region for line in allowed if line.region}
-    if regions:
+    kept = wrappers(parser, [line for line, ratio in zip(lines, ratios) if ratio >= cut and not line.out])
+    allowed = [(line, ratio) for line, ratio in zip(lines, ratios) if not line.out and kept.issuperset(line.doubtful)]
+    if not allowed:
+        return ""
+    seeds = [i for i, (_, ratio) in enumerate(allowed) if ratio >= cut] or list(range(len(allowed)))
+    allowed = [line for line, _ in allowed]
+    loose = [i for i in seeds if not allowed[i].region]
+    if 2 * sum(len(allowed[i].text) for i in loose) <= sum(len(allowed[i].text) for i in seeds):
+        regions = {allowed[i].region for i in seeds} - {0}
         return " ".join(line.text for line in allowed if line.region in regions)
-    parents = {line.parent for line in seeds}
-    first, last = allowed.index(seeds[0]), allowed.index(seeds[-1])
-    return " ".join(line.text for i, line in enumerate(allowed) if first <= i <= last or line.parent in parents)
+    parents = {allowed[i].parent for i in loose}
+    return " ".join(line.text for i, line in enumerate(allowed) if loose[0] <= i <= loose[-1] or line.parent in parents)
 
 
 def extract_main_text(pages: DataFrame, sigma: float = SIGMA, threshold: float = THRESHOLD) -> DataFrame:

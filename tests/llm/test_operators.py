@@ -153,6 +153,26 @@ def test_main_text(spark):
     assert np.allclose(html_density.smoothed(np.ones(5)), 1)
 
 
+LONG = "A long paragraph of the text itself with many words and no markup between them. " * 4
+TEASER = "<article class=card><h3>Next</h3><p>Another story that is told elsewhere on this site.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "html, want, never",
+    [
+        (f"<body><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>{TEASER}</body>", ["Title", LONG.strip()], ["Another"]),
+        (f"<body><div><h1>Title</h1><p>By me</p><p>Now</p><p>{LONG}</p><p>{LONG}</p><ul><li>a</li><li>b</li><li>last</li></ul></div></body>", ["Title", "By me", "last"], []),
+        (f'<body><div class="page has-sidebar"><h1>Title</h1><p>{LONG}</p><div class="sidebar"><p>Side</p></div></div></body>', ["Title", LONG.strip()], ["Side"]),
+        (f'<body><div class="with-sidebar"><article class="post no-comments"><p>{LONG}</p><div class="ad">Buy</div></article></div></body>', [LONG.strip()], ["Buy"]),
+        (f'<body><article><p>{LONG}</p></article><div id="comments"><article class="comment"><p>Reader {LONG}{LONG}</p></article></div></body>', [LONG.strip()], ["Reader"]),
+        ('<body><nav>Menu</nav><div class="wrap sidebar-left"><p>' + LONG + "</p><p>End</p></div></body>", [LONG.strip(), "End"], ["Menu"]),
+    ],
+)
+def test_main_text_of_other_layouts(html, want, never):
+    text = html_density.main_text(html)
+    assert all(w in text for w in want) and not any(n in text for n in never)
+
+
 def test_packing(spark, docs):
     out = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).toPandas()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
