@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many sites go; so do documents of which nothing else is left."""
-    return line_spread.clean_documents(docs)
+    """Lines of many sites go, and long ones of two; so do documents of which nothing else is left."""
+    return line_spread.clean_documents(docs, long_sites=2)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ line merge by aggregation; where the estimate is within ``margin`` of the thresh
 of at least ``least_sites`` sites is boilerplate: it stays in the document with the smallest doc_id that has it and goes
 from all others.  Blank lines are no lines and stay.
 
+With ``long_sites``, lines of over ``LONG_WORDS`` words (runs outside the blanks) are spread from that many sites on.  Only
+whole lines are compared: repeats within one site and passages inside longer lines stay.
+
 Defined results: a null text stays null; a null source is no site; a row with a null doc_id is never a line's first
 document; repeated rows are treated alike; an empty table gives no rows; other columns pass through.
 """
@@ -13,16 +16,21 @@ from __future__ import annotations
 
 from math import ceil, sqrt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-LEAST_SITES, LG_CONFIG_K = 3, 12
+LEAST_SITES, LG_CONFIG_K, LONG_WORDS = 3, 12, 50
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _hashed_lines(keyed: DataFrame) -> DataFrame:
     lines = keyed.select("_row", "_row2", "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
-    return lines.select("_row", "_row2", "doc_id", "source", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    return lines.select("_row", "_row2", "doc_id", "source", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), _is_long("line").alias("long"))
+
+
+def _is_long(name: str) -> Column:
+    """Whether a line without blanks at its ends has over LONG_WORDS words; the words of a short one are not counted."""
+    return F.when(F.length(name) > 2 * LONG_WORDS, F.size(F.split(name, r"[\x20\x09-\x0D]+")) > LONG_WORDS).otherwise(False)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -34,23 +42,25 @@ def margin(least_sites: int, lg_config_k: int = LG_CONFIG_K) -> int:
     return max(1, ceil(3 * 1.04 / sqrt(1 << lg_config_k) * least_sites))
 
 
-def spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: int = LG_CONFIG_K) -> DataFrame:
-    """Lines of at least ``least_sites`` sites: h1, h2, first_doc."""
+def spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: int = LG_CONFIG_K, long_sites: int | None = None) -> DataFrame:
+    """Lines of at least ``least_sites`` sites, long ones of at least ``long_sites``: h1, h2, first_doc."""
     lines = _hashed_lines(_keyed(docs.select("doc_id", "source", "text")))
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("source"), lg_config_k)).alias("about"), F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-    near = margin(least_sites, lg_config_k)
-    candidates = sketched.where((F.col("n") >= least_sites) & (F.col("about") >= least_sites - near))
-    counted = lines.where("source is not null").join(candidates.where(F.col("about") <= least_sites + near).select("h1", "h2"), ["h1", "h2"], "left_semi")
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("source"), lg_config_k)).alias("about"), F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), *([] if long_sites is None else [F.first("long").alias("long")]))
+    near = margin(max(least_sites, long_sites or 0), lg_config_k)
+    least = F.lit(least_sites) if long_sites is None else F.when(F.col("long"), long_sites).otherwise(least_sites)
+    sketched = sketched.withColumn("least", least).drop("long")
+    candidates = sketched.where((F.col("n") >= F.col("least")) & (F.col("about") >= F.col("least") - near))
+    counted = lines.where("source is not null").join(candidates.where(F.col("about") <= F.col("least") + near).select("h1", "h2"), ["h1", "h2"], "left_semi")
     exact = counted.groupBy("h1", "h2", "source").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    certain = candidates.where(F.col("about") > least_sites + near).select("h1", "h2", "first_doc")
-    checked = candidates.join(exact.where(F.col("sites") >= least_sites), ["h1", "h2"]).select("h1", "h2", "first_doc")
+    certain = candidates.where(F.col("about") > F.col("least") + near).select("h1", "h2", "first_doc")
+    checked = candidates.where(F.col("about") <= F.col("least") + near).join(exact, ["h1", "h2"]).where(F.col("sites") >= F.col("least")).select("h1", "h2", "first_doc")
     return certain.unionByName(checked)
 
 
-def remove_spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: int = LG_CONFIG_K) -> DataFrame:
+def remove_spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: int = LG_CONFIG_K, long_sites: int | None = None) -> DataFrame:
     """The documents with cleaned texts, n_lines (not blank) and n_removed."""
     docs = docs.drop("n_lines", "n_removed", "_row", "_row2", "_gone")
-    keyed, spread = _keyed(docs), spread_lines(docs, least_sites, lg_config_k)
+    keyed, spread = _keyed(docs), spread_lines(docs, least_sites, lg_config_k, long_sites)
     lines = _hashed_lines(keyed.select("_row", "_row2", "doc_id", "source", "text"))
     hits = lines.join(spread, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = hits.groupBy("_row", "_row2").agg(F.collect_set("pos").alias("_gone"))

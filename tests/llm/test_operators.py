@@ -330,6 +330,16 @@ def test_line_spread(spark, docs):
     assert line_spread.remove_spread_lines(empty(spark)).count() == 0
 
 
+def test_pipeline_removes_long_lines_of_two_sites(spark):
+    import corpus_pipeline
+
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    two, one, short, three = words("a", 51), words("b", 51), words("c", 50), words("d", 5)
+    rows = [(i, f"own {i}\n" + "\n".join(x), "en", s, 0) for i, (s, x) in enumerate([("s0", [two, one, short, three]), ("s1", [f"  {two}\t", short, three]), ("s0", [one, two]), ("s2", [three])])]
+    out = by_id(corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), ""))
+    assert {i: r.text.split("\n") for i, r in out.items()} == {0: ["own 0", two, one, short, three], 1: ["own 1", short], 2: ["own 2", one], 3: ["own 3"]}
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
     from driftcloud.llm.common import stored
