@@ -25,10 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id (of equal rows, one)."""
-    kept = minhash.near_duplicates(docs).where("kept or doc_id is null").select("doc_id").where("doc_id is not null").distinct()
-    single = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies stays, that with the smallest id; rows with an equal id and other texts are other documents."""
+    return minhash.keep_one_of_each(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

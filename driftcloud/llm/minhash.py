@@ -1,18 +1,22 @@
 """Operator 2: near duplicates by one-permutation MinHash with optimal densification.
 
-A document's word shingles are hashed once; the hash's top bits name a bin and each bin keeps its smallest hash.  Empty
-bins copy a full bin that a shared sequence of random probes finds (optimal densification).  Signatures are cut into
+A document's word shingles are hashed once; the hash's place in its range names a bin and each bin keeps its smallest hash.
+Empty bins copy a full bin that a shared sequence of random probes finds (optimal densification).  Signatures are cut into
 bands; a band's value is a bucket.  Documents with the same shingle set form a class first, and only one of each class
 goes on.  A bucket's candidate edges form a star around its smallest member, so their number is linear in its size; every
-edge is confirmed on full sets.  Where members of a bucket are in different components afterwards, those that have too few
-shingles in common with all the rest to be similar to any are settled; the others are compared around further hubs, four
-times as many each round, until each bucket is one component or all of its members have been hubs: no link inside a
-bucket is lost.  With 32 bands of 4 bins, a pair at similarity 0.8 shares no bucket with a chance of about 5e-8.
-
-Shingles are identified by 64-bit hashes and whole sets by 128 bits.  Defined results: a null or blank text has an empty set and is
-linked with nothing; a text shorter than a shingle is one shingle; equal texts are linked; rows with an equal doc_id share
-a component where they are linked, and each keeps its row; a null doc_id stays alone, with a null component; an empty
-table gives no rows; extra columns are ignored.
+edge is confirmed on full sets.  With 64 bands of 6 bins, a pair at similarity 0.8 shares no bucket with a chance of 4e-9.
+
+A star alone can lose a link between two members that are both far from the hub.  So the stars whose members did not all
+become one component are looked at again, in two steps.  Members that have too few shingles in common with all the rest to be
+similar to any are settled.  Then each such star gets a second hub, the member that shares most of its shingles.  What is
+still apart is joined exactly on rare shingles (prefixes of the sets in order of frequency, with positions): of two similar
+sets each has one of the other's rarest shingles among its own rarest.  Components are carried from step to step.
+
+Shingles are identified by 64-bit hashes and whole sets by 128 bits.  Rows are told apart by a number of their own, not by
+doc_id.  Defined results: a null or blank text has an empty set and is linked with nothing; a text shorter than a shingle is
+one shingle; equal texts are linked; rows with an equal doc_id but different texts are different nodes, and each row
+carries the smallest doc_id of its component; a null doc_id takes part, and its component_id is null where no member has an
+id; an empty table gives no rows; extra columns are ignored by ``near_duplicates`` and returned by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -21,14 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_batches, stored, text_or_empty
+from .common import discard, map_batches, stored, text_or_empty
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-BINS, ROWS = 128, 4
-#: Bytes of shingle sets that may be broadcast; larger ones are joined.
-MOST_BROADCAST = 64 << 20
+BINS, ROWS = 384, 6
 _U = np.uint64
 
 
@@ -95,10 +97,9 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """One row of ``bins`` minima per set (sets not empty)."""
-    shift = _U(64 - (bins - 1).bit_length())
     out, full = np.zeros((len(sets), bins), _U), np.zeros((len(sets), bins), bool)
     for i, s in enumerate(sets):
-        at = (s >> shift).astype(np.int64)
+        at = ((s >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64)
         first = np.concatenate([[True], at[1:] != at[:-1]])  # sorted by hash, so by bin, smallest first
         out[i, at[first]], full[i, at[first]] = s[first], True
     doc, empty = np.nonzero(~full)
@@ -121,8 +122,13 @@ def buckets(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return value
 
 
-def sketch(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (128 bits for the whole set), buckets (none for sets that can only be linked to equal ones)."""
+def _numbered(docs: DataFrame, **extra: Column) -> DataFrame:
+    """The documents stored with a number for each row, so that every later step means the same row by it."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), *[c.alias(n) for n, c in extra.items()]))
+
+
+def sketch(texts: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+    """row, doc_id, n (set size), k1 and k2 (128 bits for the whole set), buckets (none for sets that can only be linked to equal ones)."""
     least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,51 +141,30 @@ def sketch(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILAR_P
                     lists[i] = row
             k1 = np.array([s.sum(dtype=_U) if len(s) else 0 for s in sets], _U).astype(np.int64)
             k2 = np.array([_mix(s + _U(7)).sum(dtype=_U) if len(s) else 0 for s in sets], _U).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "buckets"])
-
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text")), run, "doc_id long, n long, k1 long, k2 long, buckets array<long>", rows=2048)
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int32()), pa.array(k1), pa.array(k2), pa.array(lists, pa.list_(pa.int64()))], ["row", "doc_id", "n", "k1", "k2", "buckets"]
+            )
 
+    return map_batches(texts.select("row", "doc_id", "text"), run, "row long, doc_id long, n int, k1 long, k2 long, buckets array<long>", rows=1024)
 
-def _packed_sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in shingle_sets(batch["text"], words)], pa.binary())], ["doc_id", "shingles"])
 
-    return map_batches(docs, run, "doc_id long, shingles binary")
-
-
-def _shingle_rows(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x.as_py(), np.int64) for x in batch["shingles"]]
-            ids = np.repeat(batch["doc_id"].to_numpy(zero_copy_only=False), [len(s) for s in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["doc_id", "g"])
-
-    return map_batches(sets, run, "doc_id long, g long")
-
-
-def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Stored shingle sets of the wanted doc_ids, marked for broadcast where all of them are known to be small."""
-    sets = stored(_packed_sets(docs.join(wanted, "doc_id", "left_semi"), words), "none")
-    size = sets.agg(F.sum(F.octet_length("shingles") + 64)).first()[0] or 0
-    return F.broadcast(sets) if size <= MOST_BROADCAST else sets
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows whose full sets are similar enough."""
+    both = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hubs, which = np.unique(batch["a"].to_numpy(), return_index=True)  # a hub's pairs stand together
+            of_hub = dict(zip(hubs.tolist(), shingle_sets(batch["ta"].take(pa.array(which)), words)))
             keep = []
-            for x, y in zip(batch["sa"], batch["sb"]):
-                p, q = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
+            for a, q in zip(batch["a"].to_pylist(), shingle_sets(batch["tb"], words)):
+                p = of_hub[a]
                 merged = np.sort(np.concatenate([p, q]), kind="stable")
                 common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+                keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(both.select("a", "b", "sa", "sb"), run, "a long, b long")
+    return map_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long", rows=1024)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,80 +176,138 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         step = stored(lower.join(of, "component").select("node", "old", F.least("component", "further").alias("component")))
-        labels = step.select("node", "component")
+        discard(labels)
         if step.where("old <> component").isEmpty():
-            return labels
+            discard(links)
+            return step.select("node", "component")
+        labels = step
+
+
+def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components after more edges: only those that the edges touch are worked on."""
+    if labels is None:
+        return components(edges)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    joined = components(between)
+    moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return stored(moved.unionByName(joined.join(labels, "node", "left_anti").select("node", "component")))
+
 
+def _component_of(df: DataFrame, labels: DataFrame | None, row: str, name: str) -> DataFrame:
+    """``df`` with the component of its column ``row`` as ``name``."""
+    if labels is None:
+        return df.withColumn(name, F.col(row))
+    return df.join(labels.select(F.col("node").alias(row), F.col("component").alias(name)), row, "left").withColumn(name, F.coalesce(name, row))
 
-def _residual(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets' members (bucket, rep, n) with their components, where a bucket has more than one."""
-    known = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return known.join(mixed, "bucket", "left_semi")
 
+def _unsettled(stars: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members (star, row, component) of the stars that have more than one component."""
+    known = _component_of(stars, labels, "row", "component")
+    apart = known.groupBy("star").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("star")
+    return known.join(apart, "star", "left_semi")
 
-def _without_lonely(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drops from mixed buckets the documents that no other text in them can be similar to.
 
-    ``percent`` of the union needs common >= p / (1 + p) * (size + other size), and what a document has in common with
-    any other is at most the number of its shingles that some other document of these buckets has.
+def _shingle_rows(texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """row, n and each shingle g of the texts of these rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch["text"], words)
+            for at in range(0, len(sets), 256):
+                part = sets[at : at + 256]
+                sizes = np.array([len(s) for s in part])
+                ids = np.repeat(batch["row"].to_numpy()[at : at + 256], sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(np.concatenate(part).astype(np.int64))], ["row", "n", "g"])
+
+    return map_batches(texts.join(rows, "row", "left_semi").select("row", "text"), run, "row long, n int, g long")
+
+
+def _can_be_linked(texts: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """row, n, shared: rows that have enough shingles in common with all the others together to be similar to one of them.
+
+    ``percent`` of the union needs common >= p / (1 + p) * (size + other size), the other size being p * size at least, and
+    what a text has in common with any other is at most the number of its shingles that some other of these rows has.
     """
     p = percent / 100
-    sizes = members.groupBy("bucket").agg(F.min("n").alias("least"))
-    need = members.join(sizes, "bucket").withColumn("need", p / (1 + p) * (F.col("n") + F.greatest("least", p * F.col("n"))))
-    shingles = _shingle_rows(sets)
-    common = shingles.groupBy("g").agg(F.count("*").alias("docs")).where("docs > 1").select("g")
-    shared = stored(shingles.join(common, "g").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("shared")))
-    return need.join(shared, "rep").where(F.col("shared") + 1e-6 >= F.col("need")).select("bucket", "rep", "n", "component")
-
-
-def _star(members: DataFrame, percent: int, hubs_each: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Edges around each bucket's smallest members that set sizes allow, and the members without these hubs."""
-    if hubs_each == 1:
-        hubs = members.groupBy("bucket").agg(F.min(F.struct(*[c for c in members.columns if c != "bucket"])).alias("hub"), F.count("*").alias("size")).where("size > 1").select("bucket", "hub")
-        rest = members.join(hubs, "bucket").where("rep <> hub.rep")
-        both = rest
-    else:
-        ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
-        hubs = ranked.where(F.col("rank") <= hubs_each).select("bucket", F.struct("rep", "n", "component").alias("hub"))
-        rest = ranked.where(F.col("rank") > hubs_each)
-        both = members.join(hubs, "bucket").where("hub.rep < rep")
-    fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    if "component" in members.columns:
-        fits = fits & (F.col("component") != F.col("hub.component"))
-    return both.where(fits).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), rest.select("bucket", "rep", "n")
+    shingles = _shingle_rows(texts, rows, words)
+    common = shingles.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1").select("g")
+    shared = shingles.join(common, "g").groupBy("row").agg(F.first("n").alias("n"), F.count("*").alias("shared"))
+    return stored(shared.where(F.col("shared") + 1e-6 >= p * F.col("n")))
+
+
+def _second_hubs(members: DataFrame, linkable: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each star's member that shares most of its shingles with the members of other components."""
+    scored = members.join(linkable, "row").withColumn("part", F.col("shared") / F.col("n"))
+    hubs = scored.groupBy("star").agg(F.max_by("row", "part").alias("hub"), F.max_by("n", "part").alias("hub_n"), F.max_by("component", "part").alias("hub_component"))
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    return scored.join(hubs, "star").where((F.col("component") != F.col("hub_component")) & fits).select(F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b")).distinct()
+
+
+def _rare_shingle_pairs(texts: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs of rows of different components that can be similar, by prefixes in order of frequency and positions in them."""
+    p = percent / 100
+    rows = members.groupBy("row").agg(F.first("component").alias("component"))
+    shingles = _shingle_rows(texts, rows.select("row"), words)
+    counts = shingles.groupBy("g").agg(F.count("*").alias("rows"))
+    ordered = shingles.join(counts, "g").groupBy("row").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rows", "g"))).alias("all"))  # one text's own shingles
+    prefix = F.slice("all", 1, F.col("n") - F.ceil(p * F.col("n") - 1e-9).cast("int") + 1)
+    tokens = ordered.select("row", "n", F.posexplode(prefix).alias("at", "s")).where("s.rows > 1").select("row", "n", (F.col("n") - F.col("at")).alias("rest"), F.col("s.g").alias("g"))
+    tokens = stored(tokens.join(rows, "row"))
+    x, y = (tokens.select("g", *[F.col(c).alias(c + k) for c in ("row", "n", "rest", "component")]) for k in "xy")
+    possible = F.least("restx", "resty") + 1e-6 >= p / (1 + p) * (F.col("nx") + F.col("ny"))
+    return x.join(y, "g").where((F.col("rowx") < F.col("rowy")) & (F.col("componentx") != F.col("componenty")) & possible).select(F.col("rowx").alias("a"), F.col("rowy").alias("b")).distinct()
+
+
+def linked_rows(texts: DataFrame, words: int, percent: int, bins: int, rows: int) -> DataFrame:
+    """Every row of the numbered texts: row, doc_id, n, component_id (smallest doc_id of its component) and first (whether it is
+    its component's row with the smallest doc_id, of equal ones the first)."""
+    sketched = stored(sketch(texts, words, percent, bins, rows))
+    classes = stored(sketched.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("rep")))
+    members = sketched.where("size(buckets) > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.explode("buckets").alias("bucket"), "row", "n")
+    hubs = members.groupBy("bucket").agg(F.min("row").alias("star"), F.min_by("n", "row").alias("star_n"), F.count("*").alias("size")).where("size > 1")
+    fits = 100 * F.least("n", "star_n") >= percent * F.greatest("n", "star_n")
+    stars = stored(members.join(hubs.drop("size"), "bucket").where("row <> star").select("star", "row", fits.alias("fits")).distinct())
+    labels = None
+    if not stars.isEmpty():
+        wanted = stars.select("row").unionByName(stars.select(F.col("star").alias("row"))).distinct()
+        texts = stored(texts.select("row", "text").join(wanted, "row", "left_semi"))
+
+        def add(pairs: DataFrame) -> None:
+            nonlocal labels
+            found = stored(confirm(stored(pairs), texts, words, percent))
+            if not found.isEmpty():
+                labels = merge(labels, found)
+
+        add(stars.where("fits").select(F.col("star").alias("a"), F.col("row").alias("b")))
+        stars = stars.select("star", "row")
+        # a star whose hub has linked all its members is one component; a member elsewhere may be similar to any other of them
+        members = stored(_unsettled(stars.unionByName(stars.select("star", F.col("star").alias("row")).distinct()), labels))
+        if not members.isEmpty():
+            linkable = _can_be_linked(texts, members.select("row").distinct(), words, percent)
+            members = stored(_unsettled(members.select("star", "row").join(linkable.select("row"), "row", "left_semi"), labels))
+            if not members.isEmpty():
+                add(_second_hubs(members, linkable, percent))
+                members = stored(_unsettled(members.select("star", "row"), labels))
+                if not members.isEmpty():
+                    add(_rare_shingle_pairs(texts, members, words, percent))
+        discard(texts)
+    named = _component_of(classes, labels, "rep", "component").select("k1", "k2", "n", "component")
+    rows = stored(sketched.where("n > 0").select("row", "doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"]).select("row", "doc_id", "n", "component"))
+    firsts = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
+    out = rows.join(firsts, "component").select("row", "doc_id", "n", "component_id", (F.col("row") == F.col("least.row")).alias("first"))
+    alone = sketched.where("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return out.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    sketched = stored(sketch(docs, words, percent, bins, rows))
-    classes = sketched.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = stored(sketched.where("size(buckets) > 0").join(classes, ["k1", "k2", "n"]).where("doc_id = rep").select("rep", "n", "buckets").dropDuplicates(["rep"]))
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
-    members = reps.select(F.explode("buckets").alias("bucket"), "rep", "n")
-    edges, labels, tested, hubs_each, sets = None, None, None, 1, None
-    while True:
-        pairs, rest = _star(members, percent, hubs_each)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            if sets is None:
-                sets = _sets_of(texts, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), words)
-            new = stored(confirm(pairs, sets, percent))
-            if labels is None or not new.isEmpty():
-                edges = new if edges is None else stored(edges.unionByName(new))
-                labels = components(edges)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-        elif labels is None:
-            break
-        mixed = stored(_residual(rest, labels))
-        if hubs_each == 1 and not mixed.isEmpty():
-            sets = _sets_of(texts, mixed.select(F.col("rep").alias("doc_id")).distinct(), words)
-            mixed = stored(_residual(_without_lonely(mixed, sets, percent).drop("component"), labels))
-        if mixed.isEmpty():
-            break
-        members, hubs_each = mixed, 4 * hubs_each
-    result = sketched.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
-    if labels is not None:
-        result = result.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "doc_id")).cast("long")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    out = linked_rows(_numbered(docs), words, percent, bins, rows)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+    """The documents, with their own columns, of which none similar has a smaller doc_id (of equal doc_ids, the first row)."""
+    texts = _numbered(docs, _doc=F.struct(*docs.columns))
+    kept = linked_rows(texts, words, percent, bins, rows).where("first").select("row")
+    return texts.select("row", "_doc").join(kept, "row", "left_semi").select("_doc.*")

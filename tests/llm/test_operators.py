@@ -84,15 +84,12 @@ def brute_components(rows, words, percent):
     for i, t in rows:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
-    comp = {i: i for i in sets}
-    changed = True
-    while changed:
-        changed = False
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and comp[a] != comp[b]:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-                    changed = True
+    ids = sorted(sets)
+    comp = {i: i for i in ids}
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * (n := len(sets[a] & sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - n)]
+    while any(comp[a] != comp[b] for a, b in links):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
     return sets, comp
 
 
@@ -113,6 +110,38 @@ def test_near_duplicates(spark, docs):
     assert by_id(minhash.near_duplicates(docs))[None].component_id is None
 
 
+def test_near_duplicates_in_a_hot_bucket(spark):
+    """500 texts of which any two are at a similarity around the threshold, and copies of one and of blank texts."""
+    rng = np.random.default_rng(5)
+    base = [f"t{x}" for x in range(120)]
+    rows = []
+    for k, choice in enumerate(rng.permutation(6**4)[:500]):
+        w = list(base)
+        for at in range(4):
+            w[20 + 25 * at] = f"n{at}_{choice // 6**at % 6}" + (f"x{k}" if k % 3 == 0 and at < 2 else "")
+        if k % 7 == 0:
+            w[5] = w[110] = f"own{k}"
+        rows.append((int(3 * k + 1), " ".join(w)))
+    rows += [(5000 + k, rows[9][1]) for k in range(60)] + [(6000 + k, " \t") for k in range(30)]
+    sets, comp = brute_components(rows, 4, 80)
+    assert 1 < len({comp[i] for i, _ in rows[:500]}) < 400
+    out = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 80))
+    assert {i: out[i].component_id for i in comp} == comp and {i: out[i].n_shingles for i in sets} == {i: len(x) for i, x in sets.items()}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows with an equal id and other texts are other documents; of equal texts the row with the smallest id stays, an id before none."""
+    a, b, c = (" ".join(f"{t}{i}" for i in range(40)) for t in "abc")
+    rows = [(1, a), (1, b), (2, c), (None, b), (7, a), (7, a), (None, c + " more"), (None, None), (9, ""), (None, "lone words of no other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("r"), "_doc": F.lit(1), "n": F.lit(0)})
+    out = minhash.near_duplicates(docs, 4, 80).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == sorted([(1, 1, True), (1, 1, True), (2, 2, True), (0, 1, False), (7, 1, False), (7, 1, False), (0, 2, False), (0, 0, True), (9, 9, True), (0, 0, True)])
+    kept = minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (1, b), (2, c), (0, ""), (9, ""), (0, "lone words of no other")])
+    assert minhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
 def test_viterbi(spark, docs):
     model = viterbi.Viterbi(public_tokenizers.path("piece_bpe_32k.model"))
 
