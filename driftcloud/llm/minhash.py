@@ -280,9 +280,8 @@ def linked_rows(texts: DataFrame, words: int, percent: int, bins: int, rows: int
                 labels = merge(labels, found)
 
         add(stars.where("fits").select(F.col("star").alias("a"), F.col("row").alias("b")))
-        stars = stars.select("star", "row")
-        # a star whose hub has linked all its members is one component; a member elsewhere may be similar to any other of them
-        members = stored(_unsettled(stars.unionByName(stars.select("star", F.col("star").alias("row")).distinct()), labels))
+        # the hub has met all its star; left are members of different components that have not met each other
+        members = stored(_unsettled(stars.select("star", "row"), labels))
         if not members.isEmpty():
             linkable = _can_be_linked(texts, members.select("row").distinct(), words, percent)
             members = stored(_unsettled(members.select("star", "row").join(linkable.select("row"), "row", "left_semi"), labels))

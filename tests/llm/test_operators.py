@@ -263,64 +263,107 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
-def test_ctw(spark, docs):
-    out = by_id(ctw.score_documents(docs.where("doc_id is null or doc_id <> 3")))
-    train = [(i, t or "") for i, t in enumerate(TEXTS) if i != 3 and zlib.crc32(str(i).encode()) % 5 != 1] + [(None, "null id")]
-    counts = Counter(w for _, t in train for w in [*t.encode().lower().split(), b""])
-    n, v = sum(counts.values()), len(counts)
-    for i, t in enumerate(TEXTS):
-        if i == 3:
-            continue
-        tokens = [*(t or "").encode().lower().split(), b""]
-        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
-        assert out[i].base_score == pytest.approx(base) and out[i].n_tokens == len(tokens) and out[i].train_tokens == n
-        assert out[i].n_known == sum(counts[w] > 0 for w in tokens) and out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
-        assert out[i].score < 0
-
-
-def test_ctw_keeps_every_context(spark, docs):
-    """Scores equal those of a tree in memory over all contexts of all depths, however rare, for seen and unseen histories."""
-    rows = docs.where("doc_id is not null and doc_id <> 3").select("doc_id", "text").unionByName(spark.createDataFrame([(i, f"rare{i} qz{i * i} vwx {'the cat' * (i % 3)}") for i in range(20, 40)], "doc_id long, text string"))
-    out, texts = by_id(ctw.score_documents(rows)), {r.doc_id: b" ".join((r.text or "").encode().lower().split()) + b"\n" for r in rows.collect()}
-    pad = b"\n" * ctw.DEPTH
-    levels = []
-    for d in range(ctw.DEPTH + 1):
-        seen = Counter((int.from_bytes((pad + t)[k + ctw.DEPTH - d : k + ctw.DEPTH], "big"), t[k]) for i, t in texts.items() if not out[i].held_out for k in range(len(t)))
-        codes = sorted({c for c, _ in seen})
-        counts = np.zeros((len(codes), 256))
-        place = {c: n for n, c in enumerate(codes)}
-        for (c, byte), n in seen.items():
-            counts[place[c], byte] = n
-        levels.append((np.array(codes, np.int64), counts))
-    table, places, first = ctw.Model(levels).table, [], 0
-    for codes, _ in levels:
-        places.append({c: first + n for n, c in enumerate(codes.tolist())})
-        first += len(codes)
-    assert sum(r.held_out for r in out.values()) > 1
-    for i, t in texts.items():
-        want = 0.0
-        for k in range(len(t)):
-            d = max(d for d in range(ctw.DEPTH + 1) if int.from_bytes((pad + t)[k + ctw.DEPTH - d : k + ctw.DEPTH], "big") in places[d])
-            want += table[places[d][int.from_bytes((pad + t)[k + ctw.DEPTH - d : k + ctw.DEPTH], "big")], t[k]]
-        assert out[i].score == pytest.approx(want, rel=1e-4)
-        assert out[i].bits_per_byte == pytest.approx(-want / math.log10(2) / len(t), rel=1e-4)
-    assert ctw.score_documents(empty(spark)).count() == 0
+def normal(text):
+    return b" ".join((text or "").encode().lower().split()) + b"\n"
+
+
+def brute_ctw(train, texts, depth=ctw.DEPTH):
+    """log10 probabilities of the texts by the recursion of context-tree weighting, node by node; every context of train and texts is a node."""
+    counts = {}
+    for t, weight in [(t, 1) for t in train] + [(t, 0) for t in texts]:
+        padded = b"\n" * depth + t
+        for i in range(depth, len(padded)):
+            for k in range(8):
+                for d in range(depth + 1):
+                    node = counts.setdefault((padded[i - d : i], (256 | padded[i]) >> (k + 1)), [0, 0])
+                    node[padded[i] >> k & 1] += weight
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weighted, inner = {}, Counter()
+    for context, node in sorted(counts, key=lambda c: -len(c[0])):
+        own = kt(*counts[context, node])
+        weighted[context, node] = own if len(context) == depth else math.log(0.5) + np.logaddexp(own, inner[context, node])
+        if context:
+            inner[context[1:], node] += weighted[context, node]
+
+    def mixed(context, node, bit):  # context: all depth bytes
+        p = 0.0
+        for d in range(depth, -1, -1):
+            c = context[depth - d :]
+            n = counts[c, node]
+            weight = 1.0 if d == depth else math.exp(math.log(0.5) + kt(*n) - weighted[c, node])
+            p = weight * (n[bit] + 0.5) / (sum(n) + 1) + (1 - weight) * p
+        return p
+
+    out = []
+    for t in texts:
+        padded = b"\n" * depth + t
+        out.append(sum(math.log10(mixed(padded[i - depth : i], (256 | padded[i]) >> (k + 1), padded[i] >> k & 1)) for i in range(depth, len(padded)) for k in range(8)))
+    return out
 
 
-def test_ctw_is_a_distribution():
-    rng = np.random.default_rng(0)
-    data = rng.integers(97, 100, 4000)
-    levels = []
-    for d in range(4):
-        code = sum(data[3 - 1 - k : len(data) - 1 - k].astype(np.int64) << 8 * k for k in range(d)) if d else np.zeros(len(data) - 3, np.int64)
-        code = code[: len(data) - 3]
-        codes, where = np.unique(code, return_inverse=True)
-        counts = np.zeros((len(codes), 256))
-        np.add.at(counts, (where, data[3:]), 1)
-        levels.append((codes, counts))
-    model = ctw.Model(levels)
-    assert np.allclose((10 ** model.table.astype(float)).sum(axis=1), 1, atol=1e-4)
-    assert np.allclose(ctw._log_kt(np.array([2.0]), np.array([1.0])), math.log(0.5 * 0.75 * 0.5 / 3))
+@pytest.fixture(scope="module")
+def scored_rows(spark, docs):
+    more = [(i, f"rare{i} qz{i * i} vwx {'the cat' * (i % 3)}") for i in range(20, 60)] + [(70, "The cat sat"), (71, "the CAT sat"), (72, "the cat sat"), (73, "the cat sat")]
+    rows = docs.where("doc_id is null or doc_id <> 3").select("doc_id", "text", "kept").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumn("kept", F.lit(1)))
+    rows = rows.unionByName(rows.where("doc_id = 4"))
+    return rows, [(r.doc_id, r.text or "") for r in rows.collect()]
+
+
+def test_ctw(spark, scored_rows):
+    df, rows = scored_rows
+    out = ctw.score_documents(df.repartition(3)).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    train = [t for i, t in rows if not held(i)]
+    counts = Counter(w for t in train for w in [*t.encode().lower().split(), b""])
+    n, v = sum(counts.values()), len(counts)
+    texts = dict(rows)
+    want = dict(zip(texts, brute_ctw([normal(t) for t in train], [normal(t) for t in texts.values()])))
+    assert len(out) == len(rows) and sorted(map(str, (r.doc_id for r in out))) == sorted(str(i) for i, _ in rows)
+    assert sum(r.held_out for r in out) > 1
+    for r in out:
+        tokens = [*texts[r.doc_id].encode().lower().split(), b""]
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), rel=1e-12)
+        assert (r.n_tokens, r.train_tokens, r.n_known, r.held_out) == (len(tokens), n, sum(counts[w] > 0 for w in tokens), held(r.doc_id))
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-8)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / len(normal(texts[r.doc_id])), rel=1e-12)
+    for same in ({70, 71, 72, 73}, {6, 7}):
+        assert len({(r.score, r.base_score) for r in out if r.doc_id in same}) == 1
+
+
+def test_ctw_of_slices_blocks_and_salts(spark, scored_rows, monkeypatch):
+    """Small slices, blocks, salts and portions give the same scores."""
+    df, rows = scored_rows
+    whole = {(r.doc_id, r.n_tokens): r for r in ctw.score_documents(df).collect()}
+    for name, value in (("SLICE_BYTES", 600), ("BLOCK_BYTES", 900), ("BLOCKS_A_SALT", 3), ("MIXED_AT_ONCE", 5)):
+        monkeypatch.setattr(ctw, name, value)
+    out = ctw.score_documents(df).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        w = whole[r.doc_id, r.n_tokens]
+        assert (r.n_known, r.train_tokens, r.held_out) == (w.n_known, w.train_tokens, w.held_out)
+        assert r.score == pytest.approx(w.score, rel=1e-11) and r.base_score == pytest.approx(w.base_score, rel=1e-12)
+
+
+def test_ctw_reads_long_texts_in_slices(monkeypatch):
+    monkeypatch.setattr(ctw, "SLICE_BYTES", 50)
+    for text in [*(t or "" for t in TEXTS), " a " * 40 + "x" * 300, "y" * 200 + " " * 200]:
+        reader, words = ctw.Reader(), []
+        for some in ctw._read(reader, 0, text):
+            words += some
+        assert words == text.encode().lower().split()
+        grams, of, first = reader.grams()
+        whole = b"\n" * ctw.DEPTH + normal(text)
+        assert bytes((grams & 255).astype(np.uint8)) == normal(text) and len(first) == len(of)
+        assert all(g == sum(whole[i + ctw.DEPTH - k] << 8 * (ctw.DEPTH + 1 - k) for k in range(1, ctw.DEPTH + 1)) | whole[i + ctw.DEPTH] for i, g in enumerate(grams.tolist()))
+
+
+def test_ctw_without_rows_or_training(spark):
+    assert ctw.score_documents(empty(spark)).count() == 0
+    out = ctw.score_documents(spark.createDataFrame([(2, "Some words"), (2, None)], "doc_id long, text string").where("crc32(cast(doc_id as string)) % 5 = 1")).collect()
+    assert zlib.crc32(b"2") % 5 != 1 or len(out) == 2
+    lone = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    (r,) = ctw.score_documents(spark.createDataFrame([(lone, "Some words")], "doc_id long, text string")).collect()
+    assert r.held_out and (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.score == pytest.approx(-len("some words\n") * 8 * math.log10(2)) and r.base_score == 0
 
 
 def test_wavelet(spark, docs):
