@@ -28,6 +28,7 @@ from math import log, log10, pi
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches, stored, text_or_empty
@@ -109,6 +110,18 @@ def _summed(values: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarr
     return found, np.bincount(where, np.concatenate(times), len(found)).astype(np.int64)  # exact below 2**53
 
 
+def _squeezed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers, or the steps between ascending ones, by planes of bytes, of which the high ones are mostly zero."""
+    steps = np.diff(values, prepend=values.dtype.type(0)) if ascending else values
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T).tobytes())
+
+
+def _unsqueezed(data: bytes, kind: str, ascending: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if ascending else values
+
+
 def _part(n: int, schema: str, **columns: pa.Array) -> pa.RecordBatch:
     types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
     named = [x.split() for x in schema.split(", ")]
@@ -144,12 +157,12 @@ class Block:
         grams, times = _summed(self.grams, self.times)
         shards = (grams >> 32).astype(np.int32)
         cuts = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(grams))
-        low, n = grams.astype("<u4"), times.astype("<i8")
-        packed = [(GRAMS, int(shards[a]), low[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        low = grams.astype("<u4")
+        packed = [(GRAMS, int(shards[a]), _squeezed(low[a:b], True), _squeezed(times[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         dealt: dict[int, list[bytes]] = {}
         for word in (*self.words, *(self.unseen - self.words.keys())):
             dealt.setdefault(zlib.crc32(word) % WORD_SHARDS, []).append(word)
-        packed += [(WORDS, shard, b" ".join(words), np.array([self.words[w] for w in words], "<i8").tobytes()) for shard, words in dealt.items()]
+        packed += [(WORDS, shard, b" ".join(words), _squeezed(np.array([self.words[w] for w in words], np.int64))) for shard, words in dealt.items()]
         for at in range(0, len(packed), 1024):
             kinds, which, items, counts = zip(*packed[at : at + 1024])
             yield _part(len(kinds), _PARTS, block=pa.array([block] * len(kinds)), kind=pa.array(kinds), shard=pa.array(which), items=pa.array(items), counts=pa.array(counts))
@@ -266,9 +279,9 @@ def _by_shard(packed: DataFrame, keys: list[str], schema: str, finish: Callable[
                 if key is not None and at != key:
                     yield finish(*key[:2], *(_summed(grams, times) if key[0] == GRAMS else (list(words), np.fromiter(words.values(), np.int64, len(words)))))
                     grams, times, pending, words = [], [], 0, {}
-                key, n = at, np.frombuffer(counts.as_py(), "<i8")
+                key, n = at, _unsqueezed(counts.as_py(), "<i8")
                 if key[0] == GRAMS:
-                    grams.append(np.frombuffer(items.as_py(), "<u4").astype(np.int64))
+                    grams.append(_unsqueezed(items.as_py(), "<u4", True).astype(np.int64))
                     times.append(n)
                     pending += len(n)
                     if pending > 2 * len(grams[0]) + 1_000_000:
@@ -284,19 +297,19 @@ def _by_shard(packed: DataFrame, keys: list[str], schema: str, finish: Callable[
 
 
 def _pack(items: object) -> bytes:
-    return b" ".join(items) if isinstance(items, list) else items.astype("<u4").tobytes()
+    return b" ".join(items) if isinstance(items, list) else _squeezed(items.astype("<u4"), True)
 
 
 def shard_tables(packed: DataFrame) -> DataFrame:
     """The stored tables of all shards: strings with the probabilities of their bits (and their nodes of depth 2), words with their counts."""
 
     def summed(kind: int, shard: int, items: object, counts: np.ndarray) -> pa.RecordBatch:
-        return _part(1, _PACKED, kind=pa.array([kind]), shard=pa.array([shard]), items=pa.array([_pack(items)]), counts=pa.array([counts.astype("<i8").tobytes()]))
+        return _part(1, _PACKED, kind=pa.array([kind]), shard=pa.array([shard]), items=pa.array([_pack(items)]), counts=pa.array([_squeezed(counts)]))
 
     def table(kind: int, shard: int, items: object, counts: np.ndarray) -> pa.RecordBatch:
         mine = {"kind": pa.array([kind]), "shard": pa.array([shard]), "items": pa.array([_pack(items)])}
         if kind == WORDS:
-            return _part(1, _TABLE, **mine, counts=pa.array([counts.astype("<i8").tobytes()]), n_train=pa.array([int(counts.sum())]), n_distinct=pa.array([int((counts > 0).sum())]))
+            return _part(1, _TABLE, **mine, counts=pa.array([_squeezed(counts)]), n_train=pa.array([int(counts.sum())]), n_distinct=pa.array([int((counts > 0).sum())]))
         bits, top, nodes = mix_shard(items, counts)
         return _part(1, _TABLE, **mine, counts=pa.array([bits.tobytes()]), nodes=pa.array([np.stack([nodes.astype(float), top.zeros, top.ones, top.weighted]).tobytes()]))
 
@@ -349,18 +362,19 @@ def block_values(packed: DataFrame, tables: DataFrame, upper: np.ndarray) -> Dat
             for block, kind, shard, items, counts in zip(*(batch[c].to_pylist() for c in ("block", "kind", "shard", "items", "counts"))):
                 if block is None:  # a shard's table stands before its blocks
                     if kind == WORDS:
-                        known = dict(zip(items.split(b" "), np.frombuffer(counts, "<i8").tolist()))
+                        known = dict(zip(items.split(b" "), _unsqueezed(counts, "<i8").tolist()))
                         continue
-                    known, values = np.frombuffer(items, "<u4"), np.zeros(len(items) // 4)
+                    known = _unsqueezed(items, "<u4", True)
+                    values = np.zeros(len(known))
                     bits, byte = np.frombuffer(counts).reshape(-1, 8), (known & 255).astype(np.int64)
                     ones, zeros, rest = shared.value[:, shard >> 8]
                     for k in range(8):
                         node = (256 | byte) >> (k + 1)
                         values += np.log10(np.where(byte >> k & 1, ones[node], zeros[node]) + rest[node] * bits[:, k])
                 elif kind == WORDS:
-                    rows.append((block, kind, shard, items, np.array([known[w] for w in items.split(b" ")], "<i8").tobytes()))
+                    rows.append((block, kind, shard, items, _squeezed(np.array([known[w] for w in items.split(b" ")], np.int64))))
                 else:
-                    rows.append((block, kind, shard, items, values[np.searchsorted(known, np.frombuffer(items, "<u4"))].tobytes()))
+                    rows.append((block, kind, shard, items, values[np.searchsorted(known, _unsqueezed(items, "<u4", True))].tobytes()))
             if rows:
                 yield _part(len(rows), _VALUES, **{c.split()[0]: pa.array(x) for c, x in zip(_VALUES.split(", "), zip(*rows))})
 
@@ -386,11 +400,11 @@ def score_blocks(parts: DataFrame, n_train: int, n_distinct: int, n_texts: int)
                 if block[n] != current:
                     current, strings, logs, bases, unknown, grams = block[n], [], [], {}, set(), None
                 if kind[n] == GRAMS:
-                    strings.append(np.frombuffer(batch["items"][n].as_py(), "<u4").astype(np.int64) | batch["shard"][n].as_py() << 32)
+                    strings.append(_unsqueezed(batch["items"][n].as_py(), "<u4", True).astype(np.int64) | batch["shard"][n].as_py() << 32)
                     logs.append(np.frombuffer(batch["values"][n].as_py()))
                     n += 1
                 elif kind[n] == WORDS:
-                    for word, c in zip(batch["items"][n].as_py().split(b" "), np.frombuffer(batch["values"][n].as_py(), "<i8").tolist()):
+                    for word, c in zip(batch["items"][n].as_py().split(b" "), _unsqueezed(batch["values"][n].as_py(), "<i8").tolist()):
                         bases[word] = log10((c + 0.5) / denominator)
                         if not c:
                             unknown.add(word)
