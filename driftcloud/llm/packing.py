@@ -1,6 +1,6 @@
 """Operator 5: best-two-fit packing of token sequences.
 
-Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt by a hash into groups of about
+Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt by a hash of their row into groups of about
 ``group_pieces``, whose number follows the data, and each group is packed by one task; a group's only loss against
 packing everything at once is its last bin or two.  A bin is filled greedily, longest piece first; then its smallest
 piece gives way to two unpacked pieces if these fill the gap, grown by that piece, more tightly.
@@ -96,7 +96,7 @@ def best_two_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """The pieces (doc_id, piece, length and any other columns) with sequence_id and offset."""
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # by row, so that equal or missing ids spread
 
     def one_group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
