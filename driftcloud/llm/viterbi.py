@@ -1,9 +1,14 @@
 """Operator 3: SentencePiece encoding and decoding by streaming Viterbi.
 
 Pieces and their scores come from a model file; the best segmentation has the greatest sum of scores (ties: the longer
-last piece).  The lattice is walked character by character with a window no longer than the longest piece; whenever all
-surviving paths pass one boundary, the ids before it are committed and the window moves on, so memory doesn't grow with
-the text.  Characters that no piece covers fall back to byte pieces.
+last piece).  The lattice is walked boundary by boundary; from each, a tree of the pieces gives those that start there, which
+needs no more characters ahead than the longest piece has.  Whenever all surviving backpointer paths converge on one
+boundary, the ids before it are committed and all that lies before it is forgotten, so memory doesn't grow with the text.
+Characters that no piece covers fall back to byte pieces.
+
+Every text goes through this one search.  After a commit at the boundary before a blank the search is in its first state again,
+so what it commits up to the next such boundary depends on the characters between them alone; a worker keeps these ids for
+the parts met lately and walks each part once.
 
 Only the model's scores decide: for a model trained by merges, the result is the best path over its scores, not the merge
 order's.  Defined results: a null or empty text gives no ids and decodes to an empty text; repeated rows and null ids are
@@ -12,9 +17,12 @@ kept; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, text_or_empty
 
 SPACE = "▁"
+#: Bounds of a worker's memory: parts that are kept, and characters of one.
 MAX_WORDS, MAX_WORD_CHARS = 600_000, 48
+#: Characters that the window takes in at a time, beside the longest piece.
+KEPT_CHARS = 32
+#: Parts of a text that are joined before they leave the search.
+PARTS_AT_ONCE = 2048
+#: Blanks (as their sign) and what follows up to the next one; or blanks at the end.
+_PART = re.compile(f"{SPACE}+[^{SPACE}]+|{SPACE}+")
 #: What an uncovered character loses against the least score.
 UNKNOWN_PENALTY = 10.0
 
@@ -41,11 +56,10 @@ class Viterbi:
         self.uncovered = min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
         self.spelt = {i: p for p, (i, _) in self.pieces.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         #: Tree of the pieces: character -> (score or None, id, tree of what may follow).
         self.tree: dict[str, tuple] = {}
         inner: dict[str, dict] = {"": self.tree}
-        for p in sorted(self.prefixes):
+        for p in sorted({p[:k] for p in self.pieces for k in range(1, len(p) + 1)}):
             inner[p] = {}
             i, score = self.pieces.get(p, (0, None))
             inner[p[:-1]][p[-1]] = (score, i, inner[p])
@@ -53,120 +67,95 @@ class Viterbi:
         self.blank_starts = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.words: dict[str, bytes] = {}
 
-    def stream(self, chars: Iterable[str]) -> Iterator[int]:
+    def stream(self, chars: str | Iterable[str]) -> Iterator[list[int]]:
         """Ids of a normalised text, committed as soon as all surviving paths share a boundary."""
-        window, base = "", 0  # characters after the last commit, and its place
-        best: dict[int, tuple[float, int, tuple[int, ...]]] = {0: (0.0, -1, ())}  # boundary -> score, boundary before, ids of the last piece
-        start = 0
-
-        def extend(known: str, final: bool) -> None:
-            """Pieces that start at ``start``, once enough characters are known."""
-            score = best[start][0]
-            for end in range(start + 1, min(start + self.longest, base + len(known)) + 1):
-                piece = known[start - base : end - base]
-                if piece not in self.prefixes:
+        longest, none, uncovered, pieces, tree, odd = self.longest, float("-inf"), self.uncovered, self.pieces, self.tree, False
+        source = iter(chars)
+        window = "".join(islice(source, longest + KEPT_CHARS))  # never ends before the longest piece from ``start`` does
+        more = len(window) == longest + KEPT_CHARS
+        # of each boundary in the window: best score, boundary before, id of the last piece (or a character that no piece covers)
+        score, before, last = [none] * (len(window) + 1), [0] * (len(window) + 1), [0] * (len(window) + 1)
+        score[0] = 0.0
+        committed = start = far = 0  # far: the last boundary that a path has reached
+        while start < len(window):
+            so_far, kids, end = score[start], tree, start
+            for c in window[start : start + longest]:
+                if c not in kids:
                     break
-                if (found := self.pieces.get(piece)) and (end not in best or score + found[1] > best[end][0]):
-                    best[end] = (score + found[1], start, (found[0],))
-            c = known[start - base]
-            if c not in self.pieces:
-                ids = tuple(self.bytes[b] for b in c.encode()) if self.bytes else (self.unknown,)
-                if start + 1 not in best or score + self.uncovered > best[start + 1][0]:
-                    best[start + 1] = (score + self.uncovered, start, ids)
-
-        def commit(to: int) -> list[int]:
-            out: list[tuple[int, ...]] = []
-            while to > base:
-                _, before, ids = best[to]
-                out.append(ids)
-                to = before
-            return [i for ids in reversed(out) for i in ids]
-
-        for c in chars:
-            window += c
-            if base + len(window) - start < self.longest:
-                continue
-            extend(window, False)
-            start += 1
-            # Every path to a boundary from here on goes through the boundaries that are still reachable; if all of
-            # their backpointers meet in one place beyond the base, what is before it is settled.
-            live = {b for b in best if b >= start}
-            meet = set(live)
-            while len(meet) > 1:
-                top = max(meet)
-                meet.discard(top)
-                meet.add(best[top][1])
-            (shared,) = meet
-            if shared > base:
-                yield from commit(shared)
-                window, score = window[shared - base :], best[shared][0]
-                best = {b: ((s - score, p, ids) if b > shared else (0.0, -1, ())) for b, (s, p, ids) in best.items() if b >= shared}
-                base = shared
-        while start < base + len(window):
-            if start in best:
-                extend(window, True)
+                end += 1
+                gain, i, kids = kids[c]
+                if gain is not None:
+                    gain += so_far
+                    if gain > score[end]:
+                        score[end], before[end], last[end] = gain, start, i
+                        if end > far:
+                            far = end
             start += 1
-        yield from commit(base + len(window))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; words are settled one by one and those met lately are kept."""
+            if window[start - 1] not in pieces and so_far + uncovered > score[start]:
+                score[start], before[start], last[start], odd = so_far + uncovered, start - 1, window[start - 1], True
+                if start > far:
+                    far = start
+            # no path leads over ``start``, or (looked for once a longest piece lies uncommitted) the paths that do have met before it
+            shared = start if far == start else self._converged(score, before, start, far) if start - committed >= longest else committed
+            if shared > committed:
+                out, at = [], shared
+                while at > committed:
+                    out.append(last[at])
+                    at = before[at]
+                out.reverse()
+                if odd:
+                    out, odd = [x for i in out for x in (self._bytes_of(i) if isinstance(i, str) else (i,))], shared < start
+                yield out
+                committed = shared
+            if more and start + longest > len(window):
+                lost = score[committed]
+                window, start, far = window[committed:] + "".join(islice(source, KEPT_CHARS)), start - committed, far - committed
+                more = len(window) >= start + longest
+                score = [x - lost for x in score[committed:]]
+                before, last = [max(0, x - committed) for x in before[committed:]], last[committed:]
+                new, committed = len(window) + 1 - len(score), 0
+                score, before, last = score + [none] * new, before + [0] * new, last + [0] * new
+
+    def _bytes_of(self, c: str) -> list[int]:
+        return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
+
+    @staticmethod
+    def _converged(score: list[float], before: list[int], start: int, far: int) -> int:
+        """The last boundary that the paths to all boundaries from ``start`` on have in common."""
+        meet = {b for b in range(start, far + 1) if score[b] != float("-inf")}
+        while len(meet) > 1:
+            top = max(meet)
+            meet.discard(top)
+            meet.add(before[top])
+        return meet.pop()
+
+    def encoded(self, text: str) -> Iterator[bytes]:
+        """Ids of a text as little-endian unsigned 32-bit integers, some at a time."""
         if not text:
-            return b""
+            return
         text = SPACE + text.replace(" ", SPACE)
         if not self.blank_starts:
-            return np.fromiter(self.stream(text), "<u4").tobytes()
-        out = []
-        for run in text.split(SPACE)[1:]:
-            # between two blanks an empty word: blanks in a row stay together as one part
-            out.append(run)
-        parts, blanks = [], SPACE
-        for run in out:
-            if run:
-                parts.append(blanks + run)
-                blanks = SPACE
-            else:
-                blanks += SPACE
-        if len(blanks) > 1:
-            parts.append(blanks[1:])
-        return b"".join(map(self._word, parts))
-
-    def _settled(self, part: str) -> list[int]:
-        """The same best path for a part that fits a window: no boundary needs to be committed before its end."""
-        n, none = len(part), float("-inf")
-        score, back = [0.0] + [none] * n, [(0, ())] * (n + 1)
-        for s in range(n):
-            so_far, kids = score[s], self.tree
-            if so_far == none:
-                continue
-            for e in range(s, n):
-                node = kids.get(part[e])
-                if node is None:
-                    break
-                gain, i, kids = node
-                if gain is not None and so_far + gain > score[e + 1]:
-                    score[e + 1], back[e + 1] = so_far + gain, (s, i)
-            if so_far + self.uncovered > score[s + 1] and part[s] not in self.pieces:
-                score[s + 1], back[s + 1] = so_far + self.uncovered, (s, tuple(self.bytes[b] for b in part[s].encode()) if self.bytes else (self.unknown,))
-        ids, e = [], n
-        while e > 0:
-            e, piece = back[e]
-            ids.extend(reversed(piece) if isinstance(piece, tuple) else (piece,))
-        ids.reverse()
-        return ids
-
-    def _word(self, part: str) -> bytes:
-        ids = self.words.get(part)
-        if ids is None:
-            found = self._settled(part) if len(part) <= MAX_WORD_CHARS else self.stream(part)
-            ids = array("I", found).tobytes()
-            if len(part) <= MAX_WORD_CHARS:
-                if len(self.words) >= MAX_WORDS:
-                    self.words.clear()
-                self.words[part] = ids
-        return ids
+            for ids in self.stream(text):
+                yield np.array(ids, "<u4").tobytes()
+            return
+        parts, known = (m[0] for m in _PART.finditer(text)), self.words
+        while some := list(islice(parts, PARTS_AT_ONCE)):
+            yield b"".join([known.get(part) or self._part(part) for part in some])
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text: pieces, runs of byte pieces as UTF-8, blanks for their sign, without the one put before the text."""
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.encoded(text))
+
+    def _part(self, part: str) -> bytes:
+        """What the search commits between two boundaries at which it starts anew."""
+        raw = array("I", chain.from_iterable(self.stream(part))).tobytes()
+        if len(part) <= MAX_WORD_CHARS:
+            if len(self.words) >= MAX_WORDS:
+                self.words.clear()
+            self.words[part] = raw
+        return raw
+
+    def spelt_out(self, ids: np.ndarray) -> str:
+        """Pieces, runs of byte pieces as UTF-8, and blanks for their sign."""
         out, raw = [], bytearray()
         for i in ids.tolist():
             if i in self.byte_of:
@@ -178,7 +167,11 @@ class Viterbi:
             out.append(self.spelt.get(i, ""))
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
+        return "".join(out).replace(SPACE, " ")
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text, without the blank that was put before it."""
+        return self.spelt_out(ids).removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
@@ -188,21 +181,20 @@ def segmenter(path: str) -> Viterbi:
 
 def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit), n_bytes, and whether decoding the ids gives the text back."""
-    import zlib
-
     schema = "doc_id long, n_ids long, ids_crc32 long, n_bytes long, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = segmenter(model_path)
-        lengths = np.zeros(max([*model.spelt, *model.byte_of, model.unknown]) + 1, np.int64)
-        for i, piece in model.spelt.items():
-            lengths[i] = len(piece.replace(SPACE, " ").encode())
-        lengths[list(model.byte_of)] = 1
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                raw = model.encode(text)
-                rows.append((doc_id, len(raw) // 4, zlib.crc32(raw), len(text.encode()), model.decode(np.frombuffer(raw, "<u4")) == text.replace(SPACE, " ")))
+                n, crc, at, same, plain = 0, 0, -1, True, text.replace(SPACE, " ")  # the first piece begins with a blank of its own
+                for raw in model.encoded(text):
+                    n, crc = n + len(raw) // 4, zlib.crc32(raw, crc)
+                    part = model.spelt_out(np.frombuffer(raw, "<u4"))
+                    same = same and (part[0] == " " and plain.startswith(part[1:]) if at < 0 else plain.startswith(part, at))
+                    at += len(part)
+                rows.append((doc_id, n, crc, len(text.encode()), same and max(at, 0) == len(plain)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in schema.split(", ")])
 
