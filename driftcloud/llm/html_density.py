@@ -6,10 +6,13 @@ content regions.  A region is the article or main element around a seed; where m
 these, it is the block around a seed (paragraphs, headings, lists and tables are no such blocks) and all between the first
 and the last of these seeds.  A region's other lines belong to it.  Elements that are never content by their name or role
 (menus, headers, footers, notices, forms, scripts, styles) take no part.  A class or id (sidebar, advert, comments) drops an
-element too, but not an article or main, and not one that turns out to wrap the content (``wrappers``).
+element too if all words of the name speak of such a part (``share-buttons``, not ``share-price``), but not an article or main, and
+not one that turns out to wrap the content (``wrappers``).  A block that is mostly links is dropped where none of its lines
+reaches the threshold, also inside a region (``menus``).
 
 Defined results: a null or empty html, or one without content, gives an empty text and 0 characters; unclosed or stray
-tags are repaired as browsers do; repeated rows and null ids are kept; no pages give no rows.
+tags are repaired as browsers do; repeated rows and null ids are kept; very long pages are fed in portions; no pages give no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ PARTS = frozenset("address blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5
 #: A new block ends an open paragraph; these end an open one of their own kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr menu modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Words that only say which part of the page the other words of a class name mean.
+PART_WORDS = frozenset("area bar block body bottom box center container content desktop first footer foot form group head header holder inner item items last left link links list main mobile module outer panel post right row section slot text top unit wrap wrapper zone".split())
+NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent buttons button cookie cookies disqus gdpr menu modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: Only outside an article: inside, they name its own parts.
 OUTER_WORDS = frozenset("footer foot header masthead copyright topbar".split())
 
@@ -50,6 +55,7 @@ class Line:
     region: int  # number of the article or main around it, 0 for none
     parent: int  # number of the block around it
     out: bool
+    linked: int = 0  # characters inside links
     doubtful: tuple[int, ...] = ()  # numbers of the elements around it whose class or id speaks against them, outermost first
 
 
@@ -63,7 +69,7 @@ class LineParser(HTMLParser):
         self.around: dict[int, tuple[int, ...]] = {}  # doubtful elements around each region
         self.titled: tuple[int, ...] | None = None  # and around the first h1
         self.parts: list[str] = []
-        self.tags = self.numbers = 0
+        self.tags = self.numbers = self.linked = 0
 
     def _state(self) -> tuple[bool, int, int, tuple[int, ...]]:
         return self.open[-1][1:] if self.open else (False, 0, 0, ())
@@ -72,8 +78,9 @@ class LineParser(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             out, region, parent, doubtful = self._state()
-            self.lines.append(Line(text, max(1, self.tags), region, parent, out, doubtful))
+            self.lines.append(Line(text, max(1, self.tags), region, parent, out, min(self.linked, len(text)), doubtful))
             self.tags = 0
+        self.linked = 0
         self.parts.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -119,9 +126,11 @@ class LineParser(HTMLParser):
             return False
         for name, value in attrs:
             if name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value or "").lower()))
-                if words & NEVER_WORDS or not region and words & OUTER_WORDS:
-                    return True
+                against = NEVER_WORDS if region else NEVER_WORDS | OUTER_WORDS
+                for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value or "").lower().split():
+                    words = set(re.split(r"[^a-z]+", token)) - {""}
+                    if words & against and words <= NEVER_WORDS | OUTER_WORDS | PART_WORDS:  # share-price is no share button
+                        return True
         return False
 
     def _close(self, names: set[str], stop: set[str] | frozenset[str]) -> None:
@@ -148,6 +157,8 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][0] in ("script", "style")):
             self.parts.append(data)
+            if any(x[0] == "a" for x in self.open):
+                self.linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -180,6 +191,16 @@ def wrappers(parser: LineParser, seeds: list[Line]) -> set[int]:
     return kept
 
 
+def menus(lines: list[Line], low: list[bool]) -> set[int]:
+    """Blocks of at least three lines, none of which reached the threshold, that are mostly links."""
+    size, linked, count = Counter(), Counter(), Counter()
+    for line, is_low in zip(lines, low):
+        size[line.parent] += len(line.text)
+        linked[line.parent] += line.linked if is_low else -len(line.text)
+        count[line.parent] += 1
+    return {n for n in size if count[n] >= 3 and 2 * linked[n] > size[n]}
+
+
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     parser = LineParser()
     for at in range(0, len(html), FEED_CHARS):
@@ -190,6 +211,11 @@ def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) ->
         return ""
     ratios = smoothed(np.array([len(line.text) / line.tags for line in lines]), sigma)
     cut = threshold * ratios.std()
+    listed = menus(lines, [ratio < cut for ratio in ratios])
+    for line in lines:
+        line.out = line.out or line.parent in listed
+    if all(line.out for line in lines):
+        return ""
     kept = wrappers(parser, [line for line, ratio in zip(lines, ratios) if ratio >= cut and not line.out])
     allowed = [(line, ratio) for line, ratio in zip(lines, ratios) if not line.out and kept.issuperset(line.doubtful)]
     if not allowed:
