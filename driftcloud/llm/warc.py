@@ -1,8 +1,10 @@
 """Operator 7: WARC archives as a chunked record table.
 
-A record is rows (record, chunk_no, data) of at most ``chunk_bytes`` each, so that neither writing nor reading ever holds
-more of a payload than a chunk; digests are carried from chunk to chunk.  Joined in order, a record's chunks are the
-bytes of a WARC/1.1 record.  The table is Parquet in the shared folder.
+A record is rows (record, chunk_no, data, digest) of at most ``chunk_bytes`` each, so that neither writing nor reading ever
+holds more of a payload than a chunk.  The digest is that of the payload up to the chunk's end, carried from chunk to chunk;
+the reader carries its own and holds it against each.  Joined in order, a record's chunks are the bytes of a WARC/1.1 record.
+The table is Parquet in the shared folder.  Which record is the response is settled on digests alone; payloads then meet
+the answer by page and digest, so that the copies of a page spread over tasks.
 
 Defined results: a null html is an empty payload; a null url is written as an empty one; of rows that repeat the smallest
 page_id of a payload each is a response; a null page_id revisits any other, and is a response where no other has the
@@ -24,7 +26,7 @@ from .common import map_batches, stored, text_or_empty
 
 CHUNK_BYTES, FLUSH_BYTES = 16_384, 4_000_000
 DATE = "2024-01-01T00:00:00Z"
-_CHUNKS = "record long, chunk_no int, data binary"
+_CHUNKS = "record long, chunk_no int, data binary, digest binary"
 _RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -43,36 +45,44 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, sha1, payload_bytes, refers_to: of equal payloads the smallest page_id is the response."""
     rows = pages.select(F.col("page_id").cast("long"), text_or_empty("url").alias("url"), F.encode(text_or_empty("html"), "UTF-8").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"))
-    revisits = F.col("page_id").isNull() | (F.col("first_id") < F.col("page_id"))
-    return rows.join(first, ["sha1", "payload_bytes"], "left").select("page_id", "url", "payload", "sha1", "payload_bytes", F.when(revisits, F.col("first_id")).alias("refers_to"))
+    names = ["page_id", "sha1", "payload_bytes"]
+    digests = rows.select(*names)
+    first = digests.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1 and first_id is not null")
+    copies = digests.join(first, ["sha1", "payload_bytes"]).where(F.col("page_id").isNull() | (F.col("first_id") < F.col("page_id")))
+    # a missing page_id can't be a key, so it takes the place of a number that its row leaves empty
+    keyed = lambda df: df.withColumns({"_id": F.coalesce("page_id", F.lit(0)), "_none": F.col("page_id").isNull()})
+    refers = keyed(copies).groupBy("_id", "_none", "sha1", "payload_bytes").agg(F.min("first_id").alias("refers_to"))
+    return keyed(rows).join(refers, ["_id", "_none", "sha1", "payload_bytes"], "left").select("page_id", "url", "payload", "sha1", "payload_bytes", "refers_to")
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The stored chunk table."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, bytes]] = []
+        rows: list[tuple[int, int, bytes, bytes]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32(), pa.binary()])], ["record", "chunk_no", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32(), pa.binary(), pa.binary()])], ["record", "chunk_no", "data", "digest"])
 
         for batch in batches:
             for record, page_id, url, payload, sha1, n, refers_to in zip(*(batch[c] for c in ("record", "page_id", "url", "payload", "sha1", "payload_bytes", "refers_to"))):
                 digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
                 head = record_head(page_id.as_py(), url.as_py(), digest, n.as_py(), refers_to.as_py())
                 body = memoryview(payload.as_buffer()) if payload.as_buffer() is not None and not refers_to.is_valid else memoryview(b"")
-                rows.append((record.as_py(), 0, head))
+                running = hashlib.sha1()
+                rows.append((record.as_py(), 0, head, running.digest()))
                 number = 1
                 for at in range(0, len(body), chunk_bytes):
-                    rows.append((record.as_py(), number, bytes(body[at : at + chunk_bytes])))
+                    part = bytes(body[at : at + chunk_bytes])
+                    running.update(part)
+                    rows.append((record.as_py(), number, part, running.digest()))
                     held += chunk_bytes
                     number += 1
                     if held >= FLUSH_BYTES:
                         yield flush()
                         rows, held = [], 0
-                rows.append((record.as_py(), number, b"\r\n\r\n"))
+                rows.append((record.as_py(), number, b"\r\n\r\n", running.digest()))
                 held += len(head)
         if rows:
             yield flush()
@@ -92,7 +102,13 @@ class RecordReader:
     http: dict[str, str] | None = None
     digest: object = field(default_factory=hashlib.sha1)
 
-    def feed(self, data: bytes) -> None:
+    def feed(self, data: bytes, digest: bytes) -> None:
+        """Takes the next chunk, whose ``digest`` is that of the payload up to its end."""
+        self._take(data)
+        if self.digest.digest() != digest:
+            raise ValueError("a chunk is missing, damaged or out of order")
+
+    def _take(self, data: bytes) -> None:
         while data:
             if self.http is None:
                 self.head += data
@@ -141,12 +157,12 @@ def read_archives(chunks: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()])], [f.split()[0] for f in _RESULT.split(", ")])
 
         for batch in batches:
-            for record, data in zip(batch["record"].to_pylist(), batch["data"]):
+            for record, data, digest in zip(batch["record"].to_pylist(), batch["data"], batch["digest"].to_pylist()):
                 if record != current:
                     if reader:
                         rows.append(reader.row())
                     current, reader = record, RecordReader()
-                reader.feed(data.as_py())
+                reader.feed(data.as_py(), digest)
             if len(rows) >= 5000:
                 yield batch_of(rows)
                 rows = []
