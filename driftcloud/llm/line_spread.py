@@ -50,8 +50,9 @@ def spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: i
     least = F.lit(least_sites) if long_sites is None else F.when(F.col("long"), long_sites).otherwise(least_sites)
     sketched = sketched.withColumn("least", least).drop("long")
     candidates = sketched.where((F.col("n") >= F.col("least")) & (F.col("about") >= F.col("least") - near))
-    counted = lines.where("source is not null").join(candidates.where(F.col("about") <= F.col("least") + near).select("h1", "h2"), ["h1", "h2"], "left_semi")
-    exact = counted.groupBy("h1", "h2", "source").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("sites"))
+    # a line's sites are made distinct before they meet its candidate, so that a very common line brings no more rows than it has sites
+    pairs = lines.where("source is not null").select("h1", "h2", F.xxhash64("source").alias("s1"), F.xxhash64(F.lit(1), F.col("source")).alias("s2")).distinct()
+    exact = pairs.join(candidates.where(F.col("about") <= F.col("least") + near).select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("sites"))
     certain = candidates.where(F.col("about") > F.col("least") + near).select("h1", "h2", "first_doc")
     checked = candidates.where(F.col("about") <= F.col("least") + near).join(exact, ["h1", "h2"]).where(F.col("sites") >= F.col("least")).select("h1", "h2", "first_doc")
     return certain.unionByName(checked)
