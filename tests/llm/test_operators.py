@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -163,9 +164,31 @@ def test_viterbi(spark, docs):
     for t in ["hello world", "  two  blanks ", "漢字 😀 thé", TEXTS[4], "x" * 300, "line\nend"]:
         normal = viterbi.SPACE + t.replace(" ", viterbi.SPACE)
         ids = np.frombuffer(model.encode(t), "<u4")
-        assert ids.tolist() == brute(normal) == list(model.stream(normal)) and model.decode(ids) == t
+        assert ids.tolist() == brute(normal) == [i for some in model.stream(iter(normal)) for i in some] and model.decode(ids) == t
     out = by_id(viterbi.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
     assert all(r.round_trip for r in out.values()) and out[0].n_ids == 0
+    for i, t in enumerate(TEXTS):
+        ids = np.array(brute(viterbi.SPACE + t.replace(" ", viterbi.SPACE)) if t else [], "<u4")
+        assert (out[i].n_ids, out[i].ids_crc32, out[i].n_bytes) == (len(ids), zlib.crc32(ids.tobytes()), len((t or "").encode()))
+    assert viterbi.encode_and_decode(docs.where("doc_id = 3").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).count() == 2
+    assert viterbi.encode_and_decode(empty(spark), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_viterbi_window_stays_small():
+    """Characters come from a generator without any blank; what is held doesn't follow their number."""
+    model, rng = viterbi.Viterbi(public_tokenizers.path("piece_bpe_32k.model")), np.random.default_rng(1)
+
+    def chars(n):
+        for k in rng.integers(0, 30, n).tolist():
+            yield "abcdefghijklmnopqrstuvwxyz漢😀é1"[k]
+
+    most = {}
+    for n in (2_000, 60_000):
+        tracemalloc.start()
+        assert sum(1 for _ in model.stream(chars(n))) > n // 100
+        most[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert most[60_000] < 2 * most[2_000] + 1_500_000  # the generator's own numbers are 8 bytes each
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use</div>
@@ -261,6 +284,27 @@ def test_warc(spark):
     assert {k: (r.record_type, r.refers_to) for k, r in out.items()} == {5: ("revisit", 2), 2: ("response", None), 9: ("revisit", 7), 7: ("response", None), 8: ("response", None), None: ("revisit", 2)}
     assert out[8].payload_digest == digest(big) and out[8].payload_bytes == len(big.encode()) and out[5].payload_digest == digest("same")
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    clash = pages.withColumns({"sha1": F.lit("s"), "record": F.lit(1), "first_id": F.lit(1), "payload": F.lit("p")}).unionByName(pages.where("page_id = 2").withColumns({"sha1": F.lit("s"), "record": F.lit(1), "first_id": F.lit(1), "payload": F.lit("p")}))
+    rows = warc.read_archives(warc.write_archives(clash)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in rows) == sorted([(5, "revisit", 2), (2, "response", 0), (2, "response", 0), (9, "revisit", 7), (7, "response", 0), (8, "response", 0), (0, "revisit", 2)])
+    # payloads of at least so many bytes only
+    assert {r.record_type for r in warc.read_archives(warc.write_archives(pages, least_bytes=5)).collect()} == {"response"}
+    only = spark.createDataFrame([(None, "u", "x"), (None, "v", "x")], "page_id long, url string, html string")
+    assert [r.record_type for r in warc.read_archives(warc.write_archives(only)).collect()] == ["response"] * 2
+
+
+def test_warc_running_digests(spark):
+    text = "abc" * 50_000
+    rows = sorted(warc.write_archives(spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string"), chunk_bytes=1000).collect(), key=lambda r: r.chunk_no)
+    payload = b"".join(bytes(r.data) for r in rows[1:-1])
+    assert payload == text.encode() and max(len(r.data) for r in rows[1:-1]) == 1000
+    for k, r in enumerate(rows[1:-1], 1):
+        assert bytes(r.digest) == hashlib.sha1(payload[: 1000 * k]).digest()
+    for broken in (rows[:5] + rows[6:], [*rows[:5], rows[6], rows[5], *rows[7:]]):
+        reader = warc.RecordReader()
+        with pytest.raises(ValueError):
+            for r in broken:
+                reader.feed(bytes(r.data), bytes(r.digest))
 
 
 def normal(text):
@@ -380,13 +424,28 @@ def test_wavelet(spark, docs):
 
 @pytest.mark.parametrize("top", [1, 2, 300, 70_000])
 def test_wavelet_queries(top):
-    ids = np.random.default_rng(top).integers(0, top, 1500).astype(np.uint32)
-    wm = wavelet.open_shard(wavelet.shard_bytes([1], np.array([1500]), ids))[2]
-    assert (wm.decode() == ids).all()
-    for i in (0, 700, 1499):
-        c = int(ids[i])
-        assert wm.access(i) == c and wm.count(c) == (ids == c).sum() and wm.rank(c, i) == (ids[:i] == c).sum() and wm.select(c, wm.rank(c, i)) == i
-    assert wm.select(top + 5, 0) == -1
+    rng = np.random.default_rng(top)
+    ids = rng.integers(0, top, 1500).astype(np.uint32)
+    ids[-1] = ids[699] = 0
+    doc_ids, last, wm = wavelet.open_shard(wavelet.shard_bytes([None, 7], np.array([700, 800]), ids))
+    assert doc_ids == [None, 7] and last.tolist() == [699, 1499]
+    for matrix in (wm, wavelet.WaveletMatrix.build(ids)):
+        assert (matrix.decode() == ids).all() and (matrix.access(np.arange(1500)) == ids).all()
+        for i in (0, 700, 1499):
+            c = int(ids[i])
+            assert matrix.access(i) == c and matrix.count(c) == (ids == c).sum() and matrix.rank(c, i) == (ids[:i] == c).sum() and matrix.select(c, matrix.rank(c, i)) == i
+            assert (matrix.select(c, np.arange(-1, matrix.count(c) + 1)) == [-1, *np.flatnonzero(ids == c), -1]).all()
+        assert matrix.select(top + 5, 0) == -1 and matrix.rank(top + 70_000, 9) == 0
+
+
+def test_wavelet_file_inflates_what_it_needs(monkeypatch):
+    ids = np.random.default_rng(0).integers(0, 60_000, 1_500_000).astype(np.uint32)
+    ids[-1] = 0
+    _, _, wm = wavelet.open_shard(wavelet.shard_bytes([1], np.array([len(ids)]), ids))
+    for plane in wm.planes:
+        plane.open.clear()
+    assert wm.access(1_000_000) == ids[1_000_000]
+    assert [len(p.open) for p in wm.planes] == [1] * len(wm.planes) and len(wm.planes[0].frames) == 3
 
 
 def test_line_spread(spark, docs):
