@@ -31,6 +31,8 @@ from .common import discard, map_batches, stored, text_or_empty
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 BINS, ROWS = 384, 6
+#: Words of 64 bits in the bitmap of rows whose texts are needed (8 million bits): what is broadcast has so many rows at most.
+BITMAP_WORDS = 1 << 17
 _U = np.uint64
 
 
@@ -148,6 +150,15 @@ def sketch(texts: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILAR_
     return map_batches(texts.select("row", "doc_id", "text"), run, "row long, doc_id long, n int, k1 long, k2 long, buckets array<long>", rows=1024)
 
 
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the wanted rows.  A bitmap of hashed row numbers, whose size is fixed, drops most others before the join deals texts out."""
+    place = F.pmod(F.xxhash64("row"), F.lit(64 * BITMAP_WORDS))
+    marked = lambda df: df.withColumns({"_word": F.shiftright(place, 6), "_bit": F.expr("shiftleft(1L, cast(pmod(xxhash64(row), 64) as int))")})
+    bitmap = marked(wanted.select("row")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    likely = marked(texts.select("row", "text")).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return likely.select("row", "text").join(wanted, "row", "left_semi")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of rows whose full sets are similar enough."""
     both = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
@@ -271,7 +282,7 @@ def linked_rows(texts: DataFrame, words: int, percent: int, bins: int, rows: int
     labels = None
     if not stars.isEmpty():
         wanted = stars.select("row").unionByName(stars.select(F.col("star").alias("row"))).distinct()
-        texts = stored(texts.select("row", "text").join(wanted, "row", "left_semi"))
+        texts = stored(_only(texts, stored(wanted)))
 
         def add(pairs: DataFrame) -> None:
             nonlocal labels
