@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..params import DYNAMIC, UNDETERMINED, Params
 from ..session import saved
@@ -129,11 +129,11 @@ def hierarchical_clusters(xyz: np.ndarray, least: int, k: int, epsilon: float) -
 
 def cluster_hdbscan(points: DataFrame, p: Params, least: int | None = None) -> DataFrame:
     """Density-hierarchy clusters of each sweep's points, one task per sweep; the cluster is its smallest point_idx."""
-    least, epsilon = least or p.cluster_least, p.cluster_epsilon
+    least, near, epsilon = least or p.cluster_size or p.cluster_least, p.cluster_least, p.cluster_epsilon
 
     def one_sweep(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[np.isfinite(rows[["gx", "gy", "gz"]]).all(axis=1)].sort_values("point_idx")
-        number = hierarchical_clusters(rows[["gx", "gy", "gz"]].to_numpy(), least, least, epsilon) if len(rows) else np.zeros(0, int)
+        number = hierarchical_clusters(rows[["gx", "gy", "gz"]].to_numpy(), least, near, epsilon) if len(rows) else np.zeros(0, int)
         rows = rows.assign(number=number)
         rows = rows[rows["number"] >= 0]
         return rows.assign(cluster=rows.groupby("number")["point_idx"].transform("min"))[[*POINT, "cluster"]]
@@ -160,11 +160,24 @@ def expand_hull(labels: DataFrame, clusters: DataFrame, gpoints: DataFrame) -> D
     return labels.join(hit, POINT, "left").select(*POINT, F.coalesce("_new", "label").alias("label"))
 
 
+def refinable(dynamic: DataFrame, p: Params) -> DataFrame:
+    """Sweeps whose dynamic points are at least ``cluster_least`` and all finite; others keep their labels."""
+    finite = F.lit(True)
+    for c in ("gx", "gy", "gz"):
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    return dynamic.groupBy(*SWEEP).agg(F.count("*").alias("n"), F.bool_and(finite).alias("finite")).where((F.col("n") >= p.cluster_least) & F.col("finite")).select(*SWEEP)
+
+
 def refine(labels: DataFrame, gpoints: DataFrame, p: Params) -> DataFrame:
     """``p.refine``: "density" or "hdbscan" with growth to hulls; anything else leaves the labels."""
     methods = {"density": cluster_density, "hdbscan": cluster_hdbscan}
     if p.refine not in methods:
         return labels
     dynamic = gpoints.join(labels.where(F.col("label") == DYNAMIC).select(*POINT), POINT, "left_semi")
-    clusters = saved(methods[p.refine](dynamic, p))
-    return expand_hull(drop_noise(labels, clusters), clusters, gpoints)
+    sweeps = saved(refinable(dynamic, p))
+    clusters = methods[p.refine](dynamic.join(sweeps, SWEEP, "left_semi"), p)
+    if p.cluster_size is not None:  # smaller clusters are noise
+        clusters = clusters.withColumn("_n", F.count("*").over(Window.partitionBy(*SWEEP, "cluster"))).where(F.col("_n") >= p.cluster_size).drop("_n")
+    clusters = saved(clusters)
+    refined = expand_hull(drop_noise(labels.join(sweeps, SWEEP, "left_semi"), clusters), clusters, gpoints)
+    return refined.unionByName(labels.join(sweeps, SWEEP, "left_anti").select(*POINT, "label"))

@@ -6,6 +6,11 @@ from . import fixtures
 from .params import COARSE, Params
 
 P, G = Params(grid=COARSE), COARSE
+#: The queries' parameters: angles that reach over the window of a coarse pixel, so that the sparse fixture has hits.
+EVENTS = P.with_(detail_h=2.5 * G.h_res, detail_v=1.5 * G.v_res)
+WIDE = P.with_(mcc_h=1.25 * G.h_res, mcc_v=1.25 * G.v_res)
+#: Refinement works on object-sized neighbourhoods.
+CLUSTERS = P.with_(cluster_epsilon=0.7, cluster_least=5)
 
 
 def _d(x: float) -> str:
@@ -100,6 +105,83 @@ pln as (select scene_id, sweep_idx, trial, m0 / s * g as nx, m1 / s * g as ny, m
 inl as (select p.scene_id, p.sweep_idx, p.trial, any_value(nx) as nx, any_value(ny) as ny, any_value(nz) as nz, any_value(d) as d, count(*) filter (abs(nx * x + ny * y + nz * z + d) <= {_d(P.ground_inlier)}) as inliers from pln p join disk using (scene_id, sweep_idx) group by p.scene_id, p.sweep_idx, p.trial),
 best as (select * from inl qualify row_number() over (partition by scene_id, sweep_idx order by inliers desc, trial) = 1)"""
 
+_ID = "scene_id, sweep_idx, point_idx"
+
+
+def _surfaces(name: str, gaps: str, a: Params) -> str:
+    """CTEs: surface depth (``name``) at each row of ``gaps`` (point, di, phi, theta) from the first of the triplets of near static points that encloses it."""
+    return f"""
+{name}_ranked as (select g.{_ID.replace(", ", ", g.")}, g.di, g.phi, g.theta, s_phi, s_theta, s_depth, row_number() over (partition by g.scene_id, g.sweep_idx, g.point_idx, g.di order by abs(g.phi - s_phi) + abs(g.theta - s_theta), static_idx) - 1 as r
+  from {gaps} g join static s on s.scene_id = g.scene_id and s.di = g.di and abs(g.phi - s_phi) <= {_d(a.mcc_h)} and abs(g.theta - s_theta) <= {_d(a.mcc_v)} qualify r < {a.mcc_neighbours}),
+{name}_near as materialized (select *, count(*) over (partition by {_ID}, di) as n from {name}_ranked),
+{name}_combos as (select n, i, j, k, row_number() over (partition by n order by i, j, k) - 1 as trial from (select unnest(range(3, {a.mcc_neighbours + 1})) as n), (select unnest(range({a.mcc_neighbours})) as i), (select unnest(range({a.mcc_neighbours})) as j), (select unnest(range({a.mcc_neighbours})) as k) where i < j and j < k and k < n qualify trial < {a.mcc_triplets}),
+{name}_tried as (select a.{_ID.replace(", ", ", a.")}, a.di, trial, a.s_depth as da, b.s_depth as db, c.s_depth as dc, a.phi - a.s_phi as x, a.theta - a.s_theta as y, b.s_phi - a.s_phi as bx, b.s_theta - a.s_theta as by_, c.s_phi - a.s_phi as cx, c.s_theta - a.s_theta as cy
+  from {name}_near a join {name}_combos t on t.n = a.n and t.i = a.r join {name}_near b on b.scene_id = a.scene_id and b.sweep_idx = a.sweep_idx and b.point_idx = a.point_idx and b.di = a.di and b.r = t.j join {name}_near c on c.scene_id = a.scene_id and c.sweep_idx = a.sweep_idx and c.point_idx = a.point_idx and c.di = a.di and c.r = t.k),
+{name}_parts as (select *, (x * cy - cx * y) / nullif(bx * cy - cx * by_, 0) as wb, (bx * y - x * by_) / nullif(bx * cy - cx * by_, 0) as wc from {name}_tried),
+{name} as materialized (select {_ID}, di, min_by((1 - wb - wc) * da + wb * db + wc * dc, trial) as surface from {name}_parts where wb >= -1e-9 and wc >= -1e-9 and 1 - wb - wc >= -1e-9 group by all)"""
+
+
+def _labelling(gap: bool) -> str:
+    """CTEs from the points to the labels after each stage; ``gap``: without one sweep."""
+    base = _VOTED.replace(f"({fixtures.POINTS_DUCK})", f"(select * from ({fixtures.POINTS_DUCK}) where not (scene_id = 1 and sweep_idx = 14))") if gap else _VOTED
+    back, ahead = _eps("c.rng", P.mcc_backward, P.mcc_backward_adaptive), _eps("c.rng", P.mcc_forward, P.mcc_forward_adaptive)
+    detail = _eps("c.rng", EVENTS.detail_epsilon, EVENTS.detail_adaptive) if EVENTS.detail_adaptive.enabled else _d(EVENTS.detail_epsilon)
+    ready = "exists (select 1 from gpoints o where o.scene_id = c.scene_id and o.sweep_idx = c.sweep_idx - k)"
+    return f"""{base}{_DISK.removeprefix(_BASE)},
+ground as materialized (select {_ID} from best b join kept k using (scene_id, sweep_idx) where abs(nx * x + ny * y + nz * z + d) <= {_d(P.ground_distance)}),
+static as materialized (select scene_id, di, point_idx as static_idx, phi as s_phi, theta as s_theta, depth as s_depth, v as s_v, h as s_h from own o where in_fov and sweep_idx >= {P.init_sweeps - 1} and exists (select 1 from ground g where g.scene_id = o.scene_id and g.sweep_idx = o.sweep_idx and g.point_idx = o.point_idx)),
+first as materialized (select v.* from voted v anti join ground using (scene_id, sweep_idx, point_idx) union all select {_ID}, 4::tinyint as label from ground where sweep_idx >= {P.init_sweeps - 1}),
+m_asked as (select c.*, k, c.sweep_idx - k as di from (select g.* from gpoints g join first f using (scene_id, sweep_idx, point_idx) where f.label = 0) c, (select unnest(range({P.mcc_sweeps})) as k) where c.sweep_idx >= k and {ready}),
+m_seen as materialized {_projected("m_asked", "scene_id, sweep_idx, point_idx, rng, di")},
+m_in as materialized (select c.*, exists (select 1 from image i where i.scene_id = c.scene_id and i.di = c.di and i.v = c.v and i.h = c.h) as full_ from m_seen c where in_fov),
+m_checked as materialized (select * from m_in c where exists (select 1 from static s where s.scene_id = c.scene_id and s.di = c.di)),
+m_gaps as (select * from m_checked where not full_), m_wide as (select * from m_in where not full_),{_surfaces("surf", "m_gaps", P)},
+m_hit as (select c.scene_id, c.sweep_idx, c.point_idx, c.di from m_checked c join static s on s.scene_id = c.scene_id and s.di = c.di and abs(c.phi - s_phi) <= {_d(P.mcc_h)} and abs(c.theta - s_theta) <= {_d(P.mcc_v)} where full_ and c.depth >= s_depth - {back} and c.depth <= s_depth + {ahead}
+  union select c.scene_id, c.sweep_idx, c.point_idx, c.di from m_gaps c join surf s using (scene_id, sweep_idx, point_idx, di) where c.depth >= surface - {back} and c.depth <= surface + {ahead}),
+m_score as materialized (select {_ID}, coalesce(checked, 0) as checked, coalesce(matched, 0) as matched, case when checked > 0 then coalesce(matched, 0) / checked::double else 0 end as score
+  from (select {_ID} from first where label = 0) left join (select {_ID}, count(*) as checked from m_checked group by all) using (scene_id, sweep_idx, point_idx) left join (select {_ID}, count(*) as matched from m_hit group by all) using (scene_id, sweep_idx, point_idx)),
+mapped as materialized (select f.scene_id, f.sweep_idx, f.point_idx, case when m.score >= {_d(P.mcc_threshold)} then 1 else f.label end::tinyint as label from first f left join m_score m using (scene_id, sweep_idx, point_idx)),
+a_asked as (select c.*, k, c.sweep_idx - k as di from (select g.*, f.label as first_label from gpoints g join first f using (scene_id, sweep_idx, point_idx) join mapped m using (scene_id, sweep_idx, point_idx) where m.label = 1) c, (select unnest(range(1, {P.parallel_sweeps + 1})) as k) where c.sweep_idx >= k),
+a_seen as materialized {_projected("a_asked", "scene_id, sweep_idx, point_idx, rng, first_label, di")},
+a_near as (select c.scene_id, c.sweep_idx, c.point_idx, c.di, arg_min({{'v': i.v, 'h': i.h, 'most': i.max_depth}}, i.min_depth) as b from a_seen c join {_OFFSETS} o on c.in_fov join image i on i.scene_id = c.scene_id and i.di = c.di and i.v = c.v + o.dv and i.h = c.h + o.dh group by all),
+a_ok as (select c.*, coalesce(abs(phi - ({_d(G.phi_min)} + (b.h + 0.5) * {_d(G.h_res)})) <= {_d(EVENTS.detail_h)} and abs(theta - ({_d(G.theta_min)} + (b.v + 0.5) * {_d(G.v_res)})) <= {_d(EVENTS.detail_v)} and depth > b.most + {detail}, false) as ok from a_seen c left join a_near using (scene_id, sweep_idx, point_idx, di)),
+away as materialized (select {_ID}, any_value(first_label) as first_label from a_ok group by {_ID} having bool_and(ok)),
+p_asked as (select c.*, k, c.sweep_idx - k as di from (select g.* from gpoints g join first f using (scene_id, sweep_idx, point_idx) where f.label = 3) c, (select unnest(range(1, {P.perpendicular_sweeps + 1})) as k) where c.sweep_idx >= k and {ready}),
+p_seen as materialized {_projected("p_asked", "scene_id, sweep_idx, point_idx, rng, di")},
+across as materialized (select distinct c.scene_id, c.sweep_idx, c.point_idx from p_seen c join static s on s.scene_id = c.scene_id and s.di = c.di and abs(s_v - c.v) <= {P.window_v} and abs(s_h - c.h) <= {P.window_h} where c.in_fov and abs(c.phi - s_phi) <= {_d(EVENTS.detail_h)} and abs(c.theta - s_theta) <= {_d(EVENTS.detail_v)} and c.depth < s_depth - {detail}),
+final as materialized (select m.scene_id, m.sweep_idx, m.point_idx, case when a.point_idx is not null or c.point_idx is not null then 0 else m.label end::tinyint as label from mapped m left join away a using (scene_id, sweep_idx, point_idx) left join across c using (scene_id, sweep_idx, point_idx))"""
+
+
+def _density(labels: str) -> str:
+    """CTEs: clusters of the dynamic points of ``labels`` by closures of core points, noise dropped, hulls grown."""
+    directions = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (-1, 1, 1)]
+    at = lambda d, t: f"({d[0]} * {t}.gx + {d[1]} * {t}.gy + {d[2]} * {t}.gz)"
+    bounds = ", ".join(f"min({at(d, 'g')}) as lo{i}, max({at(d, 'g')}) as hi{i}" for i, d in enumerate(directions))
+    inside = " and ".join(f"{at(d, 'g')} between lo{i} - 1e-9 and hi{i} + 1e-9" for i, d in enumerate(directions))
+    return f""",
+d_points as materialized (select g.* from gpoints g join {labels} l using (scene_id, sweep_idx, point_idx) where l.label = 0),
+d_pairs as materialized (select a.scene_id, a.sweep_idx, a.point_idx, b.point_idx as other from d_points a join d_points b using (scene_id, sweep_idx) where (a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) + (a.gz - b.gz) * (a.gz - b.gz) <= {_d(CLUSTERS.cluster_epsilon**2)}),
+d_cores as materialized (select {_ID} from d_pairs group by all having count(*) >= {CLUSTERS.cluster_least}),
+d_links as materialized (select p.* from d_pairs p join d_cores using (scene_id, sweep_idx, point_idx) join d_cores o on o.scene_id = p.scene_id and o.sweep_idx = p.sweep_idx and o.point_idx = p.other),
+d_reach as (select * from d_links union select r.scene_id, r.sweep_idx, r.point_idx, l.other from d_reach r join d_links l on l.scene_id = r.scene_id and l.sweep_idx = r.sweep_idx and l.point_idx = r.other),
+d_of as materialized (select {_ID}, min(other) as cluster from d_reach group by all),
+clusters as materialized (select p.scene_id, p.sweep_idx, p.point_idx, min(o.cluster) as cluster from d_pairs p join d_of o on o.scene_id = p.scene_id and o.sweep_idx = p.sweep_idx and o.point_idx = p.other group by all),
+quiet as materialized (select l.scene_id, l.sweep_idx, l.point_idx, case when l.label = 0 and c.cluster is null then 3 else l.label end::tinyint as label from {labels} l left join clusters c using (scene_id, sweep_idx, point_idx)),
+hulls as materialized (select c.scene_id, c.sweep_idx, c.cluster, {bounds} from clusters c join gpoints g using (scene_id, sweep_idx, point_idx) group by all having count(*) >= 4 and hi0 > lo0 and hi1 > lo1 and hi2 > lo2),
+grown as materialized (select distinct g.scene_id, g.sweep_idx, g.point_idx from gpoints g join hulls h using (scene_id, sweep_idx) where {inside}),
+refined as materialized (select q.scene_id, q.sweep_idx, q.point_idx, case when g.point_idx is not null then 0 else q.label end::tinyint as label from quiet q left join grown g using (scene_id, sweep_idx, point_idx))"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+_LABELS, _GAP_LABELS = _labelling(False), _labelling(True)
+_REFINED = _recursive(_VOTED + _density("voted"))
+#: A sweep with too few dynamic points keeps its labels.
+_FEW = f", few as (select scene_id, sweep_idx from final where label = 0 group by all having count(*) >= {CLUSTERS.cluster_least}), busy as materialized (select * from final semi join few using (scene_id, sweep_idx))"
+_POINT_LABELS = _recursive(_LABELS + _FEW + _density("busy")) + ", labelled as materialized (select * from refined union all select * from final anti join few using (scene_id, sweep_idx))"
+
 ORACLE_SQL = {
     "filter_range": f"{_BASE} select scene_id, sweep_idx, count(*) as n_kept from kept group by all",
     "to_global": f"{_BASE} select scene_id, sweep_idx, round(sum(gx), 3) as gx, round(sum(gy), 3) as gy, round(sum(gz), 3) as gz from gpoints group by all",
@@ -128,4 +210,15 @@ select scene_id, instance_id, ts_us, round(coalesce(case when ts_us - pt > 1000
     "gt_class": f"{_BASE}{_BOXES} select p.scene_id, p.sweep_idx, case when k.point_idx is null then 'filtered_out' when g.point_idx is not null then 'dynamic' else 'static' end as gt_class, count(*) as n from points p left join kept k using (scene_id, sweep_idx, point_idx) left join gt g using (scene_id, sweep_idx, point_idx) group by all",
     "sweep_geometric": f"{_TRIALS} select *, {_IOU} from scored",
     "best_trial": f"{_TRIALS} select * from (select *, {_IOU} from scored) order by iou desc, trial_id limit 1",
+    "mcc_score": f"{_LABELS} select {_ID}, checked, matched, round(score, 6) as score from m_score",
+    "mcc_interpolate": f"{_LABELS},{_surfaces('wide', 'm_wide', WIDE)} select {_ID}, di, round(surface, 6) as surface from wide",
+    "event_parallel_away": f"{_LABELS.replace('where m.label = 1) c', 'where f.label = 1) c')} select {_ID} from away",
+    "event_perpendicular": f"{_GAP_LABELS} select {_ID} from across",
+    "label_geometric": f"{_LABELS} select {_ID}, label from final",
+    "label_histogram": f"{_GAP_LABELS} select scene_id, sweep_idx, label, count(*) as n from final group by all",
+    "label_points": f"{_POINT_LABELS} select {_ID}, label from labelled",
+    "evaluate_labels": f"{_POINT_LABELS}{_BOXES}, conf as (select l.scene_id, l.sweep_idx, count(*) filter (label = 0 and g.point_idx is not null) as tp, count(*) filter (label = 0 and g.point_idx is null) as fp, count(*) filter (label <> 0 and g.point_idx is not null) as fn, count(*) filter (label <> 0 and g.point_idx is null) as tn from labelled l left join gt g using (scene_id, sweep_idx, point_idx) group by all) select *, {_IOU} from conf",
+    "cluster_density": f"{_REFINED} select {_ID}, cluster from clusters",
+    "drop_noise": f"{_REFINED} select {_ID}, label from quiet",
+    "expand_hull": f"{_REFINED} select {_ID}, label from refined",
 }

@@ -87,6 +87,7 @@ class Params:
     refine: str = "none"
     cluster_epsilon: float = 0.7
     cluster_least: int = 5
+    cluster_size: int | None = None  # points of the smallest cluster; as ``cluster_least`` if not given
     # ground truth
     speed_threshold: float = 1.0
     extrapolate_us: int = 750_000

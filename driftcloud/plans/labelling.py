@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import norm
-from ..operators import ground, images, motion
+from ..operators import ground, images, motion, refinement
 from ..operators.images import POINT
 from ..params import DYNAMIC, GROUND, OCCLUDED_BY, UNDETERMINED, Params
 from ..session import saved
@@ -90,6 +90,10 @@ class Scene:
         labels = saved(self.event_with_mcc(labels, self.parallel, veto))
         return self.event_with_mcc(labels, self.perpendicular, veto)
 
+    def label_points(self, veto: bool = False) -> DataFrame:
+        """The geometric labels, refined as ``p.refine`` says; counts are those of ``label_histogram``."""
+        return refinement.refine(saved(self.label_geometric(veto)), self.bare, self.p)
+
 
 def _coarse(scene: Scene, active: DataFrame) -> DataFrame:
     pairs = images.ready_sweeps(active, scene.p).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(scene.p.frames)))).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0")

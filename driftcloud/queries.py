@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fixtures
+from . import fixtures, oracles
 from .functions.geometry import adaptive_epsilon as adaptive_epsilon_column, norm
 from .operators import evaluation, ground, images, motion, refinement, tracks
 from .operators.images import POINT
-from .params import COARSE, DYNAMIC, Params
+from .params import DYNAMIC
 from .plans import experiments
 from .plans.labelling import Scene, label_histogram as histogram
 from .session import saved
 
-P = Params(grid=COARSE)
+P = oracles.P
 VOTES = (1, 2, 3, 4, 5, 6, 7, 8, 9)
-#: Refinement works on object-sized neighbourhoods.
-CLUSTERS = P.with_(cluster_epsilon=0.7, cluster_least=5)
+EVENTS, WIDE, CLUSTERS = oracles.EVENTS, oracles.WIDE, oracles.CLUSTERS
 
 
 def _gap(points: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _scene(spark: SparkSession, sf_dir: str, gap: bool = False) -> Scene:
     points = saved(_points(spark, sf_dir))
-    return Scene(_gap(points) if gap else points, fixtures.sweeps(spark), P)
+    return Scene(_gap(points) if gap else points, fixtures.sweeps(spark), EVENTS)
 
 
 def filter_range(spark, sf_dir):
@@ -109,17 +108,17 @@ def mcc_interpolate(spark, sf_dir):
     candidates = s.with_points(saved(s.first_pass()), DYNAMIC)
     asked = candidates.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(P.mcc_sweeps - 1)))).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0")
     seen = images.project(asked, images.ready_images(s.bare, s.sweeps), P).where("in_fov").join(s.image.select("scene_id", "di", "v", "h"), ["scene_id", "di", "v", "h"], "left_anti")
-    return _rounded(motion.mcc_interpolate(saved(seen), s.static, P), "surface")
+    return _rounded(motion.mcc_interpolate(saved(seen), s.static, WIDE), "surface")
 
 
 def event_parallel_away(spark, sf_dir):
     s = _scene(spark, sf_dir)
-    return motion.event_parallel_away(s.with_points(saved(s.first_pass()), 1), s.sweeps, s.bare, s.image, P)
+    return motion.event_parallel_away(s.with_points(saved(s.first_pass()), 1), s.sweeps, s.bare, s.image, EVENTS)
 
 
 def event_perpendicular(spark, sf_dir):
     s = _scene(spark, sf_dir, gap=True)
-    return motion.event_perpendicular(s.with_points(saved(s.first_pass()), 3), s.sweeps, s.bare, s.static, P)
+    return motion.event_perpendicular(s.with_points(saved(s.first_pass()), 3), s.sweeps, s.bare, s.static, EVENTS)
 
 
 def label_geometric(spark, sf_dir):
@@ -130,6 +129,21 @@ def label_histogram(spark, sf_dir):
     return histogram(_scene(spark, sf_dir, gap=True).label_geometric())
 
 
+def _label_points(spark, sf_dir) -> DataFrame:
+    points = saved(_points(spark, sf_dir))
+    return Scene(points, fixtures.sweeps(spark), EVENTS.with_(refine="density", cluster_epsilon=CLUSTERS.cluster_epsilon, cluster_least=CLUSTERS.cluster_least)).label_points()
+
+
+def label_points(spark, sf_dir):
+    return _label_points(spark, sf_dir)
+
+
+def evaluate_labels(spark, sf_dir):
+    """The refined labels of each sweep against ground truth."""
+    matched = evaluation.match_gt(saved(_label_points(spark, sf_dir)), _gt(spark, sf_dir)[0])
+    return _rounded(evaluation.with_iou(evaluation.confusion(matched)), "iou")
+
+
 def _event_tracks(spark, sf_dir) -> DataFrame:
     """Users as instances that move along their events' values."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null and value is not null")
@@ -234,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         filter_range, to_global, project_spherical, depth_image, depth_image_dilated, unproject_pixel, adaptive_epsilon, occlusion_coarse, occlusion_vote,
-        ransac_ground, mcc_score, mcc_interpolate, event_parallel_away, event_perpendicular, label_geometric, label_histogram, track_velocity, boxes_asof,
+        ransac_ground, mcc_score, mcc_interpolate, event_parallel_away, event_perpendicular, label_geometric, label_histogram, label_points, evaluate_labels, track_velocity, boxes_asof,
         generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, sweep_geometric, best_trial, successive_halving, cluster_density, drop_noise,
         expand_hull, cluster_hdbscan,
     )
