@@ -152,30 +152,43 @@ across as materialized (select distinct c.scene_id, c.sweep_idx, c.point_idx fro
 final as materialized (select m.scene_id, m.sweep_idx, m.point_idx, case when a.point_idx is not null or c.point_idx is not null then 0 else m.label end::tinyint as label from mapped m left join away a using (scene_id, sweep_idx, point_idx) left join across c using (scene_id, sweep_idx, point_idx))"""
 
 
-def _density(labels: str) -> str:
-    """CTEs: clusters of the dynamic points of ``labels`` by closures of core points, noise dropped, hulls grown."""
+def _density(labels: str, epsilon: float = CLUSTERS.cluster_epsilon, least: int = CLUSTERS.cluster_least, tag: str = "") -> str:
+    """CTEs (names with ``tag`` after them): clusters of the dynamic points of ``labels`` by closures of core points, noise dropped, hulls grown."""
     directions = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (-1, 1, 1)]
     at = lambda d, t: f"({d[0]} * {t}.gx + {d[1]} * {t}.gy + {d[2]} * {t}.gz)"
     bounds = ", ".join(f"min({at(d, 'g')}) as lo{i}, max({at(d, 'g')}) as hi{i}" for i, d in enumerate(directions))
     inside = " and ".join(f"{at(d, 'g')} between lo{i} - 1e-9 and hi{i} + 1e-9" for i, d in enumerate(directions))
     return f""",
-d_points as materialized (select g.* from gpoints g join {labels} l using (scene_id, sweep_idx, point_idx) where l.label = 0),
-d_pairs as materialized (select a.scene_id, a.sweep_idx, a.point_idx, b.point_idx as other from d_points a join d_points b using (scene_id, sweep_idx) where (a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) + (a.gz - b.gz) * (a.gz - b.gz) <= {_d(CLUSTERS.cluster_epsilon**2)}),
-d_cores as materialized (select {_ID} from d_pairs group by all having count(*) >= {CLUSTERS.cluster_least}),
-d_links as materialized (select p.* from d_pairs p join d_cores using (scene_id, sweep_idx, point_idx) join d_cores o on o.scene_id = p.scene_id and o.sweep_idx = p.sweep_idx and o.point_idx = p.other),
-d_reach as (select * from d_links union select r.scene_id, r.sweep_idx, r.point_idx, l.other from d_reach r join d_links l on l.scene_id = r.scene_id and l.sweep_idx = r.sweep_idx and l.point_idx = r.other),
-d_of as materialized (select {_ID}, min(other) as cluster from d_reach group by all),
-clusters as materialized (select p.scene_id, p.sweep_idx, p.point_idx, min(o.cluster) as cluster from d_pairs p join d_of o on o.scene_id = p.scene_id and o.sweep_idx = p.sweep_idx and o.point_idx = p.other group by all),
-quiet as materialized (select l.scene_id, l.sweep_idx, l.point_idx, case when l.label = 0 and c.cluster is null then 3 else l.label end::tinyint as label from {labels} l left join clusters c using (scene_id, sweep_idx, point_idx)),
-hulls as materialized (select c.scene_id, c.sweep_idx, c.cluster, {bounds} from clusters c join gpoints g using (scene_id, sweep_idx, point_idx) group by all having count(*) >= 4 and hi0 > lo0 and hi1 > lo1 and hi2 > lo2),
-grown as materialized (select distinct g.scene_id, g.sweep_idx, g.point_idx from gpoints g join hulls h using (scene_id, sweep_idx) where {inside}),
-refined as materialized (select q.scene_id, q.sweep_idx, q.point_idx, case when g.point_idx is not null then 0 else q.label end::tinyint as label from quiet q left join grown g using (scene_id, sweep_idx, point_idx))"""
+d_points{tag} as materialized (select g.* from gpoints g join {labels} l using (scene_id, sweep_idx, point_idx) where l.label = 0),
+d_pairs{tag} as materialized (select a.scene_id, a.sweep_idx, a.point_idx, b.point_idx as other from d_points{tag} a join d_points{tag} b using (scene_id, sweep_idx) where (a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) + (a.gz - b.gz) * (a.gz - b.gz) <= {_d(epsilon**2)}),
+d_cores{tag} as materialized (select {_ID} from d_pairs{tag} group by all having count(*) >= {least}),
+d_links{tag} as materialized (select p.* from d_pairs{tag} p join d_cores{tag} using (scene_id, sweep_idx, point_idx) join d_cores{tag} o on o.scene_id = p.scene_id and o.sweep_idx = p.sweep_idx and o.point_idx = p.other),
+d_reach{tag} as (select * from d_links{tag} union select r.scene_id, r.sweep_idx, r.point_idx, l.other from d_reach{tag} r join d_links{tag} l on l.scene_id = r.scene_id and l.sweep_idx = r.sweep_idx and l.point_idx = r.other),
+d_of{tag} as materialized (select {_ID}, min(other) as cluster from d_reach{tag} group by all),
+clusters{tag} as materialized (select p.scene_id, p.sweep_idx, p.point_idx, min(o.cluster) as cluster from d_pairs{tag} p join d_of{tag} o on o.scene_id = p.scene_id and o.sweep_idx = p.sweep_idx and o.point_idx = p.other group by all),
+quiet{tag} as materialized (select l.scene_id, l.sweep_idx, l.point_idx, case when l.label = 0 and c.cluster is null then 3 else l.label end::tinyint as label from {labels} l left join clusters{tag} c using (scene_id, sweep_idx, point_idx)),
+hulls{tag} as materialized (select c.scene_id, c.sweep_idx, c.cluster, {bounds} from clusters{tag} c join gpoints g using (scene_id, sweep_idx, point_idx) group by all having count(*) >= 4 and hi0 > lo0 and hi1 > lo1 and hi2 > lo2),
+grown{tag} as materialized (select distinct g.scene_id, g.sweep_idx, g.point_idx from gpoints g join hulls{tag} h using (scene_id, sweep_idx) where {inside}),
+refined{tag} as materialized (select q.scene_id, q.sweep_idx, q.point_idx, case when g.point_idx is not null then 0 else q.label end::tinyint as label from quiet{tag} q left join grown{tag} g using (scene_id, sweep_idx, point_idx))"""
 
 
 def _recursive(sql: str) -> str:
     return sql.replace("with ", "with recursive ", 1)
 
 
+#: cluster_epsilon and cluster_least of the refinement's trials.
+REFINEMENTS = ((0.5, 3), (0.7, 5), (1.2, 12))
+
+
+def _refinements() -> str:
+    parts = []
+    for i, (epsilon, least) in enumerate(REFINEMENTS):
+        parts.append(f", few{i} as (select scene_id, sweep_idx from final where label = 0 group by all having count(*) >= {least}), busy{i} as materialized (select * from final semi join few{i} using (scene_id, sweep_idx)){_density(f'busy{i}', epsilon, least, str(i))}")
+    all_ = " union all ".join(f"select {i} as trial_id, {_d(e)} as cluster_epsilon, {n} as cluster_least, * from (select * from refined{i} union all select * from final anti join few{i} using (scene_id, sweep_idx))" for i, (e, n) in enumerate(REFINEMENTS))
+    counts = "count(*) filter (label = 0 and g.point_idx is not null) as tp, count(*) filter (label = 0 and g.point_idx is null) as fp, count(*) filter (label <> 0 and g.point_idx is not null) as fn, count(*) filter (label <> 0 and g.point_idx is null) as tn"
+    return f"{_recursive(_LABELS + ''.join(parts))}{_BOXES}, tried_all as ({all_}), conf as (select trial_id, cluster_epsilon, cluster_least, {counts} from tried_all l left join gt g using (scene_id, sweep_idx, point_idx) group by all) select *, {_IOU} from conf"
+
+
 _LABELS, _GAP_LABELS = _labelling(False), _labelling(True)
 _REFINED = _recursive(_VOTED + _density("voted"))
 #: A sweep with too few dynamic points keeps its labels.
@@ -221,4 +234,13 @@ select scene_id, instance_id, ts_us, round(coalesce(case when ts_us - pt > 1000
     "cluster_density": f"{_REFINED} select {_ID}, cluster from clusters",
     "drop_noise": f"{_REFINED} select {_ID}, label from quiet",
     "expand_hull": f"{_REFINED} select {_ID}, label from refined",
+    "trial_results": f"{_TRIALS}, t as (select *, case when tp + fp + fn > 0 then tp / (tp + fp + fn)::double else 0 end as i from scored) select trial_id, vote, tp, fp, fn, tn, round(i, 6) as iou, row_number() over (order by i desc, trial_id)::int as rank, round(max(i) over () - i, 6) as behind from t",
+    "sweep_refinement": _refinements(),
+    "successive_halving": f"""{_TRIALS},
+by_scene as (select t.trial_id, v.scene_id, count(*) filter (votes >= t.vote and g.point_idx is not null) as tp, count(*) filter (votes >= t.vote and g.point_idx is null) as fp, count(*) filter (votes < t.vote and g.point_idx is not null) as fn from votes v cross join trials t left join gt g using (scene_id, sweep_idx, point_idx) group by all),
+so_far as (select trial_id, row_number() over w - 1 as rung, sum(tp) over w as tp, sum(fp) over w as fp, sum(fn) over w as fn from by_scene window w as (partition by trial_id order by scene_id)),
+ious as (select trial_id, rung, case when tp + fp + fn > 0 then tp / (tp + fp + fn)::double else 0 end as iou from so_far),
+r0 as (select *, row_number() over (order by iou desc, trial_id) <= ceil(count(*) over () / 3.0) as survives from ious where rung = 0),
+r1 as (select i.*, row_number() over (order by i.iou desc, i.trial_id) <= ceil(count(*) over () / 3.0) as survives from ious i join r0 on r0.trial_id = i.trial_id and r0.survives where i.rung = 1)
+select rung::int as rung, trial_id::int as trial_id, round(iou, 6) as iou, survives from (select * from r0 union all select * from r1)""",
 }

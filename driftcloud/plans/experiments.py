@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import evaluation
 from ..operators.images import POINT
-from ..params import DYNAMIC, UNDETERMINED
+from ..operators import refinement
+from ..params import DYNAMIC, UNDETERMINED, Params
+from ..session import saved
 
 
 def sweep_geometric(coarse: DataFrame, gt: DataFrame, votes: Sequence[int]) -> DataFrame:
@@ -31,19 +33,42 @@ def scene_trials(coarse: DataFrame, gt: DataFrame, votes: Sequence[int]) -> Data
 def successive_halving(per_scene: DataFrame, factor: int = 3) -> DataFrame:
     """After each scene the running IoU ranks the trials that are left; the best share 1/factor (rounded up) goes on.
 
-    Returns the trials that saw each rung: rung, trial_id, iou, survives.
+    Returns the trials that saw each rung: rung, trial_id, iou, survives.  Running sums are one window; as many rounds are
+    needed as it takes to come down to one trial, however many scenes follow.
     """
-    scenes = [r.scene_id for r in per_scene.select("scene_id").distinct().orderBy("scene_id").collect()]
-    alive, rungs = per_scene.select("trial_id").distinct(), None
-    for rung, scene in enumerate(scenes):
-        so_far = per_scene.where(F.col("scene_id") <= scene).join(alive, "trial_id", "left_semi").groupBy("trial_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-        ranked = evaluation.with_iou(so_far).withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("iou"), "trial_id")), "n": F.count("*").over(Window.partitionBy())})
-        seen = ranked.select(F.lit(rung).alias("rung"), "trial_id", "iou", (F.col("rank") <= F.ceil(F.col("n") / factor)).alias("survives"))
-        rungs = seen if rungs is None else rungs.unionByName(seen)
-        alive = seen.where("survives").select("trial_id")
+    running = Window.partitionBy("trial_id").orderBy("scene_id")
+    sums = evaluation.with_iou(per_scene.select("trial_id", (F.row_number().over(running) - 1).alias("rung"), *[F.sum(c).over(running).alias(c) for c in ("tp", "fp", "fn", "tn")]))
+    sums = saved(sums.select("rung", "trial_id", "iou"))
+    left, last = sums.agg(F.count_distinct("trial_id"), F.coalesce(F.max("rung"), F.lit(-1))).first()
+    seen, rungs = sums, sums.limit(0).withColumn("survives", F.lit(True))
+    for rung in range(last + 1):
+        left = -(-left // factor)
+        # trials are few: a rung's ranks are one small window
+        ranked = saved(seen.where(F.col("rung") == rung).withColumn("survives", F.row_number().over(Window.orderBy(F.desc("iou"), "trial_id")) <= left))
+        rungs = rungs.unionByName(ranked)
+        seen = saved(seen.where(F.col("rung") > rung).join(ranked.where("survives").select("trial_id"), "trial_id", "left_semi").select("rung", "trial_id", "iou"))
+        if left == 1:  # the last one sees all the rest
+            return rungs.unionByName(seen.withColumn("survives", F.lit(True)))
     return rungs
 
 
+def sweep_refinement(labels: DataFrame, gpoints: DataFrame, gt: DataFrame, p: Params, trials: Sequence[tuple[float, int]]) -> DataFrame:
+    """tp, fp, fn, tn, iou of every (cluster_epsilon, cluster_least) over stored labels: trial_id, cluster_epsilon, cluster_least."""
+    labels, out = saved(labels), None
+    for i, (epsilon, least) in enumerate(trials):
+        refined = refinement.refine(labels, gpoints, p.with_(cluster_epsilon=epsilon, cluster_least=least))
+        named = evaluation.match_gt(refined, gt).withColumns({"trial_id": F.lit(i), "cluster_epsilon": F.lit(float(epsilon)), "cluster_least": F.lit(least)})
+        counts = saved(evaluation.with_iou(evaluation.confusion(named, ("trial_id", "cluster_epsilon", "cluster_least"))))
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def trial_results(trials: DataFrame) -> DataFrame:
+    """The trials with their rank by IoU (ties: the first) and what they lack to the best one."""
+    order = Window.orderBy(F.desc("iou"), "trial_id")  # trials are few
+    return trials.withColumns({"rank": F.row_number().over(order), "behind": F.first("iou").over(order) - F.col("iou")})
+
+
 def best_trial(trials: DataFrame) -> DataFrame:
     """The trial of greatest IoU (ties: the first)."""
     return trials.orderBy(F.desc("iou"), "trial_id").limit(1)

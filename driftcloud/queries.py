@@ -144,6 +144,11 @@ def evaluate_labels(spark, sf_dir):
     return _rounded(evaluation.with_iou(evaluation.confusion(matched)), "iou")
 
 
+def sweep_refinement(spark, sf_dir):
+    scene = _scene(spark, sf_dir)
+    return _rounded(experiments.sweep_refinement(scene.label_geometric(), scene.bare, _gt(spark, sf_dir)[0], EVENTS.with_(refine="density"), oracles.REFINEMENTS), "iou")
+
+
 def _event_tracks(spark, sf_dir) -> DataFrame:
     """Users as instances that move along their events' values."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null and value is not null")
@@ -214,6 +219,11 @@ def best_trial(spark, sf_dir):
     return _rounded(experiments.best_trial(experiments.sweep_geometric(coarse, gt, VOTES)), "iou")
 
 
+def trial_results(spark, sf_dir):
+    coarse, _, gt = _voted(spark, sf_dir)
+    return _rounded(experiments.trial_results(experiments.sweep_geometric(coarse, gt, VOTES)), "iou", "behind")
+
+
 def successive_halving(spark, sf_dir):
     coarse, _, gt = _voted(spark, sf_dir)
     return _rounded(experiments.successive_halving(saved(experiments.scene_trials(coarse, gt, VOTES))), "iou")
@@ -249,7 +259,7 @@ QUERIES = {
     for f in (
         filter_range, to_global, project_spherical, depth_image, depth_image_dilated, unproject_pixel, adaptive_epsilon, occlusion_coarse, occlusion_vote,
         ransac_ground, mcc_score, mcc_interpolate, event_parallel_away, event_perpendicular, label_geometric, label_histogram, label_points, evaluate_labels, track_velocity, boxes_asof,
-        generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, sweep_geometric, best_trial, successive_halving, cluster_density, drop_noise,
+        generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, sweep_geometric, best_trial, trial_results, successive_halving, sweep_refinement, cluster_density, drop_noise,
         expand_hull, cluster_hdbscan,
     )
 }
