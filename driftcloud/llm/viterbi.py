@@ -6,9 +6,10 @@ needs no more characters ahead than the longest piece has.  Whenever all survivi
 boundary, the ids before it are committed and all that lies before it is forgotten, so memory doesn't grow with the text.
 Characters that no piece covers fall back to byte pieces.
 
-Every text goes through this one search.  After a commit at the boundary before a blank the search is in its first state again,
-so what it commits up to the next such boundary depends on the characters between them alone; a worker keeps these ids for
-the parts met lately and walks each part once.
+Every text goes through this one search.  No piece leads over the boundary before a blank, nor (in models whose pieces never
+join them) over that between a letter and punctuation, so all paths meet there.  After a commit at such a boundary the
+search is in its first state again: what it commits up to the next one depends on the characters between them alone, and a
+worker keeps these ids for the parts met lately and walks each part once.
 
 Only the model's scores decide: for a model trained by merges, the result is the best path over its scores, not the merge
 order's.  Defined results: a null or empty text gives no ids and decodes to an empty text; repeated rows and null ids are
@@ -35,10 +36,14 @@ SPACE = "▁"
 MAX_WORDS, MAX_WORD_CHARS = 600_000, 48
 #: Characters that the window takes in at a time, beside the longest piece.
 KEPT_CHARS = 32
-#: Parts of a text that are joined before they leave the search.
-PARTS_AT_ONCE = 2048
+#: Characters of a text that are cut into parts at a time (more where no blank follows).
+SLICE_CHARS = 1 << 16
+_CUT = re.compile(f"[^ {SPACE}][ {SPACE}]")
 #: Blanks (as their sign) and what follows up to the next one; or blanks at the end.
 _PART = re.compile(f"{SPACE}+[^{SPACE}]+|{SPACE}+")
+#: The same, cut also where Latin letters and ASCII punctuation meet.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
+_FINE_PART = re.compile(rf"{SPACE}*[{_LETTERS}]+(?![^{SPACE}{_MARKS}])|{SPACE}*[{_MARKS}]+(?![^{SPACE}{_LETTERS}])|{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: What an uncovered character loses against the least score.
 UNKNOWN_PENALTY = 10.0
 
@@ -65,7 +70,10 @@ class Viterbi:
             inner[p[:-1]][p[-1]] = (score, i, inner[p])
         #: A blank that only starts pieces (or stands among blanks) is a boundary of every path.
         self.blank_starts = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        self.words: dict[str, bytes] = {}
+        #: Where no piece joins letters and punctuation, paths also meet between these.
+        joins = re.compile(rf"[{_MARKS}][{_LETTERS}]|[{_LETTERS}][{_MARKS}]")
+        self.parts = _PART if any(map(joins.search, self.pieces)) else _FINE_PART
+        self.known: dict[str, tuple[bytes, str]] = {}
 
     def stream(self, chars: str | Iterable[str]) -> Iterator[list[int]]:
         """Ids of a normalised text, committed as soon as all surviving paths share a boundary."""
@@ -129,35 +137,42 @@ class Viterbi:
             meet.add(before[top])
         return meet.pop()
 
-    def encoded(self, text: str) -> Iterator[bytes]:
-        """Ids of a text as little-endian unsigned 32-bit integers, some at a time."""
-        if not text:
-            return
-        text = SPACE + text.replace(" ", SPACE)
-        if not self.blank_starts:
-            for ids in self.stream(text):
-                yield np.array(ids, "<u4").tobytes()
-            return
-        parts, known = (m[0] for m in _PART.finditer(text)), self.words
-        while some := list(islice(parts, PARTS_AT_ONCE)):
-            yield b"".join([known.get(part) or self._part(part) for part in some])
+    def coded(self, text: str) -> Iterator[tuple[bytes, str]]:
+        """Ids of a text as little-endian unsigned 32-bit integers, and what they spell, some at a time."""
+        at, sign = 0, SPACE  # the blank that is put before a text
+        while at < len(text):
+            cut = _CUT.search(text, at + SLICE_CHARS) if self.blank_starts and len(text) - at > SLICE_CHARS else None
+            end = cut.start() + 1 if cut else len(text)
+            chars, at = sign + text[at:end].replace(" ", SPACE), end
+            if self.blank_starts:
+                yield self._joined(self.parts.findall(chars))
+            else:
+                for ids in self.stream(chars):
+                    yield np.array(ids, "<u4").tobytes(), self.spelt_out(ids)
+            sign = ""
+
+    def _joined(self, parts: list[str]) -> tuple[bytes, str]:
+        known = self.known
+        found = [known.get(part) or self._part(part) for part in parts]
+        return b"".join([raw for raw, _ in found]), "".join([spelt for _, spelt in found])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.encoded(text))
+        return b"".join(raw for raw, _ in self.coded(text))
 
-    def _part(self, part: str) -> bytes:
-        """What the search commits between two boundaries at which it starts anew."""
-        raw = array("I", chain.from_iterable(self.stream(part))).tobytes()
+    def _part(self, part: str) -> tuple[bytes, str]:
+        """What the search commits between two boundaries at which it starts anew, and what these ids spell."""
+        ids = array("I", chain.from_iterable(self.stream(part)))
+        found = ids.tobytes(), self.spelt_out(ids)
         if len(part) <= MAX_WORD_CHARS:
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            self.words[part] = raw
-        return raw
+            if len(self.known) >= MAX_WORDS:
+                self.known.clear()
+            self.known[part] = found
+        return found
 
-    def spelt_out(self, ids: np.ndarray) -> str:
+    def spelt_out(self, ids: Iterable[int]) -> str:
         """Pieces, runs of byte pieces as UTF-8, and blanks for their sign."""
         out, raw = [], bytearray()
-        for i in ids.tolist():
+        for i in ids:
             if i in self.byte_of:
                 raw.append(self.byte_of[i])
                 continue
@@ -171,7 +186,7 @@ class Viterbi:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text, without the blank that was put before it."""
-        return self.spelt_out(ids).removeprefix(" ")
+        return self.spelt_out(ids.tolist()).removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
@@ -189,9 +204,8 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 n, crc, at, same, plain = 0, 0, -1, True, text.replace(SPACE, " ")  # the first piece begins with a blank of its own
-                for raw in model.encoded(text):
+                for raw, part in model.coded(text):
                     n, crc = n + len(raw) // 4, zlib.crc32(raw, crc)
-                    part = model.spelt_out(np.frombuffer(raw, "<u4"))
                     same = same and (part[0] == " " and plain.startswith(part[1:]) if at < 0 else plain.startswith(part, at))
                     at += len(part)
                 rows.append((doc_id, n, crc, len(text.encode()), same and max(at, 0) == len(plain)))

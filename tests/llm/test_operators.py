@@ -174,6 +174,16 @@ def test_viterbi(spark, docs):
     assert viterbi.encode_and_decode(empty(spark), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_viterbi_parts_equal_the_whole_search():
+    model, rng = viterbi.Viterbi(public_tokenizers.path("piece_bpe_32k.model")), np.random.default_rng(4)
+    for size in (5, 60, 900):
+        for _ in range(300):
+            text = "".join(rng.choice(list("abthe.,;\r\n² ▁Zé”'1_(x漢")) for _ in range(size))
+            whole = [i for some in model.stream(viterbi.SPACE + text.replace(" ", viterbi.SPACE)) for i in some]
+            ids = np.frombuffer(model.encode(text), "<u4")
+            assert ids.tolist() == whole and model.decode(ids) == text.replace(viterbi.SPACE, " ")
+
+
 def test_viterbi_window_stays_small():
     """Characters come from a generator without any blank; what is held doesn't follow their number."""
     model, rng = viterbi.Viterbi(public_tokenizers.path("piece_bpe_32k.model")), np.random.default_rng(1)
