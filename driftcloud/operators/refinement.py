@@ -120,7 +120,8 @@ def hierarchical_clusters(xyz: np.ndarray, least: int, k: int, epsilon: float) -
         if below[cluster] and inner > stability[cluster] and cluster != new - 1 and split_at >= epsilon or cluster == new - 1 and below[cluster]:
             value[cluster], pick[cluster] = inner, [q for c in below[cluster] for q in pick[c]]
         else:
-            value[cluster], pick[cluster] = stability[cluster], [cluster]
+            # the whole is no cluster of its own: points that never split in two are noise
+            value[cluster], pick[cluster] = stability[cluster], [cluster] if cluster != new - 1 else []
     chosen = [c for c in pick[new - 1] if size[c] >= least]
     for number, c in enumerate(chosen):
         out[leaves(c)] = number

@@ -68,10 +68,15 @@ def assemble_annotations(annotation: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def read_sweep_files(sweeps: DataFrame, folder: str, values: int = 5) -> DataFrame:
-    """Points of the sweeps' files (float32 rows whose first three values are x, y, z); a missing file gives no points."""
+    """Points of the sweeps' files (float32 rows whose first three values are x, y, z); a missing file gives no points.
+
+    ``filename`` is relative to the folder: files of equal names in different subfolders are told apart.
+    """
     files = sweeps.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    keyed = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    named = sweeps.select("scene_id", "sweep_idx", F.element_at(F.split("filename", "/"), -1).alias("name"))
+    # a path ends with the file's name relative to the folder; joined on the last part, then held against the whole
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    keyed = files.withColumn("name", last("path"))
+    named = sweeps.select("scene_id", "sweep_idx", "filename", last("filename").alias("name"))
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -80,7 +85,8 @@ def read_sweep_files(sweeps: DataFrame, folder: str, values: int = 5) -> DataFra
                 yield pd.DataFrame({"scene_id": scene_id, "sweep_idx": sweep_idx, "point_idx": np.arange(len(xyz), dtype=np.int32), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
     schema = "scene_id long, sweep_idx int, point_idx int, x double, y double, z double"
-    return named.join(keyed.select("name", "content"), "name").select("scene_id", "sweep_idx", "content").mapInPandas(points, schema)
+    same = F.col("path").endswith(F.concat(F.lit("/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/"), F.col("filename")))
+    return named.join(keyed, "name").where(same).select("scene_id", "sweep_idx", "content").mapInPandas(points, schema)
 
 
 def write_gt_labels(gt: DataFrame, path: str, speed_threshold: float, clean: bool = False) -> None:
@@ -93,6 +99,16 @@ def read_gt_labels(spark: SparkSession, path: str, speed_threshold: float) -> Da
     return spark.read.parquet(path).where(F.col("vel_thr") == speed_threshold).select(F.col("scene_id").cast("long"), "sweep_idx", "point_idx")
 
 
+def covered(labels: DataFrame, gt: DataFrame) -> DataFrame:
+    """Labels of the sweeps that the ground truth has; others can't be scored, since no label there is known to be wrong."""
+    return labels.join(gt.select("scene_id", "sweep_idx").distinct(), ["scene_id", "sweep_idx"], "left_semi")
+
+
+def sweep_counts(labels: DataFrame) -> DataFrame:
+    """How many sweeps and points each scene of a label table has."""
+    return labels.groupBy("scene_id").agg(F.count_distinct("sweep_idx").alias("n_sweeps"), F.count("*").alias("n_points"))
+
+
 def write_point_labels(labels: DataFrame, gpoints: DataFrame, path: str) -> None:
     """Labels with their global points, by scene: also the table that later parameter sweeps reuse."""
     key = ["scene_id", "sweep_idx", "point_idx"]

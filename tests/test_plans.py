@@ -1,9 +1,12 @@
 """Stages together, files and streams."""
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from driftcloud import fixtures
+from driftcloud.operators import images, refinement, tracks
 from driftcloud.params import COARSE, Params
 from driftcloud.plans import experiments
 from driftcloud.plans.labelling import Scene
@@ -32,7 +35,9 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_sweep_files(spark, tmp_path):
-    np.arange(10, dtype=np.float32).tofile(tmp_path / "a.bin")
+    for folder, first in (("x", 0), ("y", 100)):
+        (tmp_path / folder).mkdir()
+        np.arange(first, first + 10, dtype=np.float32).tofile(tmp_path / folder / "a.bin")
     sweeps = spark.createDataFrame([(0, 0, "x/a.bin"), (0, 1, "x/missing.bin")], "scene_id long, sweep_idx int, filename string")
     rows = files.read_sweep_files(sweeps, str(tmp_path)).orderBy("point_idx").collect()
     assert [(r.sweep_idx, r.point_idx, r.x, r.y, r.z) for r in rows] == [(0, 0, 0.0, 1.0, 2.0), (0, 1, 5.0, 6.0, 7.0)]
@@ -50,3 +55,45 @@ def test_halving_keeps_the_best_third(spark):
     out = experiments.successive_halving(spark.createDataFrame(rows, "trial_id int, scene_id long, tp long, fp long, fn long, tn long")).collect()
     assert sorted(r.trial_id for r in out if r.rung == 0 and r.survives) == [6, 7, 8]
     assert [r.trial_id for r in out if r.rung == 1 and r.survives] == [8]
+
+
+def test_metadata_to_ground_truth(spark, tmp_path):
+    """From metadata files through sweeps and annotations to the points in a moving box."""
+    tables = {
+        "sample": [{"token": f"s{i}", "scene_token": "A", "timestamp": 1_000_000 * i} for i in range(2)],
+        "sample_data": [{"token": f"d{i}", "sample_token": f"s{i}", "calibrated_sensor_token": "c", "ego_pose_token": f"e{i}", "filename": f"sweeps/{i}.bin", "timestamp": 1_000_000 * i, "is_key_frame": True, "channel": c} for i in (1, 0) for c in ("LIDAR_TOP", "CAM")],
+        "calibrated_sensor": [{"token": "c", "rotation": [1.0, 0.0, 0.0, 0.0], "translation": [0.0, 0.0, 1.0]}],
+        "ego_pose": [{"token": f"e{i}", "rotation": [1.0, 0.0, 0.0, 0.0], "translation": [10.0 * i, 0.0, 0.0]} for i in range(2)],
+        "sample_annotation": [{"token": f"a{i}", "sample_token": f"s{i}", "instance_token": "car", "translation": [20.0 + 5 * i, 0.0, 0.0], "size": [2.0, 2.0, 4.0], "rotation": [1.0, 0.0, 0.0, 0.0], "category_name": "car"} for i in range(2)],
+    }
+    for name, rows in tables.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows))
+    read = {name: files.read_metadata(spark, str(tmp_path), name) for name in tables}
+    sweeps = files.assemble_sweeps(files.list_sweeps(read["sample_data"], read["sample"]), read["calibrated_sensor"], read["ego_pose"])
+    assert [(r.sweep_idx, r.ts_us, r.tx, r.tz, r.filename) for r in sweeps.orderBy("sweep_idx").collect()] == [(0, 0, 0.0, 1.0, "sweeps/0.bin"), (1, 1_000_000, 10.0, 1.0, "sweeps/1.bin")]
+    assert files.slice_sweeps(sweeps, 1, 1).count() == files.slice_sweeps(sweeps, 0, 1).count() == 1
+    (tmp_path / "sweeps").mkdir()
+    for i in range(2):  # in the sensor's frame: one point in the box, one beside it
+        np.array([[20.0 - 5 * i, 0, -1, 0, 0], [5, 5, 0, 0, 0]], np.float32).tofile(tmp_path / "sweeps" / f"{i}.bin")
+    points = files.read_sweep_files(sweeps, str(tmp_path))
+    gpoints = images.to_global(points, sweeps)
+    gt = tracks.generate_gt(gpoints, files.assemble_annotations(read["sample_annotation"], read["sample"]), sweeps, P)
+    assert sorted((r.sweep_idx, r.point_idx) for r in gt.collect()) == [(0, 0), (1, 0)]
+    labels = gpoints.select("scene_id", "sweep_idx", "point_idx", F.lit(0).alias("label"))
+    assert files.covered(labels, gt.where("sweep_idx = 1")).count() == 2
+    assert [(r.n_sweeps, r.n_points) for r in files.sweep_counts(labels).collect()] == [(2, 4)]
+
+
+def test_refinement_leaves_sweeps_that_it_cannot_cluster(spark):
+    """Too few dynamic points, or one that isn't finite: the labels stay; elsewhere noise goes."""
+    near = [(0.1 * i, 0.0, 0.0) for i in range(6)]
+    rows = [(0, 0, i, *xyz) for i, xyz in enumerate([*near, (50.0, 0.0, 0.0)])] + [(0, 1, i, *xyz) for i, xyz in enumerate(near[:3])] + [(0, 2, i, *xyz) for i, xyz in enumerate([*near, (float("nan"), 0.0, 0.0), (50.0, 0.0, 0.0)])]
+    gpoints = spark.createDataFrame(rows, "scene_id long, sweep_idx int, point_idx int, gx double, gy double, gz double")
+    labels = gpoints.select("scene_id", "sweep_idx", "point_idx", F.lit(0).cast("byte").alias("label"))
+    for method in ("density", "hdbscan"):
+        out = refinement.refine(labels, gpoints, P.with_(refine=method, cluster_epsilon=0.7, cluster_least=5)).collect()
+        assert len(out) == len(rows)
+        assert {(r.sweep_idx, r.point_idx) for r in out if r.label != 0} <= {(0, k) for k in range(7)}
+        assert (0, 6) in {(r.sweep_idx, r.point_idx) for r in out if r.label == 3}
+    size = refinement.refine(labels, gpoints, P.with_(refine="density", cluster_epsilon=0.7, cluster_least=5, cluster_size=9)).where("sweep_idx = 0 and label = 3")
+    assert size.count() == 7
