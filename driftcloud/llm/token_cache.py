@@ -26,11 +26,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _RARE_SPACE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Texts that hold any of these are encoded whole: by kind of tokenizer (keeps space, drops space).
 _WHOLE = {False: rf"<\||{_RARE_SPACE}|[ \n][ \n]|^[ \n]|[ \n]$", True: rf"<\||\x01|{_RARE_SPACE}"}
-#: A blank, word characters, then perhaps one run of ASCII punctuation: such a word has one border, between the two, if the word
-#: characters are letters; numbers like ² and Ⅳ are word characters too, and letters that the library's tables may not know yet.
-_SIMPLE = re.compile("( ?)([^\\W\\d_]+)([!-/:-@\\[-^`{-~]+)?")
-#: Letters up to here (Latin, Greek, Cyrillic) are the same in all tables of characters; other words go to the library.
-_LAST_LETTER = "\u052f"
+#: Letters up to here (Latin, Greek, Cyrillic) are the same in all tables of characters; words with others go to the library.
+_LETTERS_BELOW = 0x530
+#: A blank, letters, then perhaps one run of ASCII punctuation: such a word has one border, between the two.  Numbers such as ² are no letters.
+_SIMPLE = re.compile("( ?[" + "".join(c for c in map(chr, range(_LETTERS_BELOW)) if c.isalpha()) + "]+)([!-/:-@\\[-^`{-~]+)?")
 #: Lower case of these depends on their place or changes their number.
 _ODD_CASE = re.compile("[\u03a3\u0130]")
 #: Bounds of a worker's memory: words in each of two generations, and characters of a word that is kept.
@@ -120,10 +119,10 @@ class BatchEncoder:
         odd = []
         for i, text in zip(where, spelt):
             simple = _SIMPLE.fullmatch(text)
-            if not simple or not simple[2].isalpha() or max(simple[2]) > _LAST_LETTER or self.drops_space and (_ODD_CASE.search(text) or not is_normalized("NFC", text)):
+            if not simple or self.drops_space and (_ODD_CASE.search(text) or not is_normalized("NFC", text)):
                 odd.append((i, text))
                 continue
-            letters, marks = simple[1] + simple[2], simple[3]
+            letters, marks = simple.groups()
             found[i] = self._keep(words[i], before + (self._part(letters) + self._part(marks) if marks else self._part(letters)))
         for k in range(0, len(odd), JOINED):
             block = odd[k : k + JOINED]
