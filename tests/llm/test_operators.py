@@ -46,7 +46,7 @@ def empty(spark):
 def test_tokens_equal_the_library():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         library = Tokenizer.from_file(public_tokenizers.path(name))
-        texts = [t or "" for t in TEXTS] + ["a  b\n c", "\n\nx", "don't it's", "Σας İx", "é té", "tail \n"]
+        texts = [t or "" for t in TEXTS] + ["a  b\n c", "\n\nx", "don't it's", "Σας İx", "é té", "tail \n", "m² km² x³ CO₂ H₂O", "½cup Ⅳa ①② ªº", "漢字 한국 ꟋA", "a" * 90 + "² " + "b" * 90]
         ids, bounds = token_cache.BatchEncoder(public_tokenizers.path(name)).encode(pa.array(texts))
         for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
             assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
