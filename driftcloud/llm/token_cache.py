@@ -1,15 +1,14 @@
-"""Token ids by the tokenizers library, which is called only for words that a worker has not met lately.
+"""Token ids by the tokenizers library, which is called only for parts of words that a worker has not met lately.
 
 Neither tokenizer used here merges across the borders below, so a text's ids are its words' ids one after another.
-The words of a whole batch of texts are made distinct first (Arrow's dictionary encoding); new ones go to the library
-many at a time, with a separator between them whose id is known.  Texts with rarer white space or with what may be a
-special token's literal go to the library whole.
+The words of a whole batch of texts are made distinct first (Arrow's dictionary encoding), then what stands before and
+in their closing punctuation; new parts go to the library, odd ones many at a time, with a separator between them whose
+id is known.  Texts with rarer white space or with what may be a special token's literal go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -28,15 +27,16 @@ _RARE_SPACE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{20
 _WHOLE = {False: rf"<\||{_RARE_SPACE}|[ \n][ \n]|^[ \n]|[ \n]$", True: rf"<\||\x01|{_RARE_SPACE}"}
 #: Letters up to here (Latin, Greek, Cyrillic) are the same in all tables of characters; words with others go to the library.
 _LETTERS_BELOW = 0x530
-#: A blank, letters, then perhaps one run of ASCII punctuation: such a word has one border, between the two.  Numbers such as ² are no letters.
-_SIMPLE = re.compile("( ?[" + "".join(c for c in map(chr, range(_LETTERS_BELOW)) if c.isalpha()) + "]+)([!-/:-@\\[-^`{-~]+)?")
 #: Lower case of these depends on their place or changes their number.
-_ODD_CASE = re.compile("[\u03a3\u0130]")
-#: Bounds of a worker's memory: words in each of two generations, and characters of a word that is kept.
-MAX_WORDS, MAX_WORD_CHARS = 400_000, 48
+_ODD_CASE = "\u03a3\u0130"
+#: ASCII punctuation: a run of it at a word's end is a part of its own if only letters stand before it.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_TAIL = r"(?P<marks>[!-/:-@\[-`{-~]*)\z"
+#: Bounds of a worker's memory: parts in each of two generations, and characters of a part that is kept.
+MAX_PARTS, MAX_PART_CHARS = 400_000, 48
 #: Texts whose words are made distinct together.
 TOKEN_BATCH = 4096
-#: New words that the library gets as one text.
+#: New odd words that the library gets as one text.
 JOINED = 500
 
 
@@ -50,6 +50,18 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+def _simple(drops_space: bool) -> str:
+    """Pattern of a blank and letters that the model's merges may have as they are.  Numbers such as \u00b2 are no letters."""
+    letters = (c for c in map(chr, range(_LETTERS_BELOW)) if c.isalpha())
+    return "\\A ?[" + "".join(c for c in letters if not drops_space or c not in _ODD_CASE and is_normalized("NFC", c)) + "]+\\z"
+
+
+def _gather(store: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of ``store`` one after another, and where each ends."""
+    ends = np.cumsum(sizes)
+    return store[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
 class BatchEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,7 +69,7 @@ class BatchEncoder:
         self.separator = " \x01 " if self.drops_space else "\n"
         (self.separator_id,) = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
         self.merge = self.tokenizer.model.tokenize
-        self.parts: dict[str, bytes] = {}
+        self.simple = _simple(self.drops_space)
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -81,12 +93,9 @@ class BatchEncoder:
         else:  # a word keeps the line end before it; any other has a blank before it
             lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
         words = lists.flatten().dictionary_encode()
-        found = self._known(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        store, starts, index = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, words.indices.to_numpy()
-        n = sizes[index]
-        ends = np.cumsum(n)
-        ids = store[np.repeat(starts[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        store, starts, sizes = self._of_words(words.dictionary)
+        index = words.indices.to_numpy()
+        ids, ends = _gather(store, starts[index], sizes[index])
         at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         bounds = np.concatenate([[0], ends])[at]
         if self.drops_space:
@@ -95,66 +104,74 @@ class BatchEncoder:
         keep[bounds[:-1]] = False  # the line end put before the text
         return ids[keep], bounds - np.arange(len(bounds))
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.newer.get, words))
-        new = []
-        for i, ids in enumerate(found):
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, where each word's start, and how many they are."""
+        opens = np.zeros(len(words), bool)
+        if not self.drops_space:  # a word that opens a line has no blank before it
+            opening = pc.starts_with(words, "\n")
+            opens = opening.to_numpy(zero_copy_only=False)
+            bare = pc.utf8_ltrim(words, "\n")
+            words = pc.if_else(opening, bare, pc.binary_join_element_wise(" ", bare, ""))
+        before = pc.utf8_rtrim(words, _MARKS)
+        simple = pc.match_substring_regex(before, self.simple)
+        marks = pc.struct_field(pc.extract_regex(words, _TAIL), "marks")
+        columns = [pc.if_else(simple, before, words), pc.if_else(simple, marks, "")]
+        stores, starts, sizes, at = [np.array([self.separator_id], "<u4")], [np.zeros(len(words), np.int64)], [opens.astype(np.int64)], 1
+        for column in columns:
+            distinct = column.dictionary_encode()
+            found = self._known(distinct.dictionary)
+            n, index = np.fromiter(map(len, found), np.int64, len(found)) // 4, distinct.indices.to_numpy()
+            stores.append(np.frombuffer(b"".join(found), "<u4"))
+            starts.append((np.cumsum(n) - n + at)[index])
+            sizes.append(n[index])
+            at += len(stores[-1])
+        store, ends = _gather(np.concatenate(stores), np.stack(starts, axis=1).ravel(), np.stack(sizes, axis=1).ravel())
+        n = np.sum(sizes, axis=0)
+        return store, ends[len(sizes) - 1 :: len(sizes)] - n, n
+
+    def _known(self, parts: pa.Array) -> list[bytes]:
+        """Ids of distinct parts: letters go to the model's merges, so does punctuation; anything odd is encoded with separators between."""
+        spelt = parts.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist()
+        found = list(map(self.newer.get, spelt))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if not new:
+            return found
+        mergeable = pc.match_substring_regex(parts, rf"{self.simple}|\A[!-/:-@\[-`{{-~]+\z").to_numpy(zero_copy_only=False)
+        odd, older = [], self.older.get
+        for i in new:
+            ids = older(spelt[i])
             if ids is None:
-                ids = self.older.get(words[i])
-                if ids is None:
-                    new.append(i)
+                if not spelt[i]:
+                    ids = b""
+                elif mergeable[i]:
+                    ids = self._merged(spelt[i])
                 else:
-                    found[i] = self._keep(words[i], ids)
-        if self.drops_space:
-            self._fill(new, [words[i] for i in new], b"", found, words)
-        else:
-            first = [i for i in new if words[i][0:1] == "\n"]
-            rest = [i for i in new if words[i][0:1] != "\n"]
-            self._fill(first, [words[i][1:] for i in first], np.array([self.separator_id], "<u4").tobytes(), found, words)
-            self._fill(rest, [" " + words[i] for i in rest], b"", found, words)
-        return found
-
-    def _fill(self, where: list[int], spelt: list[str], before: bytes, found: list, words: list[str]) -> None:
-        """Ids of new words: letters go to the model's merges, anything odd is encoded with separators between."""
-        odd = []
-        for i, text in zip(where, spelt):
-            simple = _SIMPLE.fullmatch(text)
-            if not simple or self.drops_space and (_ODD_CASE.search(text) or not is_normalized("NFC", text)):
-                odd.append((i, text))
-                continue
-            letters, marks = simple.groups()
-            found[i] = self._keep(words[i], before + (self._part(letters) + self._part(marks) if marks else self._part(letters)))
+                    odd.append(i)
+                    continue
+            found[i] = ids
         for k in range(0, len(odd), JOINED):
             block = odd[k : k + JOINED]
-            ids = np.array(self.tokenizer.encode(self.separator.join(text for _, text in block), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(self.separator.join(spelt[i] for i in block), add_special_tokens=False).ids, "<u4")
             cuts, raw, a = np.flatnonzero(ids == self.separator_id), ids.tobytes(), 0
             if len(cuts) != len(block) - 1:
                 raise AssertionError("a separator was merged with a word")
-            for (i, _), b in zip(block, [*(cuts * 4).tolist(), len(raw)]):
-                found[i] = self._keep(words[i], before + raw[a:b])
+            for i, b in zip(block, [*(cuts * 4).tolist(), len(raw)]):
+                found[i] = raw[a:b]
                 a = b + 4
+        if len(self.newer) + len(new) > MAX_PARTS:
+            self.newer, self.older = {}, self.newer
+        self.newer.update((spelt[i], found[i]) for i in new[:MAX_PARTS] if len(spelt[i]) <= MAX_PART_CHARS)
+        return found
 
-    def _part(self, text: str) -> bytes:
+    def _merged(self, text: str) -> bytes:
         """Ids of what the tokenizer's pattern keeps whole."""
-        ids = self.parts.get(text)
-        if ids is None:
-            spelt = text.lower() if self.drops_space else text
-            if not spelt.isascii():
-                spelt = spelt.encode().decode("latin-1").translate(_LETTERS)
-            elif spelt[0] == " ":
-                spelt = _LETTERS[32] + spelt[1:]
-            ids = array("I", [t.id for t in self.merge(spelt)]).tobytes()
-            if len(self.parts) >= MAX_WORDS:
-                self.parts.clear()
-            self.parts[text] = ids
-        return ids
-
-    def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(word) <= MAX_WORD_CHARS:
-            if len(self.newer) >= MAX_WORDS:
-                self.newer, self.older = {}, self.newer
-            self.newer[word] = ids
-        return ids
+        if self.drops_space:
+            text = text.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_LETTERS)
+        elif text[0] == " ":
+            text = _LETTERS[32] + text[1:]
+        return array("I", [t.id for t in self.merge(text)]).tobytes()
 
 
 @lru_cache(maxsize=4)
