@@ -4,7 +4,8 @@ A record is rows (record, chunk_no, data, digest) of at most ``chunk_bytes`` eac
 holds more of a payload than a chunk.  The digest is that of the payload up to the chunk's end, carried from chunk to chunk;
 the reader carries its own and holds it against each.  Joined in order, a record's chunks are the bytes of a WARC/1.1 record.
 The table is Parquet in the shared folder.  Which record is the response is settled on digests alone; payloads then meet
-the answer by page and digest, so that the copies of a page spread over tasks.
+the answer by page and digest, so that the copies of a page spread over tasks.  The reader takes a record where its file is
+read; only the chunks of records that a split of the file cuts, or that are longer than ``FLUSH_BYTES``, are shuffled and sorted.
 
 Defined results: a null html is an empty payload; a null url is written as an empty one; of rows that repeat the smallest
 page_id of a payload each is a response; a null page_id revisits any other, and is a response where no other has the
@@ -28,6 +29,7 @@ CHUNK_BYTES, FLUSH_BYTES = 16_384, 4_000_000
 DATE = "2024-01-01T00:00:00Z"
 _CHUNKS = "record long, chunk_no int, data binary, digest binary"
 _RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_NO_RESULT, _NO_CHUNK = (None,) * 5, (None,) * 4
 
 
 def record_head(page_id: int | None, url: str, digest: str, payload_bytes: int, refers_to: int | None) -> bytes:
@@ -135,8 +137,11 @@ class RecordReader:
                 self.head += data[len(part) :]
                 data = b""
 
+    def ended(self) -> bool:
+        return self.http is not None and not self.left and bytes(self.head) == b"\r\n\r\n"
+
     def row(self) -> tuple[int | None, int, str, str, int | None]:
-        if self.left or bytes(self.head) != b"\r\n\r\n":
+        if not self.ended():
             raise ValueError("a record is cut short")
         named, number = self.fields, lambda v: int(v[len("<urn:page:") : -1]) if v != "<urn:page:>" else None
         digest = named["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -146,29 +151,76 @@ class RecordReader:
         return number(named["WARC-Record-ID"]), int(self.http["Content-Length"]), digest, named["WARC-Type"], refers and number(refers)
 
 
-def read_archives(chunks: DataFrame) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, reader = None, None
-        rows: list[tuple] = []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()])], [f.split()[0] for f in _RESULT.split(", ")])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows), types)], list(names))
+
+
+def _read_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of records whose chunks follow one another here, and the chunks, as they are, of all others.
+
+    A record's chunks are held until it ends, or until ``FLUSH_BYTES`` of them show that it is an oversized one.
+    """
+    out: list[tuple] = []
+    size = 0
+    current, reader = None, None  # no reader: the current record's chunks are passed on
+    held: list[tuple[int, int, bytes, bytes]] = []
+    held_bytes = 0
+    for batch in batches:
+        for record, number, value, digest in zip(batch["record"].to_pylist(), batch["chunk_no"].to_pylist(), batch["data"], batch["digest"].to_pylist()):
+            data = value.as_py()
+            if record != current or number == 0:
+                out += [_NO_RESULT + chunk for chunk in held]
+                size += held_bytes
+                current, reader, held, held_bytes = record, RecordReader() if number == 0 else None, [], 0
+            held.append((record, number, data, digest))
+            held_bytes += len(data)
+            if reader and number == len(held) - 1:
+                reader.feed(data, digest)
+                if reader.ended():
+                    out.append(reader.row() + _NO_CHUNK)
+                    reader, held, held_bytes = None, [], 0
+            else:
+                reader = None
+            if not reader or held_bytes >= FLUSH_BYTES:
+                out += [_NO_RESULT + chunk for chunk in held]
+                size += held_bytes
+                reader, held, held_bytes = None, [], 0
+            if len(out) >= 5000 or size >= FLUSH_BYTES:
+                yield _batch(out, f"{_RESULT}, {_CHUNKS}")
+                out, size = [], 0
+    out += [_NO_RESULT + chunk for chunk in held]
+    if out:
+        yield _batch(out, f"{_RESULT}, {_CHUNKS}")
+
+
+def _read_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of records whose chunks come in order."""
+    current, reader = None, None
+    rows: list[tuple] = []
+    for batch in batches:
+        for record, data, digest in zip(batch["record"].to_pylist(), batch["data"], batch["digest"].to_pylist()):
+            if record != current:
+                if reader:
+                    rows.append(reader.row())
+                current, reader = record, RecordReader()
+            reader.feed(data.as_py(), digest)
+        if len(rows) >= 5000:
+            yield _batch(rows, _RESULT)
+            rows = []
+    if reader:
+        rows.append(reader.row())
+    if rows:
+        yield _batch(rows, _RESULT)
 
-        for batch in batches:
-            for record, data, digest in zip(batch["record"].to_pylist(), batch["data"], batch["digest"].to_pylist()):
-                if record != current:
-                    if reader:
-                        rows.append(reader.row())
-                    current, reader = record, RecordReader()
-                reader.feed(data.as_py(), digest)
-            if len(rows) >= 5000:
-                yield batch_of(rows)
-                rows = []
-        if reader:
-            rows.append(reader.row())
-        if rows:
-            yield batch_of(rows)
 
-    return map_batches(chunks.repartition("record").sortWithinPartitions("record", "chunk_no"), read, _RESULT)
+def read_archives(chunks: DataFrame) -> DataFrame:
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    The chunks may stand in any order; those that stand in their record's order are not shuffled.
+    """
+    mixed = stored(map_batches(chunks.select("record", "chunk_no", "data", "digest"), _read_in_place, f"{_RESULT}, {_CHUNKS}"))
+    rest = mixed.where("record is not null").select("record", "chunk_no", "data", "digest")
+    apart = map_batches(rest.repartition("record").sortWithinPartitions("record", "chunk_no"), _read_sorted, _RESULT)
+    return mixed.where("record is null").select(*[f.split()[0] for f in _RESULT.split(", ")]).unionByName(apart)

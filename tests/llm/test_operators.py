@@ -303,6 +303,19 @@ def test_warc(spark):
     assert [r.record_type for r in warc.read_archives(warc.write_archives(only)).collect()] == ["response"] * 2
 
 
+def test_warc_reads_chunks_in_any_order(spark):
+    texts = ["", "x", "é" * 3000, "long " * 1_000_000, "tail"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").withColumn("url", F.lit("u"))
+    written = warc.write_archives(pages, chunk_bytes=1000)
+    want = [(i, len(t.encode()), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), "response", None) for i, t in enumerate(texts)]
+    for chunks in (written, written.repartition(5, "chunk_no"), written.coalesce(1).orderBy("chunk_no", "record"), written.coalesce(1).orderBy("record", F.desc("chunk_no"))):
+        assert sorted(map(tuple, warc.read_archives(chunks).collect())) == want
+    last = written.agg(F.max("record")).first()[0]
+    lost = written.where(~((F.col("record") == last) & (F.col("chunk_no") == 1)))
+    with pytest.raises(Exception, match="cut short|out of order"):
+        warc.read_archives(lost).collect()
+
+
 def test_warc_running_digests(spark):
     text = "abc" * 50_000
     rows = sorted(warc.write_archives(spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string"), chunk_bytes=1000).collect(), key=lambda r: r.chunk_no)
