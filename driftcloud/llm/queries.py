@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, html_density, line_spread, minhash, ogg, packing, target_quality, viterbi, warc, wavelet
+from . import conversation_repair, ctw, html_density, line_spread, minhash, ogg, packing, substring_sketch, target_quality, viterbi, warc, wavelet
 from .common import read_table
 
 
@@ -52,6 +52,14 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.remove_spread_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_substring_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_sketch.remove_repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +73,8 @@ QUERIES = {
         op8_ctw_scores,
         op9_wavelet_shards,
         op10_line_spread,
+        op12_conversation_repair,
+        op13_substring_sketch,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op10_line_spread": line_spread.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op10_line_spread": line_spread.ORACLE, "op13_substring_sketch": substring_sketch.ORACLE}
