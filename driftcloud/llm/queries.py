@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, ctw, html_density, line_spread, minhash, ogg, packing, substring_sketch, target_quality, viterbi, warc, wavelet
+from . import conversation_repair, ctw, html_density, line_spread, minhash, ogg, packing, periodic_runs, substring_sketch, target_quality, viterbi, warc, wavelet
 from .common import read_table
 
 
@@ -52,6 +52,10 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.remove_spread_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(read_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(read_table(spark, sf_dir, "conversations"))
 
@@ -73,6 +77,7 @@ QUERIES = {
         op8_ctw_scores,
         op9_wavelet_shards,
         op10_line_spread,
+        op11_periodic_runs,
         op12_conversation_repair,
         op13_substring_sketch,
     )
