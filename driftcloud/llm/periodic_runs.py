@@ -180,16 +180,17 @@ def periodic_runs(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     n = len(sizes)
     if not len(codes):
         return np.zeros((0, 4), np.int64)
-    # each text stands between two marks
+    # each text stands between two marks; the one that ends it, in the direction of search, counts as its own
     firsts = np.cumsum(sizes) - sizes + np.arange(n) + 1
-    text = np.append(np.repeat(np.arange(n), sizes + 1), n - 1)
-    symbols = np.zeros(len(text), np.int32)
-    marks = np.append(firsts - 1, len(text) - 1)
-    is_word = np.ones(len(text), bool)
+    text = np.repeat(np.arange(n), sizes + 1)
+    end = len(text)
+    symbols = np.zeros(end + 1, np.int32)
+    marks = np.append(firsts - 1, end)
+    is_word = np.ones(end + 1, bool)
     is_word[marks] = False
     symbols[is_word] = codes
     symbols[marks] = int(codes.max()) + 1 + np.arange(n + 1)
-    ahead, back, end = Extensions(symbols, text), Extensions(symbols[::-1].copy(), text[::-1].copy()), len(text) - 1
+    ahead, back = Extensions(symbols, np.append(0, text)), Extensions(symbols[::-1].copy(), np.append(text, n - 1)[::-1].copy())
     found = [np.zeros((0, 4), np.int64)]
     for of, place, period in _grid(sizes):
         i = firsts[of] + place
