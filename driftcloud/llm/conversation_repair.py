@@ -221,3 +221,66 @@ def repair_rows(rows: DataFrame) -> DataFrame:
 def repair_conversations(conversations: DataFrame) -> DataFrame:
     """Damages the conversations as above and returns each one's faults, cheapest edits and the hash of its repaired turns."""
     return repair_rows(damaged(conversations))
+
+
+# ---- the same in DuckDB's SQL: a recursive search with one column for each state
+
+
+def _move(state: str, letter: str, cost: str, turn: str | None) -> str:
+    """A survivor after one more edit; null stays null."""
+    turns = f"{state}.t" if turn is None else f"list_append({state}.t, {turn})"
+    return f"case when {state} is not null then {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {turns}}} end"
+
+
+def _least(*paths: str) -> str:
+    return f"list_sort(list_filter([{', '.join(paths)}], lambda x: x is not null))[1]"
+
+
+def _kept(letter: str, state: str) -> str:
+    return f"case when fault not in (1, 2) and left(role, 1) = '{letter}' then {_move(state, KEEP, '(fault = 3)::bigint', "role || ':' || text")} end"
+
+
+def _rerole(role: str, state: str) -> str:
+    return f"case when fault not in (1, 2) then {_move(state, REROLE, '2 + (fault = 3)::bigint', f"'{role}:' || text")} end"
+
+
+_STATES = {
+    "n0": _least(_move("b0", DELETE, "3", None)),
+    "n1": _least(_move("b1", DELETE, "3", None), _kept("s", "b0")),
+    "n2": _least(_move("b2", DELETE, "3", None), *[f for b in ("b0", "b1", "b3") for f in (_kept("u", b), _rerole("user", b))]),
+    "n3": _least(_move("b3", DELETE, "3", None), _kept("a", "b2"), _rerole("assistant", "b2")),
+}
+_INSERTED_U = _least("n2", *[_move(n, INSERT, "2", "'user:'") for n in ("n0", "n1", "n3")])
+_INSERTED_A = _least("n3", _move("i2", INSERT, "2", "'assistant:'"))
+
+ORACLE = f"""
+with recursive shown as (
+  select conv_id, turn, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k, coalesce(role, ' ') as role, coalesce(text, ' ') as text from conversations),
+kinds as (
+  select *, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(k, ''), lambda c: ascii(c)::ubigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint) % 20 as kind from shown),
+rows_after as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when kind = 3 then 2 else 1 end)) as copy from kinds where kind <> 0),
+numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from rows_after),
+faulty as (
+  select *, case when bare = '' then 1 when seen > 1 then 2 when right(bare, 1) not in ('.', '!', '?') then 3 else 0 end as fault,
+    left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) as pair from numbered),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+    count(*) filter (fault = 3) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, max(i) as n from faulty group by conv_id),
+search as (
+  select conv_id, 0::bigint as i, {{'c': 0::bigint, 'a': '', 't': []::varchar[]}} as b0, null::struct(c bigint, a varchar, t varchar[]) as b1,
+    {{'c': 2::bigint, 'a': 'I', 't': ['user:']}} as b2, {{'c': 4::bigint, 'a': 'II', 't': ['user:', 'assistant:']}} as b3 from counts
+  union all
+  select conv_id, i, n0, n1, i2, {_INSERTED_A} from (
+    select *, {_INSERTED_U} as i2 from (
+      select s.conv_id, f.i, {', '.join(f'{v} as {k}' for k, v in _STATES.items())} from search s join faulty f on s.conv_id is not distinct from f.conv_id and f.i = s.i + 1))),
+best as (
+  select s.conv_id, {_least('b0', 'b3')} as b from search s join counts c on s.conv_id is not distinct from c.conv_id and s.i = c.n)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') as audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id left join best on o.conv_id is not distinct from best.conv_id
+"""

@@ -82,4 +82,4 @@ QUERIES = {
         op13_substring_sketch,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op10_line_spread": line_spread.ORACLE, "op13_substring_sketch": substring_sketch.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op10_line_spread": line_spread.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_substring_sketch": substring_sketch.ORACLE}

@@ -290,3 +290,31 @@ def test_sketch_overestimates(spark):
     parts = substring_sketch.partition_sketches(df, 10, width)
     assert parts.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").count() > 0
     assert pa.array(hot).nbytes == 2 * width // 8
+
+
+# ---- the statements
+
+
+def in_duckdb(sql, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toArrow())
+    out = con.execute(sql)
+    names = [d[0] for d in out.description]
+    return Counter(tuple(sorted(zip(names, row))) for row in out.fetchall())
+
+
+def in_spark(df):
+    return Counter(tuple(sorted(r.asDict().items())) for r in df.collect())
+
+
+def test_statements(spark):
+    rng = random.Random(11)
+    rows = [(c, rng.choice([None, *range(9)]), rng.choice(ROLES + [None]), rng.choice(["Yes.", "No? ", "", None, "Hm!\t", "é", "x."])) for c in [*range(60), None] for _ in range(rng.randint(1, 9))]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert in_spark(repair.repair_conversations(talks)) == in_duckdb(repair.ORACLE, conversations=talks)
+    texts = [" ".join(f"w{rng.randrange(v)}" for _ in range(rng.randint(0, 150))) for v in [2, 3, 400] * 8]
+    docs = documents(spark, list(enumerate(texts + texts[:4] + [texts[5] + "\n" + texts[2], None, " "])))
+    assert in_spark(substring_sketch.remove_repeated_passages(docs)) == in_duckdb(substring_sketch.ORACLE, documents=docs)
