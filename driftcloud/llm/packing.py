@@ -16,7 +16,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -98,14 +97,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # by row, so that equal or missing ids spread
 
-    def one_group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        bins, offsets = best_two_fit(rows["length"].tolist(), capacity)
-        rows["sequence_id"] = rows.pop("_group") * (1 << 32) + np.array(bins, np.int64)
-        return rows.assign(offset=np.array(offsets, np.int64))
+    def one_group(rows: pa.Table) -> pa.Table:  # Arrow keeps ids as they are where some are null
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, offsets = best_two_fit(rows["length"].to_pylist(), capacity)
+        sequence = (rows["_group"][0].as_py() << 32) + np.array(bins, np.int64)
+        return rows.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets, pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("_group").applyInPandas(one_group, schema)
+    return dealt.groupBy("_group").applyInArrow(one_group, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
