@@ -59,7 +59,7 @@ def spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: i
 
 
 def remove_spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: int = LG_CONFIG_K, long_sites: int | None = None) -> DataFrame:
-    """The documents with cleaned texts, n_lines (not blank) and n_removed."""
+    """The documents with cleaned texts, n_lines (not blank) and n_removed; columns of these names, or of the working ones, are replaced."""
     docs = docs.drop("n_lines", "n_removed", "_row", "_row2", "_gone")
     keyed, spread = _keyed(docs), spread_lines(docs, least_sites, lg_config_k, long_sites)
     lines = _hashed_lines(keyed.select("_row", "_row2", "doc_id", "source", "text"))
@@ -73,9 +73,10 @@ def remove_spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_conf
 
 
 def clean_documents(docs: DataFrame, **params) -> DataFrame:
-    """The documents without spread lines; those with nothing else go."""
-    out = remove_spread_lines(docs, **params)
-    return out.where("n_removed = 0 or n_removed < n_lines").select(*docs.columns)
+    """The documents without spread lines, with all their columns whatever these are called; documents with nothing else go."""
+    own = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text")
+    out = remove_spread_lines(own, **params).where("n_removed = 0 or n_removed < n_lines")
+    return out.select(*[F.col("text") if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = f"""

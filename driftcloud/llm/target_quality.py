@@ -7,7 +7,8 @@ its n-grams of log p_target - log p_raw; it is kept if it passes the base rules
 Only the table of ``buckets`` numbers passes the driver.
 
 Defined results: a null text has no words and fails the base rules; without trusted documents every score is 0; repeated
-rows and null ids are scored each on their own; an empty table gives no rows; extra columns are ignored.
+rows and null ids are scored each on their own; an empty table gives no rows; other columns pass through, but for those
+named like a result or a working column, which the result replaces (``keep_good`` keeps all).
 """
 
 from __future__ import annotations
