@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
@@ -42,7 +43,7 @@ HELD_ANCHORS = 1 << 21
 #: A new piece begins at a window in so many.
 PIECE_WINDOWS = 64
 _BASES, _ROW_FACTOR = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
-_MARKED = "rid long, doc_id long, n_words long, kept_sha256 string, text string, starts array<int>, sizes array<int>, s1 array<long>, s2 array<long>"
+_MARKED = "rid long, doc_id long, n_words long, kept_sha256 string, packed binary, starts array<int>, sizes array<int>, s1 array<long>, s2 array<long>"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -171,9 +172,9 @@ def mark_candidates(texts: DataFrame, hot: Broadcast, window: int, width: int) -
             n = np.bincount(doc, minlength=len(words.joined)) if len(doc) else np.zeros(len(words.joined), np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             digests = [None if k else hashlib.sha256(t).hexdigest() for t, k in zip(words.joined, n)]
-            left = [t.decode("utf-8", "replace") if k else None for t, k in zip(words.joined, n)]
+            left = [zstandard.compress(t, 1) if k else None for t, k in zip(words.joined, n)]
             lists = [(first - words.bounds[doc]).astype(np.int32), (last - first + 1).astype(np.int32), s1, s2]
-            columns = [batch["rid"], batch["doc_id"], pa.array(words.sizes), pa.array(digests, pa.string()), pa.array(left, pa.string())]
+            columns = [batch["rid"], batch["doc_id"], pa.array(words.sizes), pa.array(digests, pa.string()), pa.array(left, pa.binary())]
             columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _MARKED.split(", ")])
 
@@ -186,16 +187,16 @@ def overestimated(marked: DataFrame, window: int) -> DataFrame:
     # one text answers for each piece; if it has the piece several times, so much the better for the count
     kinds = piece.groupBy("s1", "s2").agg(F.min("rid").alias("rid"), F.count("*").alias("n"))
     asked = kinds.groupBy("rid").agg(F.collect_list(F.struct("s1", "s2", (F.col("n") > 1).alias("settled"))).alias("asked"))
-    fields = ["rid", "text", "starts", "sizes", "s1", "s2", "a1", "a2", "settled"]
+    fields = ["rid", "packed", "starts", "sizes", "s1", "s2", "a1", "a2", "settled"]
     joined = marked.join(asked.select("rid", F.col("asked.s1").alias("a1"), F.col("asked.s2").alias("a2"), F.col("asked.settled").alias("settled")), "rid").select(*fields)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = BatchWords(texts_of(batch["text"]))
+            words = BatchWords([zstandard.decompress(t) for t in batch["packed"].to_pylist()])
             w = _Windows(words, window)
             h1, h2 = w.hashes(0).view(np.int64), w.hashes(1).view(np.int64)
             rids, at, offset, weight = [], [], [], []
-            for k, (rid, starts, sizes, s1, s2, a1, a2, settled) in enumerate(zip(*(batch[c].to_pylist() for c in fields if c != "text"))):
+            for k, (rid, starts, sizes, s1, s2, a1, a2, settled) in enumerate(zip(*(batch[c].to_pylist() for c in fields if c != "packed"))):
                 wanted = dict(zip(zip(a1, a2), settled))
                 base = int(words.bounds[k])
                 for start, size, x, y in zip(starts, sizes, s1, s2):
@@ -215,20 +216,20 @@ def overestimated(marked: DataFrame, window: int) -> DataFrame:
 
 def without_covered(marked: DataFrame, once: DataFrame, window: int) -> DataFrame:
     """Texts without the words of their candidates but for the positions ``once``."""
-    joined = marked.join(once, "rid", "left").select("doc_id", "n_words", "text", "starts", "sizes", "once")
+    joined = marked.join(once, "rid", "left").select("doc_id", "n_words", "packed", "starts", "sizes", "once")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, n, text, starts, sizes, single in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_words", "text", "starts", "sizes", "once"))):
+            for doc_id, n, packed, starts, sizes, single in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_words", "packed", "starts", "sizes", "once"))):
                 steps = np.zeros(n + 1, np.int32)  # +1 where a repeated window begins, -1 behind its end
                 for a, k in zip(starts, sizes):
                     steps[a : a + k] += 1
                 steps[single or []] = 0
                 steps[window:] -= steps[: n + 1 - window].copy()
                 covered = np.cumsum(steps[:n]) > 0
-                kept = " ".join(w for w, gone in zip(text.split(" "), covered.tolist()) if not gone)
-                rows.append((doc_id, n, int(covered.sum()), hashlib.sha256(kept.encode()).hexdigest()))
+                kept = b" ".join(w for w, gone in zip(zstandard.decompress(packed).split(b" "), covered.tolist()) if not gone)
+                rows.append((doc_id, n, int(covered.sum()), hashlib.sha256(kept).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
