@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and benches, and the package's way to executors."""
+"""Session helpers: a local session for tests and benches, the package's way to executors, and tables written between stages."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -37,17 +40,48 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
 
 
 _own_scratch: dict[str, str] = {}
+#: The folder that tables are written to inside ``scratch_scope``.
+_scope: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
-def saved(df):
-    """``df`` written once as Parquet below spark.checkpoint.dir and read back; a local session without it gets a folder of its own."""
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own_scratch.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="driftcloud-scratch-"))
-    path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet below spark.checkpoint.dir and read back; a local session without it gets a folder of its own."""
+    spark = df.sparkSession
+    path = f"{_scope.get() or _shared_folder(spark)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in any store that Spark reaches; it may be missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``saved`` returned, once nothing will read it any more."""
+    delete_path(df.sparkSession, df._saved_at)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is ``saved`` inside is deleted at the end: for jobs whose result is written out before."""
+    folder = f"{_shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete_path(spark, folder)
