@@ -12,6 +12,11 @@ select scene_id, cast(sweep_idx as int) as sweep_idx, 1700000000000000 + scene_i
        0D as r20, 0D as r21, 1D as r22, 0.5D * sweep_idx as tx, 0D as ty, 0D as tz
 from (select id div {SWEEPS} as scene_id, id % {SWEEPS} as sweep_idx from range({SCENES * SWEEPS}))
 """
+_GLOBAL = {
+    "gx": "case when kind < 6 then rw * ca when kind < 8 then rg * ca when kind = 8 then 10D * cm + 2D * (u - 0.5D) else 0.5D * sweep_idx + 1.5D * u * ca end",
+    "gy": "case when kind < 6 then rw * sa when kind < 8 then rg * sa when kind = 8 then 10D * sm + 2D * (w - 0.5D) else 1.5D * u * sa end",
+    "gz": "case when kind < 6 then -1.5D + 4.5D * w when kind < 8 then -1.8D + 0.02D * w when kind = 8 then -1.5D + 1.5D * u else 0.1D * w end",
+}
 _POINTS_SQL = """
 with k as (
   select l_suppkey % 2 as scene_id, cast(l_orderkey % 20 as int) as sweep_idx,
@@ -23,11 +28,7 @@ with k as (
   from lineitem_fixture),
 t as (select *, cos(az) as ca, sin(az) as sa, cos(0.08D * sweep_idx) as cm, sin(0.08D * sweep_idx) as sm, 20D + 3D * cos(3D * az) as rw, 4D + 14D * u as rg,
         cos(0.01D * sweep_idx) as cy, sin(0.01D * sweep_idx) as sy from k),
-g as (select *,
-    case when kind < 6 then rw * ca when kind < 8 then rg * ca when kind = 8 then 10D * cm + 2D * (u - 0.5D) else 0.5D * sweep_idx + 1.5D * u * ca end as gx,
-    case when kind < 6 then rw * sa when kind < 8 then rg * sa when kind = 8 then 10D * sm + 2D * (w - 0.5D) else 1.5D * u * sa end as gy,
-    case when kind < 6 then -1.5D + 4.5D * w when kind < 8 then -1.8D + 0.02D * w when kind = 8 then -1.5D + 1.5D * u else 0.1D * w end as gz
-  from t)
+g as (select * from t GLOBAL)
 select scene_id, sweep_idx, point_idx, cy * (gx - 0.5D * sweep_idx) + sy * gy as x, cy * gy - sy * (gx - 0.5D * sweep_idx) as y, gz as z from g
 """
 _ANNOTATIONS_SQL = f"""
@@ -50,7 +51,10 @@ def duck(sql: str) -> str:
 
 
 SWEEPS_DUCK, ANNOTATIONS_DUCK = duck(SWEEPS_SQL), duck(_ANNOTATIONS_SQL).replace("sweeps_fixture", "sweeps")
-POINTS_DUCK = duck(_POINTS_SQL).replace("lineitem_fixture", "lineitem")
+#: The layer of global points: a lateral list of one in Spark, which computes it once a row; a plain one in DuckDB.
+_FENCED = f"lateral view inline(array(named_struct({', '.join(f"'{n}', {e}" for n, e in _GLOBAL.items())}))) as {', '.join(_GLOBAL)}"
+_PLAIN = f", lateral (select {', '.join(f'{e} as {n}' for n, e in _GLOBAL.items())})"
+POINTS_DUCK = duck(_POINTS_SQL.replace("GLOBAL", _PLAIN)).replace("lineitem_fixture", "lineitem")
 
 
 def sweeps(spark: SparkSession) -> DataFrame:
@@ -60,7 +64,7 @@ def sweeps(spark: SparkSession) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One point per lineitem row."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return spark.sql(_POINTS_SQL.replace("lineitem_fixture", "{lineitem}"), lineitem=lineitem)
+    return spark.sql(_POINTS_SQL.replace("GLOBAL", _FENCED).replace("lineitem_fixture", "{lineitem}"), lineitem=lineitem)
 
 
 def annotations(spark: SparkSession) -> DataFrame:

@@ -11,6 +11,8 @@ EVENTS = P.with_(detail_h=2.5 * G.h_res, detail_v=1.5 * G.v_res)
 WIDE = P.with_(mcc_h=1.25 * G.h_res, mcc_v=1.25 * G.v_res)
 #: Refinement works on object-sized neighbourhoods.
 CLUSTERS = P.with_(cluster_epsilon=0.7, cluster_least=5)
+#: Sweeps that the ground truth of ``evaluate_covered`` was made for, and where it found anything.
+COVERED, FOUND = "scene_id = 1 or sweep_idx < 18", "not (scene_id = 1 and sweep_idx = 12)"
 
 
 def _d(x: float) -> str:
@@ -220,6 +222,10 @@ select scene_id, instance_id, ts_us, round(coalesce(case when ts_us - pt > 1000
     "confusion": f"{_MATCHED} select *, {_IOU} from conf",
     "iou_report": f"{_MATCHED}, s as (select scene_id, sweep_idx, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(tn)::bigint as tn from conf group by rollup (scene_id, sweep_idx)) select *, {_IOU} from s",
     "error_class": f"{_MATCHED} select scene_id, sweep_idx, point_idx, case when label = 0 and is_gt then 'TP' when label = 0 then 'FP' when is_gt then 'FN' else 'TN' end as error_class from matched",
+    "evaluate_covered": f"""{_VOTED}{_BOXES}, known as (select * from gt where {FOUND}), made_for as (select scene_id, sweep_idx from sweeps where {COVERED}),
+      scored as (select v.scene_id, v.sweep_idx, v.label = 0 as dynamic, f.point_idx is not null as is_gt from voted v semi join made_for using (scene_id, sweep_idx) left join known f using (scene_id, sweep_idx, point_idx)),
+      c as (select scene_id, sweep_idx, count(*) filter (dynamic and is_gt) as tp, count(*) filter (dynamic and not is_gt) as fp, count(*) filter (not dynamic and is_gt) as fn, count(*) filter (not dynamic and not is_gt) as tn, count(*) filter (is_gt) as seen from scored group by all)
+      select c.* exclude (seen), {_IOU}, (select count(*) from known f where f.scene_id = c.scene_id and f.sweep_idx = c.sweep_idx) as n_gt from c""",
     "gt_class": f"{_BASE}{_BOXES} select p.scene_id, p.sweep_idx, case when k.point_idx is null then 'filtered_out' when g.point_idx is not null then 'dynamic' else 'static' end as gt_class, count(*) as n from points p left join kept k using (scene_id, sweep_idx, point_idx) left join gt g using (scene_id, sweep_idx, point_idx) group by all",
     "sweep_geometric": f"{_TRIALS} select *, {_IOU} from scored",
     "best_trial": f"{_TRIALS} select * from (select *, {_IOU} from scored) order by iou desc, trial_id limit 1",

@@ -12,6 +12,7 @@ from .params import DYNAMIC
 from .plans import experiments
 from .plans.labelling import Scene, label_histogram as histogram
 from .session import saved
+from .sources import files
 
 P = oracles.P
 VOTES = (1, 2, 3, 4, 5, 6, 7, 8, 9)
@@ -209,6 +210,15 @@ def gt_class(spark, sf_dir):
     return evaluation.gt_class(_points(spark, sf_dir), gpoints, gt).groupBy("scene_id", "sweep_idx", "gt_class").agg(F.count("*").alias("n"))
 
 
+def evaluate_covered(spark, sf_dir):
+    """Votes of the sweeps that ground truth covers: it was made for the first 18 of scene 0 and all of scene 1, where one has no moving object."""
+    coarse, gpoints, gt = _voted(spark, sf_dir)
+    made_for = fixtures.sweeps(spark).where(oracles.COVERED)
+    boundaries = saved(tracks.gt_offsets(gt.where(oracles.COVERED).where(oracles.FOUND), made_for))
+    matched = evaluation.match_gt(files.covered(images.occlusion_vote(coarse, gpoints, P), boundaries), gt.where(oracles.FOUND))
+    return _rounded(evaluation.with_iou(evaluation.confusion(matched)), "iou").join(boundaries.select("scene_id", "sweep_idx", F.col("n").alias("n_gt")), ["scene_id", "sweep_idx"])
+
+
 def sweep_geometric(spark, sf_dir):
     coarse, _, gt = _voted(spark, sf_dir)
     return _rounded(experiments.sweep_geometric(coarse, gt, VOTES), "iou")
@@ -259,7 +269,7 @@ QUERIES = {
     for f in (
         filter_range, to_global, project_spherical, depth_image, depth_image_dilated, unproject_pixel, adaptive_epsilon, occlusion_coarse, occlusion_vote,
         ransac_ground, mcc_score, mcc_interpolate, event_parallel_away, event_perpendicular, label_geometric, label_histogram, label_points, evaluate_labels, track_velocity, boxes_asof,
-        generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, sweep_geometric, best_trial, trial_results, successive_halving, sweep_refinement, cluster_density, drop_noise,
+        generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, evaluate_covered, sweep_geometric, best_trial, trial_results, successive_halving, sweep_refinement, cluster_density, drop_noise,
         expand_hull, cluster_hdbscan,
     )
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geometry import composed, rotation
+from ..operators.tracks import gt_offsets
 
 #: Columns of each metadata table that the operators read.
 SCHEMAS = {
@@ -67,41 +69,73 @@ def assemble_annotations(annotation: DataFrame, sample: DataFrame) -> DataFrame:
     )
 
 
-def read_sweep_files(sweeps: DataFrame, folder: str, values: int = 5) -> DataFrame:
+def _open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+
+
+def read_sweep_files(sweeps: DataFrame, folder: str, values: int = 5, rows_at_once: int = 65_536) -> DataFrame:
     """Points of the sweeps' files (float32 rows whose first three values are x, y, z); a missing file gives no points.
 
-    ``filename`` is relative to the folder: files of equal names in different subfolders are told apart.
+    ``filename`` is relative to the folder, which all executors reach (a shared mount, or a store that pyarrow knows).  The
+    list of sweeps is what is dealt to the tasks, and each task opens the files of its own sweeps and no others: nothing is
+    listed, and no content is shuffled.  A file is read in slices of ``rows_at_once`` rows; an incomplete last row is left out.
     """
-    files = sweeps.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    # a path ends with the file's name relative to the folder; joined on the last part, then held against the whole
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    keyed = files.withColumn("name", last("path"))
-    named = sweeps.select("scene_id", "sweep_idx", "filename", last("filename").alias("name"))
 
-    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open_folder(folder)
+        row = 4 * values
         for batch in batches:
-            for scene_id, sweep_idx, content in batch.itertuples(index=False):
-                xyz = np.frombuffer(content, np.float32, len(content) // (4 * values) * values).reshape(-1, values)[:, :3].astype(float)
-                yield pd.DataFrame({"scene_id": scene_id, "sweep_idx": sweep_idx, "point_idx": np.arange(len(xyz), dtype=np.int32), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+            for scene_id, sweep_idx, filename in zip(*(c.to_pylist() for c in batch.columns)):
+                path, first = f"{base.rstrip('/')}/{filename}", 0
+                if store.get_file_info(path).type != pafs.FileType.File:
+                    continue
+                with store.open_input_stream(path) as file:
+                    while n := len(raw := file.read(row * rows_at_once)) // row:
+                        xyz = np.frombuffer(raw, np.float32, n * values).reshape(-1, values)[:, :3].astype(float)
+                        idx = np.arange(first, first + n, dtype=np.int32)
+                        columns = [np.full(n, scene_id, np.int64), np.full(n, sweep_idx, np.int32), idx, *(np.ascontiguousarray(xyz[:, k]) for k in range(3))]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["scene_id", "sweep_idx", "point_idx", "x", "y", "z"])
+                        first += n
+
+    asked = sweeps.where("filename is not null").select(F.col("scene_id").cast("long"), F.col("sweep_idx").cast("int"), "filename").repartition("scene_id", "sweep_idx")
+    return asked.mapInArrow(points, "scene_id long, sweep_idx int, point_idx int, x double, y double, z double")
+
+
+def write_gt_labels(gt: DataFrame, path: str, speed_threshold: float, clean: bool = False, sweeps: DataFrame | None = None) -> None:
+    """Partitions by threshold and scene; those written are replaced, or with ``clean`` the whole table.
+
+    With ``sweeps`` (all that ground truth was made for) their boundaries are stored beside the labels: how many dynamic
+    points each sweep has, none included, and the running total.
+    """
+    def write(df: DataFrame, to: str) -> None:
+        out = df.withColumn("vel_thr", F.lit(speed_threshold)).write.mode("overwrite").partitionBy("vel_thr", "scene_id")
+        out.option("partitionOverwriteMode", "static" if clean else "dynamic").parquet(to)
 
-    schema = "scene_id long, sweep_idx int, point_idx int, x double, y double, z double"
-    same = F.col("path").endswith(F.concat(F.lit("/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/"), F.col("filename")))
-    return named.join(keyed, "name").where(same).select("scene_id", "sweep_idx", "content").mapInPandas(points, schema)
+    write(gt, path)
+    if sweeps is not None:
+        write(gt_offsets(gt, sweeps), boundaries_path(path))
 
 
-def write_gt_labels(gt: DataFrame, path: str, speed_threshold: float, clean: bool = False) -> None:
-    """Partitions by threshold and scene; those written are replaced, or with ``clean`` the whole table."""
-    out = gt.withColumn("vel_thr", F.lit(speed_threshold)).write.mode("overwrite").partitionBy("vel_thr", "scene_id")
-    out.option("partitionOverwriteMode", "static" if clean else "dynamic").parquet(path)
+def boundaries_path(path: str) -> str:
+    return f"{path.rstrip('/')}_boundaries"
 
 
 def read_gt_labels(spark: SparkSession, path: str, speed_threshold: float) -> DataFrame:
     return spark.read.parquet(path).where(F.col("vel_thr") == speed_threshold).select(F.col("scene_id").cast("long"), "sweep_idx", "point_idx")
 
 
-def covered(labels: DataFrame, gt: DataFrame) -> DataFrame:
-    """Labels of the sweeps that the ground truth has; others can't be scored, since no label there is known to be wrong."""
-    return labels.join(gt.select("scene_id", "sweep_idx").distinct(), ["scene_id", "sweep_idx"], "left_semi")
+def read_gt_boundaries(spark: SparkSession, path: str, speed_threshold: float) -> DataFrame:
+    """The sweeps that the stored ground truth covers: scene_id, sweep_idx, n (dynamic points), until."""
+    return spark.read.parquet(boundaries_path(path)).where(F.col("vel_thr") == speed_threshold).select(F.col("scene_id").cast("long"), "sweep_idx", "n", "until")
+
+
+def covered(labels: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Labels of the sweeps within the ground truth's boundaries.
+
+    A covered sweep without any dynamic point counts: what is called dynamic there is wrong.  Others can't be scored, since
+    nothing is known of them.
+    """
+    return labels.join(boundaries.select("scene_id", "sweep_idx").distinct(), ["scene_id", "sweep_idx"], "left_semi")
 
 
 def sweep_counts(labels: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Stages together, files and streams."""
 
 import json
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from driftcloud import fixtures
-from driftcloud.operators import images, refinement, tracks
+from driftcloud.operators import evaluation, images, refinement, tracks
 from driftcloud.params import COARSE, Params
 from driftcloud.plans import experiments
 from driftcloud.plans.labelling import Scene
@@ -43,6 +44,34 @@ def test_sweep_files(spark, tmp_path):
     assert [(r.sweep_idx, r.point_idx, r.x, r.y, r.z) for r in rows] == [(0, 0, 0.0, 1.0, 2.0), (0, 1, 5.0, 6.0, 7.0)]
 
 
+def test_sweep_files_open_only_what_is_asked(spark, tmp_path):
+    """Equal names in nested folders; a pipe beside them, which would block whoever opens it; slices; an incomplete row."""
+    root = tmp_path / "samples"
+    (root / "samples").mkdir(parents=True)
+    for at, n, first in ((root / "x.bin", 2, 0), (root / "samples" / "x.bin", 3, 50)):
+        np.arange(first, first + 5 * n + 2, dtype=np.float32).tofile(at)
+    os.mkfifo(root / "damaged.bin")
+    sweeps = spark.createDataFrame([(0, 0, "x.bin"), (1, 4, "samples/x.bin"), (0, 1, "none/x.bin"), (0, 2, None)], "scene_id long, sweep_idx int, filename string")
+    for folder in (str(root), f"file://{root}"):
+        rows = files.read_sweep_files(sweeps, folder, rows_at_once=2).collect()
+        assert sorted((r.scene_id, r.sweep_idx, r.point_idx, r.x) for r in rows) == [(0, 0, 0, 0.0), (0, 0, 1, 5.0), (1, 4, 0, 50.0), (1, 4, 1, 55.0), (1, 4, 2, 60.0)]
+    assert "Broadcast" not in files.read_sweep_files(sweeps, str(root))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_covered_sweeps(spark, tmp_path):
+    """A covered sweep without dynamic points is scored, one that the ground truth wasn't made for is not."""
+    gt = spark.createDataFrame([(0, 1, 2), (0, 1, 4), (1, 0, 3)], "scene_id long, sweep_idx int, point_idx int")
+    sweeps = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "scene_id long, sweep_idx int")
+    path = str(tmp_path / "gt")
+    files.write_gt_labels(gt, path, 1.0, sweeps=sweeps)
+    files.write_gt_labels(gt.where("scene_id = 1"), path, 1.0, sweeps=sweeps.where("scene_id = 1"))
+    boundaries = files.read_gt_boundaries(spark, path, 1.0)
+    assert sorted((r.scene_id, r.sweep_idx, r.n, r.until) for r in boundaries.collect()) == [(0, 0, 0, 0), (0, 1, 2, 2), (1, 0, 1, 1)]
+    labels = spark.createDataFrame([(0, s, p, 0) for s in range(3) for p in range(5)], "scene_id long, sweep_idx int, point_idx int, label int")
+    scored = evaluation.confusion(evaluation.match_gt(files.covered(labels, boundaries), files.read_gt_labels(spark, path, 1.0)))
+    assert sorted((r.sweep_idx, r.tp, r.fp) for r in scored.collect()) == [(0, 0, 5), (1, 2, 3)]
+
+
 def test_gt_labels_round_trip(spark, tmp_path):
     gt = spark.createDataFrame([(0, 1, 2), (1, 1, 3)], "scene_id long, sweep_idx int, point_idx int")
     files.write_gt_labels(gt, str(tmp_path / "gt"), 1.0)
