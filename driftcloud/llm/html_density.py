@@ -34,16 +34,18 @@ FEED_CHARS, SIGMA, THRESHOLD = 1 << 20, 1.0, 0.5
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("aside button canvas dialog fieldset footer form frameset head iframe input label map menu nav noscript object script search select style svg template textarea title".split())
+NEVER = frozenset("aside button canvas dialog fieldset footer frameset head iframe input label map menu nav noscript object script search select style svg template textarea title".split())
 REGIONS = frozenset(("article", "main"))
 #: Blocks of a text's own; their lines belong to the block around them.
 PARTS = frozenset("address blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li ol p pre summary table tbody td tfoot th thead tr ul".split())
 #: A new block ends an open paragraph; these end an open one of their own kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search status toolbar".split())
 #: Words that only say which part of the page the other words of a class name mean.
-PART_WORDS = frozenset("area bar block body bottom box center container content desktop first footer foot form group head header holder inner item items last left link links list main mobile module outer panel post right row section slot text top unit wrap wrapper zone".split())
-NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent buttons button cookie cookies disqus gdpr menu modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+PART_WORDS = frozenset("area bar block body bottom box center container content desktop first footer foot form group head header holder inner info item items last left link links list main message mobile module note notes outer panel post right row section slot text top unit wrap wrapper zone".split())
+NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent buttons button cookie cookies discussion discussions disqus gdpr menu modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Anywhere in a class or id: what readers wrote (commentaries and commentators are of the page's own).
+_COMMENTS = re.compile(r"comment(?!ar|at)|disqus")
 #: Only outside an article: inside, they name its own parts.
 OUTER_WORDS = frozenset("footer foot header masthead copyright topbar".split())
 
@@ -98,7 +100,7 @@ class LineParser(HTMLParser):
         out, region, parent, doubtful = self._state()
         out = out or self._never(tag, attrs, region)
         self.numbers += 1
-        if tag not in REGIONS and self._doubted(tag, attrs, region):
+        if self._doubted(tag, attrs, region):
             doubtful = (*doubtful, self.numbers)
         if block and tag not in PARTS:
             parent = self.numbers
@@ -124,8 +126,14 @@ class LineParser(HTMLParser):
     def _doubted(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
         if tag in ("html", "body"):
             return False
+        if tag == "form" or ("role", "form") in attrs:  # one that holds the text stays, as any wrapper does
+            return True
         for name, value in attrs:
             if name in ("class", "id"):
+                if _COMMENTS.search((value or "").lower()):
+                    return True
+                if tag in REGIONS:
+                    continue
                 against = NEVER_WORDS if region else NEVER_WORDS | OUTER_WORDS
                 for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value or "").lower().split():
                     words = set(re.split(r"[^a-z]+", token)) - {""}
@@ -226,6 +234,9 @@ def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) ->
     if 2 * sum(len(allowed[i].text) for i in loose) <= sum(len(allowed[i].text) for i in seeds):
         regions = {allowed[i].region for i in seeds} - {0}
         return " ".join(line.text for line in allowed if line.region in regions)
+    # a short line is smeared with the long ones beside it; in a block of its own it needs a ratio of its own
+    strong = {allowed[i].parent for i in loose if len(allowed[i].text) / allowed[i].tags >= cut}
+    loose = [i for i in loose if allowed[i].parent in strong] or loose
     parents = {allowed[i].parent for i in loose}
     return " ".join(line.text for i, line in enumerate(allowed) if loose[0] <= i <= loose[-1] or line.parent in parents)
 
