@@ -33,8 +33,17 @@ def ransac_planes(points: DataFrame, p: Params) -> DataFrame:
     planes = trials.select(*SWEEP, "trial", "c0", *[c.alias(f"m{i}") for i, c in enumerate(cross)]).withColumn("size", F.expr("sqrt(m0 * m0 + m1 * m1 + m2 * m2)")).where("size > 1e-6")
     planes = planes.select(*SWEEP, "trial", "c0", *[(F.col(f"m{i}") / F.col("size") * F.when(F.col("m2") < 0, -1.0).otherwise(1.0)).alias(n) for i, n in enumerate(("nx", "ny", "nz"))])
     planes = planes.select(*SWEEP, "trial", "nx", "ny", "nz", (-(F.col("nx") * F.col("c0.x") + F.col("ny") * F.col("c0.y") + F.col("nz") * F.col("c0.z"))).alias("d"))
-    inliers = disk.join(planes, SWEEP).groupBy(*SWEEP, "trial").agg(F.count_if(F.abs(distance()) <= p.ground_inlier).alias("inliers"), *[F.first(c).alias(c) for c in ("nx", "ny", "nz", "d")])
-    return inliers.groupBy(*SWEEP).agg(F.max_by(F.struct("nx", "ny", "nz", "d", "inliers"), F.struct("inliers", -F.col("trial"))).alias("best")).select(*SWEEP, "best.*")
+    # one row a sweep with all its planes (at most ``ground_trials``): each point counts for every plane before anything is shuffled
+    listed = planes.groupBy(*SWEEP).agg(F.array_sort(F.collect_list(F.struct("trial", "nx", "ny", "nz", "d"))).alias("planes"))
+    near = [F.count_if(F.abs(_distance_to(F.get("planes", F.lit(i)))) <= p.ground_inlier).alias(f"n{i}") for i in range(p.ground_trials)]
+    counted = disk.join(listed, SWEEP).groupBy(*SWEEP).agg(F.first("planes").alias("planes"), *near)
+    scored = F.transform("planes", lambda plane, i: F.struct(F.get(F.array(*[f"n{k}" for k in range(p.ground_trials)]), i).alias("inliers"), (-plane.trial).alias("last"), *[plane[c].alias(c) for c in ("nx", "ny", "nz", "d")]))
+    best = counted.select(*SWEEP, F.array_max(scored).alias("b"))
+    return best.select(*SWEEP, *[F.col(f"b.{c}").alias(c) for c in ("nx", "ny", "nz", "d", "inliers")])
+
+
+def _distance_to(plane: Column) -> Column:
+    return plane.nx * F.col("x") + plane.ny * F.col("y") + plane.nz * F.col("z") + plane.d
 
 
 def distance() -> Column:

@@ -101,6 +101,13 @@ def occlusion_coarse(gpoints: DataFrame, sweeps: DataFrame, p: Params, dilated:
     return coarse_labels(pairs, dilated, p)
 
 
+def occlusion_margins(gpoints: DataFrame, sweeps: DataFrame, p: Params, dilated: DataFrame) -> DataFrame:
+    """Per point of a ready sweep and past image: by how much it is in front of the dilated image (null where it has no surface to be in front of)."""
+    pairs = project(ready_sweeps(gpoints, p).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(p.frames)))).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0"), ready_images(gpoints, sweeps), p)
+    seen = pairs.join(dilated.select("scene_id", "di", "v", "h", "min_depth"), ["scene_id", "di", "v", "h"], "left")
+    return seen.select(*POINT, "k", F.when(F.col("in_fov"), F.col("min_depth") - F.col("depth")).alias("margin"))
+
+
 def coarse_labels(pairs: DataFrame, dilated: DataFrame, p: Params) -> DataFrame:
     """Labels of projected pairs: empty window, in front of it, or behind (as is a point that doesn't project)."""
     seen = pairs.join(dilated.select("scene_id", "di", "v", "h", "min_depth"), ["scene_id", "di", "v", "h"], "left")

@@ -149,15 +149,21 @@ def drop_noise(labels: DataFrame, clusters: DataFrame) -> DataFrame:
     return joined.select(*POINT, label.cast("byte").alias("label"))
 
 
-def expand_hull(labels: DataFrame, clusters: DataFrame, gpoints: DataFrame) -> DataFrame:
-    """Points of a sweep inside a cluster's outer polytope become dynamic; clusters of under 4 points or without volume don't grow."""
+def expand_hull(labels: DataFrame, clusters: DataFrame, gpoints: DataFrame, cell: float = 8.0) -> DataFrame:
+    """Points of a sweep inside a cluster's outer polytope become dynamic; clusters of under 4 points or without volume don't grow.
+
+    Points meet only the clusters whose bounds touch their cell of the ground.
+    """
     at = lambda d: d[0] * F.col("gx") + d[1] * F.col("gy") + d[2] * F.col("gz")
     bounds = [f(at(d)).alias(f"{n}{i}") for i, d in enumerate(DIRECTIONS) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     hulls = gpoints.join(clusters, POINT).groupBy(*SWEEP, "cluster").agg(F.count("*").alias("n"), *bounds).where("n >= 4 and " + " and ".join(f"hi{i} > lo{i}" for i in range(3)))
     inside = F.lit(True)
     for i, d in enumerate(DIRECTIONS):
         inside = inside & at(d).between(F.col(f"lo{i}") - 1e-9, F.col(f"hi{i}") + 1e-9)
-    hit = gpoints.join(hulls, SWEEP).where(inside).select(*POINT, F.lit(DYNAMIC).cast("byte").alias("_new")).distinct()
+    for i, a in enumerate("xy"):
+        hulls = hulls.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"lo{i}") - 1e-6) / cell), F.floor((F.col(f"hi{i}") + 1e-6) / cell))))
+    keyed = gpoints.withColumns({f"c{a}": F.floor(F.col(f"g{a}") / cell) for a in "xy"})
+    hit = keyed.join(hulls, [*SWEEP, "cx", "cy"]).where(inside).select(*POINT, F.lit(DYNAMIC).cast("byte").alias("_new")).distinct()
     return labels.join(hit, POINT, "left").select(*POINT, F.coalesce("_new", "label").alias("label"))
 
 

@@ -11,6 +11,8 @@ EVENTS = P.with_(detail_h=2.5 * G.h_res, detail_v=1.5 * G.v_res)
 WIDE = P.with_(mcc_h=1.25 * G.h_res, mcc_v=1.25 * G.v_res)
 #: Refinement works on object-sized neighbourhoods.
 CLUSTERS = P.with_(cluster_epsilon=0.7, cluster_least=5)
+#: Values of the threshold sweeps: 30 tolerances of the coarse pass, 30 thresholds of map consistency (in no order).
+EPSILONS, THRESHOLDS = [round(0.05 * (7 * i % 30), 2) for i in range(30)], [round(0.0353 * (11 * i % 30) + 0.013, 4) for i in range(30)]
 #: Sweeps that the ground truth of ``evaluate_covered`` was made for, and where it found anything.
 COVERED, FOUND = "scene_id = 1 or sweep_idx < 18", "not (scene_id = 1 and sweep_idx = 12)"
 
@@ -222,6 +224,15 @@ select scene_id, instance_id, ts_us, round(coalesce(case when ts_us - pt > 1000
     "confusion": f"{_MATCHED} select *, {_IOU} from conf",
     "iou_report": f"{_MATCHED}, s as (select scene_id, sweep_idx, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(tn)::bigint as tn from conf group by rollup (scene_id, sweep_idx)) select *, {_IOU} from s",
     "error_class": f"{_MATCHED} select scene_id, sweep_idx, point_idx, case when label = 0 and is_gt then 'TP' when label = 0 then 'FP' when is_gt then 'FN' else 'TN' end as error_class from matched",
+    "sweep_epsilon": f"""{_VOTED}{_BOXES}, t as (select unnest(range({len(EPSILONS)})) as trial_id, unnest([{', '.join(map(_d, EPSILONS))}]) as epsilon),
+      v as (select trial_id, scene_id, sweep_idx, point_idx, count(*) filter (in_fov and depth < least - epsilon) as n from around, t group by all),
+      l as (select t.trial_id, t.epsilon, coalesce(v.n, 0) >= {P.vote} as dynamic, g.point_idx is not null as is_gt from voted p cross join t left join v on v.trial_id = t.trial_id and v.scene_id = p.scene_id and v.sweep_idx = p.sweep_idx and v.point_idx = p.point_idx
+        left join gt g on g.scene_id = p.scene_id and g.sweep_idx = p.sweep_idx and g.point_idx = p.point_idx),
+      c as (select trial_id, epsilon, count(*) filter (dynamic and is_gt) as tp, count(*) filter (dynamic and not is_gt) as fp, count(*) filter (not dynamic and is_gt) as fn, count(*) filter (not dynamic and not is_gt) as tn from l group by all) select *, {_IOU} from c""",
+    "sweep_mcc": f"""{_LABELS}{_BOXES}, t as (select unnest(range({len(THRESHOLDS)})) as trial_id, unnest([{', '.join(map(_d, THRESHOLDS))}]) as threshold),
+      l as (select t.trial_id, t.threshold, f.label = 0 and m.score < t.threshold as dynamic, g.point_idx is not null as is_gt from first f cross join t left join m_score m on m.scene_id = f.scene_id and m.sweep_idx = f.sweep_idx and m.point_idx = f.point_idx
+        left join gt g on g.scene_id = f.scene_id and g.sweep_idx = f.sweep_idx and g.point_idx = f.point_idx),
+      c as (select trial_id, threshold, count(*) filter (dynamic and is_gt) as tp, count(*) filter (dynamic and not is_gt) as fp, count(*) filter (not coalesce(dynamic, false) and is_gt) as fn, count(*) filter (not coalesce(dynamic, false) and not is_gt) as tn from l group by all) select *, {_IOU} from c""",
     "evaluate_covered": f"""{_VOTED}{_BOXES}, known as (select * from gt where {FOUND}), made_for as (select scene_id, sweep_idx from sweeps where {COVERED}),
       scored as (select v.scene_id, v.sweep_idx, v.label = 0 as dynamic, f.point_idx is not null as is_gt from voted v semi join made_for using (scene_id, sweep_idx) left join known f using (scene_id, sweep_idx, point_idx)),
       c as (select scene_id, sweep_idx, count(*) filter (dynamic and is_gt) as tp, count(*) filter (dynamic and not is_gt) as fp, count(*) filter (not dynamic and is_gt) as fn, count(*) filter (not dynamic and not is_gt) as tn, count(*) filter (is_gt) as seen from scored group by all)

@@ -22,6 +22,40 @@ def sweep_geometric(coarse: DataFrame, gt: DataFrame, votes: Sequence[int]) -> D
     return evaluation.with_iou(evaluation.confusion(matched, ("trial_id", "vote")))
 
 
+def _below_critical(critical: DataFrame, gt: DataFrame, values: Sequence[float], name: str) -> DataFrame:
+    """tp, fp, fn, tn, iou of every value of a parameter, where a point is dynamic for the values below its own ``critical`` (never, if null).
+
+    Points are counted once, by how many values their critical one exceeds; the rest are running sums over that few rows.
+    """
+    order = sorted(range(len(values)), key=lambda i: values[i])
+    ascending = F.array(*[F.lit(float(values[i])) for i in order])
+    exceeds = F.coalesce(F.size(F.filter(ascending, lambda v: v < F.col("critical"))), F.lit(0))
+    counts = evaluation.match_gt(critical, gt).groupBy(exceeds.alias("b")).agg(F.count_if("is_gt").alias("g"), F.count_if(~F.col("is_gt")).alias("o"))
+    every = critical.sparkSession.range(len(values) + 1).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("o"))
+    per = counts.unionByName(every).groupBy("b").agg(F.sum("g").alias("g"), F.sum("o").alias("o"))  # a row for each value
+    down, whole = Window.orderBy(F.desc("b")), Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = per.select("b", F.sum("g").over(down).alias("tp"), F.sum("o").over(down).alias("fp"), F.sum("g").over(whole).alias("gs"), F.sum("o").over(whole).alias("os")).where("b > 0")
+    trial, value = F.get(F.array(*[F.lit(i) for i in order]), F.col("b") - 1), F.get(ascending, F.col("b") - 1)
+    return evaluation.with_iou(sums.select(trial.alias("trial_id"), value.alias(name), "tp", "fp", (F.col("gs") - F.col("tp")).alias("fn"), (F.col("os") - F.col("fp")).alias("tn")))
+
+
+def sweep_epsilon(margins: DataFrame, points: DataFrame, gt: DataFrame, vote: int, epsilons: Sequence[float]) -> DataFrame:
+    """Every tolerance of the coarse pass at once: a point is dynamic while the tolerance is below its ``vote``-th greatest margin.
+
+    ``points`` are all that are scored, also those without any margin.
+    """
+    ranked = F.sort_array(F.collect_list("margin"), asc=False)  # at most as many as past images
+    critical = margins.groupBy(*POINT).agg(F.get(ranked, F.lit(vote - 1)).alias("critical"))
+    return _below_critical(points.select(*POINT).join(critical, POINT, "left"), gt, epsilons, "epsilon")
+
+
+def sweep_mcc(labels: DataFrame, scores: DataFrame, gt: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """Every threshold of map consistency at once: a dynamic point stays so while the threshold is above its score."""
+    critical = F.when(F.col("label") == DYNAMIC, -F.col("score"))
+    out = _below_critical(labels.join(scores.select(*POINT, "score"), POINT, "left").select(*POINT, critical.alias("critical")), gt, [-t for t in thresholds], "threshold")
+    return out.withColumn("threshold", -F.col("threshold"))
+
+
 def scene_trials(coarse: DataFrame, gt: DataFrame, votes: Sequence[int]) -> DataFrame:
     """The same per scene: the input of successive halving."""
     counted = coarse.groupBy(*POINT).agg(F.count_if(F.col("label") == DYNAMIC).alias("votes"))

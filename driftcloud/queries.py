@@ -224,6 +224,20 @@ def sweep_geometric(spark, sf_dir):
     return _rounded(experiments.sweep_geometric(coarse, gt, VOTES), "iou")
 
 
+def sweep_epsilon(spark, sf_dir):
+    gt, gpoints, sweeps = _gt(spark, sf_dir)
+    dilated = saved(images.depth_image_dilated(images.depth_image(images.own_projection(gpoints, sweeps, P)), P))
+    margins = images.occlusion_margins(gpoints, sweeps, P, dilated)
+    return _rounded(experiments.sweep_epsilon(margins, images.ready_sweeps(gpoints, P), gt, P.vote, oracles.EPSILONS), "iou")
+
+
+def sweep_mcc(spark, sf_dir):
+    s = _scene(spark, sf_dir)
+    labels = saved(s.first_pass())
+    gt = tracks.generate_gt(s.gpoints, fixtures.annotations(spark), s.sweeps, P)
+    return _rounded(experiments.sweep_mcc(labels, s.scores(s.with_points(labels, DYNAMIC)), gt, oracles.THRESHOLDS), "iou")
+
+
 def best_trial(spark, sf_dir):
     coarse, _, gt = _voted(spark, sf_dir)
     return _rounded(experiments.best_trial(experiments.sweep_geometric(coarse, gt, VOTES)), "iou")
@@ -269,7 +283,7 @@ QUERIES = {
     for f in (
         filter_range, to_global, project_spherical, depth_image, depth_image_dilated, unproject_pixel, adaptive_epsilon, occlusion_coarse, occlusion_vote,
         ransac_ground, mcc_score, mcc_interpolate, event_parallel_away, event_perpendicular, label_geometric, label_histogram, label_points, evaluate_labels, track_velocity, boxes_asof,
-        generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, evaluate_covered, sweep_geometric, best_trial, trial_results, successive_halving, sweep_refinement, cluster_density, drop_noise,
+        generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, evaluate_covered, sweep_geometric, sweep_epsilon, sweep_mcc, best_trial, trial_results, successive_halving, sweep_refinement, cluster_density, drop_noise,
         expand_hull, cluster_hdbscan,
     )
 }
