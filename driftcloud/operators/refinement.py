@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..params import DYNAMIC, UNDETERMINED, Params
-from ..session import saved
+from ..session import discard, saved
 from .images import POINT
 
 SWEEP = ["scene_id", "sweep_idx"]
@@ -43,31 +43,111 @@ def cluster_density(points: DataFrame, p: Params) -> DataFrame:
     return near_core.groupBy(*POINT).agg(F.min("cluster").alias("cluster"))
 
 
-def _mutual_reachability_tree(xyz: np.ndarray, k: int) -> list[tuple[float, int, int]]:
-    """Edges of a minimum spanning tree over mutual reachability distances (Prim), shortest first."""
-    n = len(xyz)
-    k = min(k, n)
-    core = np.array([np.partition(np.sqrt(((xyz - q) ** 2).sum(axis=1)), k - 1)[k - 1] for q in xyz])
-    done, best, via, at, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), 0, []
-    for _ in range(n - 1):
-        done[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((xyz - xyz[at]) ** 2).sum(axis=1)), core), core[at])
-        closer = (d < best) & ~done
-        best[closer], via[closer] = d[closer], at
-        at = int(np.argmin(np.where(done, np.inf, best)))
-        edges.append((float(best[at]), int(via[at]), at))
-    return sorted(edges)
-
-
-def hierarchical_clusters(xyz: np.ndarray, least: int, k: int, epsilon: float) -> np.ndarray:
-    """Cluster number per point, -1 for noise: the stable clusters of the density hierarchy, none born below ``epsilon``."""
-    n = len(xyz)
+def _distance(a: str, b: str) -> Column:
+    d = [F.col(f"{a}{c}") - F.col(f"{b}{c}") for c in "xyz"]
+    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+
+def _cells_around(df: DataFrame, n: str = "c") -> DataFrame:
+    """A row for each of the 27 cells around a row's own (columns cx, cy, cz)."""
+    steps = [F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    return df.withColumn("_s", F.explode(F.array(*steps))).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"_s.{a}") for a in "xyz"}).drop("_s")
+
+
+def _in_cells(df: DataFrame, size: float, prefix: str = "c", x: str = "") -> DataFrame:
+    return df.withColumns({f"{prefix}{a}": F.floor(F.col(f"{x}{a}") / size) for a in "xyz"})
+
+
+def core_distances(points: DataFrame, near: int, radius: float) -> DataFrame:
+    """Points (x, y, z) with the distance to their ``near``-th neighbour, themselves included (the farthest, where a sweep has fewer).
+
+    Points are asked for within a radius that doubles until it holds enough; those that have enough ask no more, so that only
+    the lone ones look far.
+    """
+    counted = points.withColumn("k", F.least(F.lit(near), F.count("*").over(Window.partitionBy(*SWEEP))).cast("int"))
+    every = saved(counted)
+    left, found = every, None
+    while True:
+        around = _cells_around(_in_cells(left.select(*POINT, "k", *[F.col(c).alias(f"a{c}") for c in "xyz"]), radius, x="a"))
+        pairs = around.join(_in_cells(every.select(*SWEEP, "x", "y", "z"), radius).withColumnsRenamed({c: f"b{c}" for c in "xyz"}), [*SWEEP, "cx", "cy", "cz"])
+        within = pairs.select(*POINT, "k", _distance("a", "b").alias("d")).where(F.col("d") <= radius).groupBy(*POINT, "k").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+        settled = saved(within.where(F.size("ds") >= F.col("k")).select(*POINT, F.get("ds", F.col("k") - 1).alias("core")))
+        found = settled if found is None else found.unionByName(settled)
+        left = saved(left.join(settled, POINT, "left_anti"))
+        if left.isEmpty():
+            return saved(every.drop("k").join(found, POINT))
+        radius *= 2
+
+
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (of points) after those linked (a, b) became one, named after the least."""
+    both = links.select(*SWEEP, "a", "b").unionByName(links.select(*SWEEP, F.col("b").alias("a"), F.col("a").alias("b")))
+    names = saved(both.select(*SWEEP, "a").distinct().withColumn("name", F.col("a")))
+    while True:  # least neighbours, then a jump along names
+        seen = both.join(names.withColumnsRenamed({"a": "b", "name": "other"}), [*SWEEP, "b"]).groupBy(*SWEEP, "a").agg(F.min("other").alias("near"))
+        jump = names.select(*SWEEP, F.col("a").alias("near"), F.col("name").alias("further"))
+        step = saved(names.join(seen, [*SWEEP, "a"]).join(jump, [*SWEEP, "near"]).select(*SWEEP, "a", F.col("name").alias("old"), F.least("name", "near", "further").alias("name")))
+        discard(names)
+        names = step.drop("old")
+        names._saved_at = step._saved_at
+        if step.where("old <> name").isEmpty():
+            break
+    out = saved(components.join(names.withColumnRenamed("a", "component"), [*SWEEP, "component"], "left").withColumn("component", F.coalesce("name", "component")).drop("name"))
+    discard(names)
+    return out
+
+
+def reachability_edges(points: DataFrame, near: int, radius: float) -> DataFrame:
+    """Edges that hold a minimum spanning tree over mutual reachability distances: sweep, w, p, q.
+
+    Radii grow fourfold.  At each, the least edge between any two components of the radius before is an edge, and what these join
+    becomes one component (Kruskal's order, by ranges of weight).  Components are compared by boxes first: of each pair of
+    components only the boxes that can hold its least edge, by the bounds of all, meet point by point.
+    """
+    cored = core_distances(points, near, radius)
+    (least,) = cored.agg(F.percentile_approx("core", 0.1)).first()
+    if least is None:
+        return cored.select(*SWEEP, F.lit(0.0).alias("w"), F.col("point_idx").alias("p"), F.col("point_idx").alias("q")).limit(0)
+    components, radius, edges = saved(cored.withColumn("component", F.col("point_idx"))), max(least, radius / 64), None
+    while not components.groupBy(*SWEEP).agg(F.count_distinct("component").alias("n")).where("n > 1").isEmpty():
+        reached = _in_cells(components.where(F.col("core") <= radius), radius / 4, "s")
+        box = ["sx", "sy", "sz"]
+        boxes = reached.groupBy(*SWEEP, "component", *box).agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))], F.min("core").alias("core"))
+        boxes = saved(boxes.withColumns({f"c{a}": F.floor(F.col(f"s{a}") / 4) for a in "xyz"}))
+        side = lambda df, n: df.select(*SWEEP, "cx", "cy", "cz", *[F.col(c).alias(f"{n}_{c}") for c in ("component", *box, "core", *[f"{e}{c}" for c in "xyz" for e in ("lo", "hi")])])
+        pairs = side(_cells_around(boxes), "a").join(side(boxes, "b"), [*SWEEP, "cx", "cy", "cz"]).where("a_component < b_component")
+        gaps = [F.greatest(F.lit(0.0), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.col(f"b_lo{c}") - F.col(f"a_hi{c}")) for c in "xyz"]
+        spans = [F.greatest(F.col(f"a_hi{c}") - F.col(f"b_lo{c}"), F.col(f"b_hi{c}") - F.col(f"a_lo{c}")) for c in "xyz"]
+        norm_of = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+        pairs = pairs.select(*SWEEP, *[f"{n}_{c}" for n in "ab" for c in ("component", *box)], F.greatest(norm_of(gaps), "a_core", "b_core").alias("lower"), F.greatest(norm_of(spans), "a_core", "b_core").alias("upper")).where(F.col("lower") <= radius * (1 + 1e-9))
+        bound = F.min("upper").over(Window.partitionBy(*SWEEP, "a_component", "b_component"))
+        close = pairs.withColumn("bound", bound).where(F.col("lower") <= F.col("bound") * (1 + 1e-9)).drop("lower", "upper", "bound")
+        for n in "ab":
+            own = reached.select(*SWEEP, *[F.col(c).alias(f"{n}_{c}") for c in ("component", *box)], F.col("point_idx").alias(f"{n}_point"), F.col("core").alias(f"{n}_core"), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
+            close = close.join(own, [*SWEEP, f"{n}_component", *[f"{n}_{c}" for c in box]])
+        weighed = close.select(*SWEEP, F.col("a_component").alias("a"), F.col("b_component").alias("b"), F.greatest(_distance("a", "b"), "a_core", "b_core").alias("w"), F.col("a_point").alias("p"), F.col("b_point").alias("q")).where(F.col("w") <= radius)
+        level = saved(weighed.groupBy(*SWEEP, "a", "b").agg(F.min(F.struct("w", "p", "q")).alias("e")).select(*SWEEP, "a", "b", "e.*"))
+        discard(boxes)
+        if not level.isEmpty():
+            edges = level if edges is None else edges.unionByName(level)
+            old, components = components, _merged(components, level)
+            discard(old)
+        radius *= 4
+    return (edges if edges is not None else cored.select(*SWEEP, F.lit(0.0).alias("w"), F.col("point_idx").alias("p"), F.col("point_idx").alias("q")).limit(0)).select(*SWEEP, "w", "p", "q")
+
+
+def tree_clusters(n: int, edges: list[tuple[float, int, int]], least: int, epsilon: float) -> np.ndarray:
+    """Cluster number of each of n points, -1 for noise: the stable clusters of the density hierarchy, none born below ``epsilon``.
+
+    ``edges`` (weight, point, point; shortest first) hold a minimum spanning tree.  What edges of one weight join is one node of
+    the hierarchy, with as many branches as it takes, so that ties don't depend on which tree is given.
+    """
     out = np.full(n, -1)
     if n < max(least, 2):
         return out
-    parent, kids, height = list(range(2 * n - 1)), {}, {}
-    size = [1] * n + [0] * (n - 1)
-    top = list(range(2 * n - 1))
+    kids: dict[int, list[int]] = {}
+    height: dict[int, float] = {}
+    size, top = [1] * n, list(range(n))
 
     def root(a: int) -> int:
         while top[a] != a:
@@ -75,12 +155,17 @@ def hierarchical_clusters(xyz: np.ndarray, least: int, k: int, epsilon: float) -
             a = top[a]
         return a
 
-    new = n
-    for d, a, b in _mutual_reachability_tree(xyz, k):
+    for d, a, b in edges:
         x, y = root(a), root(b)
-        kids[new], height[new], size[new] = (x, y), d, size[x] + size[y]
+        if x == y:
+            continue
+        branches = [k for z in (x, y) for k in (kids.pop(z) if height.get(z) == d else [z])]
+        new = len(top)
+        top.append(new)
         top[x] = top[y] = new
-        new += 1
+        size.append(size[x] + size[y])
+        kids[new], height[new] = branches, d
+    whole = root(0)
 
     def leaves(a: int) -> list[int]:
         stack, found = [a], []
@@ -89,57 +174,68 @@ def hierarchical_clusters(xyz: np.ndarray, least: int, k: int, epsilon: float) -
             stack.extend(kids[b]) if b >= n else found.append(b)
         return found
 
-    chosen: list[int] = []
-    # condense: walk down from the root; a split counts when both sides have ``least`` points
+    # condense: walk down from the whole; a split counts when two branches or more have ``least`` points
     stability: dict[int, float] = {}
     below: dict[int, list[int]] = {}
-    order, stack = [], [(new - 1, new - 1, 0.0)]
+    splits: dict[int, float] = {}
+    order, stack = [], [(whole, whole, 0.0)]
     while stack:
         node, cluster, birth = stack.pop()
-        stability.setdefault(cluster, 0.0)
-        below.setdefault(cluster, [])
         if node == cluster:
             order.append(cluster)
+            stability[cluster], below[cluster] = 0.0, []
         if node < n:
             continue
         lam = 1 / max(height[node], 1e-12)
-        x, y = kids[node]
-        big = [c for c in (x, y) if size[c] >= least]
-        if len(big) == 2:
+        big = [c for c in kids[node] if size[c] >= least]
+        if len(big) >= 2:
             stability[cluster] += (lam - birth) * size[node]
-            below[cluster] = [x, y]
-            stack += [(x, x, lam), (y, y, lam)]
+            below[cluster] = big
+            splits[cluster] = height[node]
+            stack += [(c, c, lam) for c in big]
         else:
-            stability[cluster] += sum((lam - birth) * size[c] for c in (x, y) if c not in big)
+            stability[cluster] += sum((lam - birth) * size[c] for c in kids[node] if c not in big)
             stack += [(c, cluster, birth) for c in big]
     value: dict[int, float] = {}
     pick: dict[int, list[int]] = {}
     for cluster in reversed(order):
         inner = sum(value[c] for c in below[cluster])
-        split_at = min((height[c] for c in ([cluster] if cluster >= n else [])), default=0.0)
-        if below[cluster] and inner > stability[cluster] and cluster != new - 1 and split_at >= epsilon or cluster == new - 1 and below[cluster]:
+        if below[cluster] and (cluster == whole or inner > stability[cluster] and splits[cluster] >= epsilon):
             value[cluster], pick[cluster] = inner, [q for c in below[cluster] for q in pick[c]]
         else:
             # the whole is no cluster of its own: points that never split in two are noise
-            value[cluster], pick[cluster] = stability[cluster], [cluster] if cluster != new - 1 else []
-    chosen = [c for c in pick[new - 1] if size[c] >= least]
-    for number, c in enumerate(chosen):
+            value[cluster], pick[cluster] = stability[cluster], [cluster] if cluster != whole else []
+    for number, c in enumerate(pick[whole]):
         out[leaves(c)] = number
     return out
 
 
 def cluster_hdbscan(points: DataFrame, p: Params, least: int | None = None) -> DataFrame:
-    """Density-hierarchy clusters of each sweep's points, one task per sweep; the cluster is its smallest point_idx."""
+    """Density-hierarchy clusters of each sweep's points; the cluster is its smallest point_idx, noise is absent.
+
+    Core distances and the edges of the hierarchy come from joins over cells.  Only the edges of a sweep, about one a point,
+    meet in a task, which sorts them and walks the tree.  Points that aren't finite are noise.
+    """
     least, near, epsilon = least or p.cluster_size or p.cluster_least, p.cluster_least, p.cluster_epsilon
+    finite = F.lit(True)
+    for c in ("gx", "gy", "gz"):
+        finite = finite & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    bare = points.where(finite).select(*POINT, *[F.col(f"g{c}").alias(c) for c in "xyz"])
 
-    def one_sweep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[np.isfinite(rows[["gx", "gy", "gz"]]).all(axis=1)].sort_values("point_idx")
-        number = hierarchical_clusters(rows[["gx", "gy", "gz"]].to_numpy(), least, near, epsilon) if len(rows) else np.zeros(0, int)
-        rows = rows.assign(number=number)
-        rows = rows[rows["number"] >= 0]
-        return rows.assign(cluster=rows.groupby("number")["point_idx"].transform("min"))[[*POINT, "cluster"]]
+    def one_sweep(rows: pa.Table) -> pa.Table:
+        w, p_, q = (rows[c].to_numpy() for c in ("w", "p", "q"))
+        names, at = np.unique(np.concatenate([p_, q]), return_inverse=True)
+        order = np.argsort(w, kind="stable")
+        number = tree_clusters(len(names), list(zip(w[order].tolist(), at[: len(p_)][order].tolist(), at[len(p_) :][order].tolist())), least, epsilon)
+        kept = number >= 0
+        first = np.full(number.max(initial=-1) + 1, np.iinfo(np.int32).max, np.int64)
+        np.minimum.at(first, number[kept], names[kept])
+        n = int(kept.sum())
+        columns = [np.full(n, rows["scene_id"][0].as_py(), np.int64), np.full(n, rows["sweep_idx"][0].as_py(), np.int32), names[kept].astype(np.int32), first[number[kept]].astype(np.int32)]
+        return pa.table([pa.array(c) for c in columns], names=[*POINT, "cluster"])
 
-    return points.select(*POINT, "gx", "gy", "gz").groupBy(*SWEEP).applyInPandas(one_sweep, "scene_id long, sweep_idx int, point_idx int, cluster int")
+    edges = reachability_edges(bare, near, epsilon / 4 if epsilon > 0 else 0.1)
+    return edges.groupBy(*SWEEP).applyInArrow(one_sweep, "scene_id long, sweep_idx int, point_idx int, cluster int")
 
 
 def drop_noise(labels: DataFrame, clusters: DataFrame) -> DataFrame:
