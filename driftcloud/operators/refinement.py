@@ -11,6 +11,8 @@ from ..session import discard, saved
 from .images import POINT
 
 SWEEP = ["scene_id", "sweep_idx"]
+#: Metres by which a point may be outside a plane of a hull and still be on it.
+HULL_TOLERANCE = 1e-9
 #: Directions of the outer polytope: axes, face and space diagonals.
 DIRECTIONS = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (-1, 1, 1)]
 
@@ -263,6 +265,94 @@ def expand_hull(labels: DataFrame, clusters: DataFrame, gpoints: DataFrame, cell
     return labels.join(hit, POINT, "left").select(*POINT, F.coalesce("_new", "label").alias("label"))
 
 
+def _from_plane(points: np.ndarray, normal: np.ndarray, offset: float) -> np.ndarray:
+    return points @ normal - offset
+
+
+def hull_planes(points: np.ndarray, tolerance: float = HULL_TOLERANCE) -> np.ndarray:
+    """Planes (nx, ny, nz, d: inside is n . x <= d) of the convex hull of points; none if they lie in a plane.
+
+    A tetrahedron of far points grows by the farthest point outside one of its faces, which replaces the faces that see it.
+    """
+    first = points[np.argmin(points[:, 0])]
+    second = points[np.argmax(((points - first) ** 2).sum(axis=1))]
+    third = points[np.argmax((np.cross(points - first, second - first) ** 2).sum(axis=1))]
+    normal = np.cross(second - first, third - first)
+    if not (size := np.sqrt(normal @ normal)) > 0:
+        return np.zeros((0, 4))
+    away = _from_plane(points, normal / size, first @ normal / size)
+    fourth = points[np.argmax(np.abs(away))]
+    if not np.abs(away).max() > tolerance:
+        return np.zeros((0, 4))
+    corners = [first, second, third, fourth]
+    centre = np.mean(corners, axis=0)
+    faces: list[tuple[tuple[int, int, int], np.ndarray, float, np.ndarray]] = []
+
+    def add(face: tuple[int, int, int], outside: np.ndarray) -> np.ndarray:
+        """Puts a face in, with the points outside it; returns the others."""
+        a, b, c = (corners[k] for k in face)
+        n = np.cross(b - a, c - a)
+        if not (length := np.sqrt(n @ n)) > 0:
+            return outside
+        n = n / length
+        if n @ centre > n @ a:
+            n, face = -n, (face[0], face[2], face[1])
+        out = _from_plane(points[outside], n, n @ a) > tolerance
+        faces.append((face, n, float(n @ a), outside[out]))
+        return outside[~out]
+
+    left = np.arange(len(points))
+    for face in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)):
+        left = add(face, left)
+    while (at := next((f for f in faces if len(f[3])), None)) is not None:
+        far = points[at[3][np.argmax(_from_plane(points[at[3]], at[1], at[2]))]]
+        seen = [f for f in faces if f[1] @ far - f[2] > tolerance]
+        faces = [f for f in faces if not f[1] @ far - f[2] > tolerance]
+        edges = {e for f in seen for e in ((f[0][0], f[0][1]), (f[0][1], f[0][2]), (f[0][2], f[0][0]))}
+        corners.append(far)
+        left = np.unique(np.concatenate([f[3] for f in seen]))
+        for a, b in edges:
+            if (b, a) not in edges:  # the rim of what the point sees
+                left = add((a, b, len(corners) - 1), left)
+    return np.array([(*f[1], f[2]) for f in faces])
+
+
+def expand_hull_exact(labels: DataFrame, clusters: DataFrame, gpoints: DataFrame, cell: float = 8.0) -> DataFrame:
+    """Points of a sweep inside or on a cluster's convex hull become dynamic; clusters of under 4 points or within a plane don't grow.
+
+    Only points that are the farthest of their cluster in one of many directions, or beyond all of these, can be corners: the
+    inner polytope of a cluster's extreme points drops the others before its hull is built, one cluster a row of a task.
+    """
+    own = gpoints.join(clusters, POINT).select(*SWEEP, "cluster", "gx", "gy", "gz")
+
+    def hulls(rows: pa.Table) -> pa.Table:
+        p = np.stack([rows[c].to_numpy() for c in ("gx", "gy", "gz")], axis=1)
+        far = np.unique([f(p @ np.array(d, float)) for d in DIRECTIONS for f in (np.argmin, np.argmax)])
+        inner = hull_planes(p[far])
+        if len(inner):  # what is well inside is no corner
+            deep = (p @ inner[:, :3].T - inner[:, 3] < -HULL_TOLERANCE).all(axis=1)
+            deep[far] = False
+            p = p[~deep]
+        planes = hull_planes(p)
+        low, high = p.min(axis=0), p.max(axis=0)
+        lists = pa.array([[{"x": a, "y": b, "z": c, "d": d} for a, b, c, d in planes.tolist()]], pa.list_(pa.struct([(n, pa.float64()) for n in "xyzd"])))
+        return pa.table({**{c: rows[c][:1] for c in (*SWEEP, "cluster")}, **{f"lo{i}": pa.array([low[i]]) for i in range(3)}, **{f"hi{i}": pa.array([high[i]]) for i in range(3)}, "planes": lists})
+
+    enough = own.withColumn("_n", F.count("*").over(Window.partitionBy(*SWEEP, "cluster"))).where("_n >= 4").drop("_n")
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in (*SWEEP, "cluster"))
+    found = enough.groupBy(*SWEEP, "cluster").applyInArrow(hulls, f"{kinds}, " + ", ".join(f"{n}{i} double" for n in ("lo", "hi") for i in range(3)) + ", planes array<struct<x: double, y: double, z: double, d: double>>")
+    found = found.where("size(planes) > 0").drop("cluster")
+    for i, a in enumerate("xy"):
+        found = found.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"lo{i}") - 1e-6) / cell), F.floor((F.col(f"hi{i}") + 1e-6) / cell))))
+    keyed = gpoints.select(*POINT, "gx", "gy", "gz").withColumns({f"c{a}": F.floor(F.col(f"g{a}") / cell) for a in "xy"})
+    bounded = F.lit(True)
+    for i, a in enumerate("xyz"):
+        bounded = bounded & F.col(f"g{a}").between(F.col(f"lo{i}") - HULL_TOLERANCE, F.col(f"hi{i}") + HULL_TOLERANCE)
+    inside = F.forall("planes", lambda f: f.x * F.col("gx") + f.y * F.col("gy") + f.z * F.col("gz") - f.d <= HULL_TOLERANCE)
+    hit = keyed.join(found, [*SWEEP, "cx", "cy"]).where(bounded).where(inside).select(*POINT, F.lit(DYNAMIC).cast("byte").alias("_new")).distinct()
+    return labels.join(hit, POINT, "left").select(*POINT, F.coalesce("_new", "label").alias("label"))
+
+
 def refinable(dynamic: DataFrame, p: Params) -> DataFrame:
     """Sweeps whose dynamic points are at least ``cluster_least`` and all finite; others keep their labels."""
     finite = F.lit(True)
@@ -272,7 +362,7 @@ def refinable(dynamic: DataFrame, p: Params) -> DataFrame:
 
 
 def refine(labels: DataFrame, gpoints: DataFrame, p: Params) -> DataFrame:
-    """``p.refine``: "density" or "hdbscan" with growth to hulls; anything else leaves the labels."""
+    """``p.refine``: "density" or "hdbscan" with growth to hulls (``p.hull``: "outer" or "exact"); anything else leaves the labels."""
     methods = {"density": cluster_density, "hdbscan": cluster_hdbscan}
     if p.refine not in methods:
         return labels
@@ -282,5 +372,6 @@ def refine(labels: DataFrame, gpoints: DataFrame, p: Params) -> DataFrame:
     if p.cluster_size is not None:  # smaller clusters are noise
         clusters = clusters.withColumn("_n", F.count("*").over(Window.partitionBy(*SWEEP, "cluster"))).where(F.col("_n") >= p.cluster_size).drop("_n")
     clusters = saved(clusters)
-    refined = expand_hull(drop_noise(labels.join(sweeps, SWEEP, "left_semi"), clusters), clusters, gpoints)
+    grow = {"outer": expand_hull, "exact": expand_hull_exact}[p.hull]
+    refined = grow(drop_noise(labels.join(sweeps, SWEEP, "left_semi"), clusters), clusters, gpoints)
     return refined.unionByName(labels.join(sweeps, SWEEP, "left_anti").select(*POINT, "label"))

@@ -250,6 +250,19 @@ select scene_id, instance_id, ts_us, round(coalesce(case when ts_us - pt > 1000
     "evaluate_labels": f"{_POINT_LABELS}{_BOXES}, conf as (select l.scene_id, l.sweep_idx, count(*) filter (label = 0 and g.point_idx is not null) as tp, count(*) filter (label = 0 and g.point_idx is null) as fp, count(*) filter (label <> 0 and g.point_idx is not null) as fn, count(*) filter (label <> 0 and g.point_idx is null) as tn from labelled l left join gt g using (scene_id, sweep_idx, point_idx) group by all) select *, {_IOU} from conf",
     "cluster_density": f"{_REFINED} select {_ID}, cluster from clusters",
     "drop_noise": f"{_REFINED} select {_ID}, label from quiet",
+    "expand_hull_exact": f"""{_REFINED},
+      x_all as (select c.scene_id, c.sweep_idx, c.cluster, c.point_idx, gx, gy, gz, count(*) over (partition by c.scene_id, c.sweep_idx, c.cluster) as n from clusters c join gpoints g using (scene_id, sweep_idx, point_idx)),
+      x_p as materialized (select * from x_all where n >= 4),
+      x_tri as (select a.scene_id, a.sweep_idx, a.cluster, a.gx as ax, a.gy as ay, a.gz as az, (b.gy - a.gy) * (c.gz - a.gz) - (b.gz - a.gz) * (c.gy - a.gy) as mx, (b.gz - a.gz) * (c.gx - a.gx) - (b.gx - a.gx) * (c.gz - a.gz) as my, (b.gx - a.gx) * (c.gy - a.gy) - (b.gy - a.gy) * (c.gx - a.gx) as mz
+        from x_p a join x_p b on b.scene_id = a.scene_id and b.sweep_idx = a.sweep_idx and b.cluster = a.cluster and b.point_idx > a.point_idx join x_p c on c.scene_id = a.scene_id and c.sweep_idx = a.sweep_idx and c.cluster = a.cluster and c.point_idx > b.point_idx),
+      x_n as (select row_number() over () as t, scene_id, sweep_idx, cluster, mx / size as nx, my / size as ny, mz / size as nz, (mx * ax + my * ay + mz * az) / size as d from (select *, sqrt(mx * mx + my * my + mz * mz) as size from x_tri) where size > 1e-6),
+      x_side as (select t, any_value(n.scene_id) as scene_id, any_value(n.sweep_idx) as sweep_idx, any_value(n.cluster) as cluster, any_value(nx) as nx, any_value(ny) as ny, any_value(nz) as nz, any_value(d) as d, min(nx * gx + ny * gy + nz * gz - d) as least, max(nx * gx + ny * gy + nz * gz - d) as most
+        from x_n n join x_p p using (scene_id, sweep_idx, cluster) group by t),
+      x_face as materialized (select *, case when most <= 1e-9 then 1 else -1 end as s from x_side where (most <= 1e-9 and least < -1e-9) or (least >= -1e-9 and most > 1e-9)),
+      x_box as (select scene_id, sweep_idx, cluster, min(gx) as x0, max(gx) as x1, min(gy) as y0, max(gy) as y1, min(gz) as z0, max(gz) as z1 from x_p semi join x_face using (scene_id, sweep_idx, cluster) group by all),
+      x_near as (select g.*, cluster from gpoints g join x_box b using (scene_id, sweep_idx) where gx between x0 - 1e-9 and x1 + 1e-9 and gy between y0 - 1e-9 and y1 + 1e-9 and gz between z0 - 1e-9 and z1 + 1e-9),
+      x_in as (select g.scene_id, g.sweep_idx, g.point_idx from x_near g join x_face f using (scene_id, sweep_idx, cluster) group by g.scene_id, g.sweep_idx, g.point_idx, g.cluster having max(s * (nx * gx + ny * gy + nz * gz - d)) <= 1e-9)
+      select q.scene_id, q.sweep_idx, q.point_idx, case when i.point_idx is not null then 0 else q.label end::tinyint as label from quiet q left join (select distinct * from x_in) i using (scene_id, sweep_idx, point_idx)""",
     "expand_hull": f"{_REFINED} select {_ID}, label from refined",
     "trial_results": f"{_TRIALS}, t as (select *, case when tp + fp + fn > 0 then tp / (tp + fp + fn)::double else 0 end as i from scored) select trial_id, vote, tp, fp, fn, tn, round(i, 6) as iou, row_number() over (order by i desc, trial_id)::int as rank, round(max(i) over () - i, 6) as behind from t",
     "sweep_refinement": _refinements(),

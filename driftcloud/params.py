@@ -85,6 +85,7 @@ class Params:
     ground_distance: float = 0.3
     # refinement
     refine: str = "none"
+    hull: str = "outer"
     cluster_epsilon: float = 0.7
     cluster_least: int = 5
     cluster_size: int | None = None  # points of the smallest cluster; as ``cluster_least`` if not given

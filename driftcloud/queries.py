@@ -274,6 +274,12 @@ def expand_hull(spark, sf_dir):
     return refinement.expand_hull(refinement.drop_noise(labels, clusters), clusters, gpoints)
 
 
+def expand_hull_exact(spark, sf_dir):
+    dynamic, labels, gpoints = _dynamic(spark, sf_dir)
+    clusters = saved(refinement.cluster_density(dynamic, CLUSTERS))
+    return refinement.expand_hull_exact(refinement.drop_noise(labels, clusters), clusters, gpoints)
+
+
 def cluster_hdbscan(spark, sf_dir):
     return refinement.cluster_hdbscan(_dynamic(spark, sf_dir)[0], CLUSTERS)
 
@@ -284,6 +290,6 @@ QUERIES = {
         filter_range, to_global, project_spherical, depth_image, depth_image_dilated, unproject_pixel, adaptive_epsilon, occlusion_coarse, occlusion_vote,
         ransac_ground, mcc_score, mcc_interpolate, event_parallel_away, event_perpendicular, label_geometric, label_histogram, label_points, evaluate_labels, track_velocity, boxes_asof,
         generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, evaluate_covered, sweep_geometric, sweep_epsilon, sweep_mcc, best_trial, trial_results, successive_halving, sweep_refinement, cluster_density, drop_noise,
-        expand_hull, cluster_hdbscan,
+        expand_hull, expand_hull_exact, cluster_hdbscan,
     )
 }
