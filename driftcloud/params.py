@@ -76,6 +76,7 @@ class Params:
     mcc_interpolate: bool = True
     mcc_neighbours: int = 20
     mcc_triplets: int = 100
+    static_source: str = "ground"  # or "labels": what earlier sweeps were found to be
     # ground plane
     ground_radius: float = 25.0
     ground_z_min: float = -2.84023
@@ -94,6 +95,12 @@ class Params:
     extrapolate_us: int = 750_000
     least_annotations: int = 1
 
+    @property
+    def look_back(self) -> int:
+        """How many sweeps before a sweep its labels depend on."""
+        mcc = self.mcc_sweeps - 1 if self.mcc_include_current else self.mcc_sweeps
+        return max(self.frames, mcc, self.parallel_sweeps, self.perpendicular_sweeps)
+
     @property
     def frames(self) -> int:
         """Past sweeps that are looked at: the buffer holds ``init_sweeps`` beside the current one."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,7 +11,7 @@ from ..functions.geometry import norm
 from ..operators import ground, images, motion, refinement
 from ..operators.images import POINT
 from ..params import DYNAMIC, GROUND, OCCLUDED_BY, UNDETERMINED, Params
-from ..session import saved
+from ..session import saved, scratch_path, scratch_scope
 
 PreLabeller = Callable[[DataFrame, Params], DataFrame]
 
@@ -86,14 +87,48 @@ class Scene:
 
     def label_geometric(self, veto: bool = False) -> DataFrame:
         """Ground, vote, map consistency, then both motion tests."""
-        labels = saved(self.apply_mcc(saved(self.first_pass())))
+        return self.after_first_pass(saved(self.first_pass()), veto)
+
+    def after_first_pass(self, first: DataFrame, veto: bool = False) -> DataFrame:
+        labels = saved(self.apply_mcc(first))
         labels = saved(self.event_with_mcc(labels, self.parallel, veto))
         return self.event_with_mcc(labels, self.perpendicular, veto)
 
     def label_points(self, veto: bool = False) -> DataFrame:
         """The geometric labels, refined as ``p.refine`` says; counts are those of ``label_histogram``."""
+        if self.p.static_source == "labels":
+            return self.label_wave(veto)
         return refinement.refine(saved(self.label_geometric(veto)), self.bare, self.p)
 
+    def label_wave(self, veto: bool = False) -> DataFrame:
+        """Refined labels where a point of an earlier sweep is static if it was labelled so: occluded, or ground (of a sweep itself, ground).
+
+        The first pass needs no labels and is one job for all.  Then a wave runs over the sweeps, all scenes side by side: a step
+        reads the final labels of the few sweeps before it and writes its own, in a folder by sweep.  Tables are stored by sweep, so
+        that a step reads only the sweeps it looks back at, and its plan is the same for the first sweep and the last.
+        """
+        spark, p = self.bare.sparkSession, self.p
+        first, bare, own, ground_by = (saved(df, ("sweep_idx",)) for df in (self.first_pass(), self.bare, self.own, self.ground))
+        image = saved(self.image, ("di",))
+        path, schema = scratch_path(spark), first.schema
+        low, high = first.agg(F.min("sweep_idx"), F.max("sweep_idx")).first()
+        for i in range(low, high + 1) if low is not None else ():
+            window = F.col("sweep_idx").between(i - p.look_back, i)
+            with scratch_scope(spark):
+                members = ground_by.where(F.col("sweep_idx") == i)
+                if i > low:
+                    past = spark.read.schema(schema).parquet(path).where(F.col("sweep_idx").between(i - p.look_back, i - 1) & F.col("label").isin(OCCLUDED_BY, GROUND))
+                    members = members.unionByName(past.select(*POINT))
+                step = copy(self)
+                step.bare, step.image = bare.where(window), image.where(F.col("di").between(i - p.look_back, i))
+                step.static = saved(motion.static_points(own.where(window), members, p))
+                labels = step.after_first_pass(saved(first.where(F.col("sweep_idx") == i)), veto)
+                final = refinement.refine(saved(labels), bare.where(F.col("sweep_idx") == i), p)
+                final.write.mode("append").partitionBy("sweep_idx").parquet(path)
+        if low is None:
+            return first
+        return spark.read.schema(schema).parquet(path).select(*POINT, "label")
+
 
 def _coarse(scene: Scene, active: DataFrame) -> DataFrame:
     pairs = images.ready_sweeps(active, scene.p).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(scene.p.frames)))).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0")

@@ -54,12 +54,16 @@ def _shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet below spark.checkpoint.dir and read back; a local session without it gets a folder of its own."""
-    spark = df.sparkSession
-    path = f"{_scope.get() or _shared_folder(spark)}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; a local session without it gets one of its own."""
+    return f"{_scope.get() or _shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once as Parquet below spark.checkpoint.dir and read back, in folders by the values of the columns ``by``."""
+    path = scratch_path(df.sparkSession)
+    df.write.partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
     out._saved_at = path
     return out
 

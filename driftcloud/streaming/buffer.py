@@ -33,9 +33,8 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 def look_back(p: Params) -> int:
-    """How many sweeps before a sweep its label depends on."""
-    mcc = p.mcc_sweeps - 1 if p.mcc_include_current else p.mcc_sweeps
-    return max(p.frames, mcc, p.parallel_sweeps, p.perpendicular_sweeps)
+    """How many sweeps of a scene are kept for those that follow."""
+    return p.look_back
 
 
 class SceneBuffer(StatefulProcessor):

@@ -7,10 +7,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from driftcloud import fixtures
-from driftcloud.operators import evaluation, images, refinement, tracks
+from driftcloud.operators import evaluation, images, motion, refinement, tracks
 from driftcloud.params import COARSE, Params
 from driftcloud.plans import experiments
 from driftcloud.plans.labelling import Scene
+from driftcloud.session import saved
 from driftcloud.sources import files
 from driftcloud.streaming.labeller import stream_label
 
@@ -126,3 +127,17 @@ def test_refinement_leaves_sweeps_that_it_cannot_cluster(spark):
         assert (0, 6) in {(r.sweep_idx, r.point_idx) for r in out if r.label == 3}
     size = refinement.refine(labels, gpoints, P.with_(refine="density", cluster_epsilon=0.7, cluster_least=5, cluster_size=9)).where("sweep_idx = 0 and label = 3")
     assert size.count() == 7
+
+
+def test_labels_of_earlier_sweeps_as_static_points(spark):
+    """The wave's labels are the ones that one pass gives when it is told them for the sweeps before; ground alone gives others."""
+    points, sweeps = fixtures.points(spark, SF).where("sweep_idx < 4 and scene_id = 0"), fixtures.sweeps(spark)
+    p = Params(grid=COARSE, init_sweeps=2, history=2, vote=1, mcc_sweeps=2, mcc_include_current=False, mcc_interpolate=False, mcc_threshold=0.4, mcc_h=3 * COARSE.h_res, mcc_v=1.5 * COARSE.v_res, static_source="labels")
+    scene = Scene(points, sweeps, p)
+    wave = saved(scene.label_points())
+    scene.static = saved(motion.static_points(scene.own, wave.where("label in (1, 4)"), p))
+    again = saved(scene.after_first_pass(saved(scene.first_pass())))
+    key = ["scene_id", "sweep_idx", "point_idx", "label"]
+    assert wave.count() == again.count() > 300 and wave.select(key).exceptAll(again.select(key)).isEmpty()
+    ground = saved(Scene(points, sweeps, p.with_(static_source="ground")).label_points())
+    assert wave.select(key).exceptAll(ground.select(key)).count() > 0

@@ -132,7 +132,7 @@ def test_history_stays_bounded(spark, tmp_path):
     labeller = StreamLabeller(fixtures.sweeps(spark), P, str(tmp_path / "history"), str(tmp_path / "out"))
     schema = "scene_id long, sweep_idx int, point_idx int, x double, y double, z double"
     back = buffer.look_back(P)
-    for i in range(5 * BLOCK):
+    for i in range(3 * BLOCK + 4):
         batch = spark.createDataFrame([(c, i, k, 0.0, 0.0, 0.0) for c in (0, 1) for k in range(2)], schema).coalesce(1)
         near = labeller.remember(batch)
         if i % BLOCK == 3:
