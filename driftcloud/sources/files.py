@@ -147,3 +147,26 @@ def write_point_labels(labels: DataFrame, gpoints: DataFrame, path: str) -> None
     """Labels with their global points, by scene: also the table that later parameter sweeps reuse."""
     key = ["scene_id", "sweep_idx", "point_idx"]
     labels.join(gpoints.select(*key, "gx", "gy", "gz"), key).write.mode("overwrite").partitionBy("scene_id").parquet(path)
+
+
+#: What bucketed tables of one bake are joined on.
+BAKED_BY = ("scene_id", "sweep_idx", "point_idx")
+
+
+def bake_labels(labels: DataFrame, gpoints: DataFrame, gt: DataFrame, sweeps: DataFrame, name: str, folder: str, buckets: int = 64) -> None:
+    """Labels before refinement with their global points, ground truth and its boundaries, as tables ``name``_labels, _gt and _sweeps below ``folder``.
+
+    Labels and ground truth are bucketed and sorted by point alike, so that each later trial joins them without a shuffle, and
+    sorted by scene first, so that a filter on scenes skips row groups.
+    """
+    def write(df: DataFrame, part: str) -> None:
+        df.write.mode("overwrite").option("path", f"{folder.rstrip('/')}/{part}").bucketBy(buckets, *BAKED_BY).sortBy(*BAKED_BY).saveAsTable(f"{name}_{part}")
+
+    write(covered(labels, sweeps).join(gpoints.select(*BAKED_BY, "gx", "gy", "gz"), list(BAKED_BY)).select(*BAKED_BY, "label", "gx", "gy", "gz"), "labels")
+    write(gt.select(*BAKED_BY).distinct(), "gt")
+    gt_offsets(gt, sweeps).write.mode("overwrite").option("path", f"{folder.rstrip('/')}/sweeps").saveAsTable(f"{name}_sweeps")
+
+
+def read_baked(spark: SparkSession, name: str, scenes: str | list[int] = "all") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels with points, ground truth and covered sweeps of a bake, of all scenes or of those named."""
+    return tuple(select_scenes(spark.table(f"{name}_{part}"), scenes) for part in ("labels", "gt", "sweeps"))

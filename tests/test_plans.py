@@ -141,3 +141,23 @@ def test_labels_of_earlier_sweeps_as_static_points(spark):
     assert wave.count() == again.count() > 300 and wave.select(key).exceptAll(again.select(key)).isEmpty()
     ground = saved(Scene(points, sweeps, p.with_(static_source="ground")).label_points())
     assert wave.select(key).exceptAll(ground.select(key)).count() > 0
+
+
+def test_baked_tables_join_without_a_shuffle(spark, tmp_path):
+    """Labels meet ground truth bucket by bucket; scenes are pushed down; covered sweeps without ground truth are scored, others not."""
+    rows = [(c, s, k, 0 if k < 2 else 1, float(k), float(s), 0.0) for c in (0, 1) for s in range(4) for k in range(6)]
+    points = spark.createDataFrame(rows, "scene_id long, sweep_idx int, point_idx int, label int, gx double, gy double, gz double")
+    gt = spark.createDataFrame([(c, s, k) for c in (0, 1) for s in (0, 2) for k in (0, 3)], "scene_id long, sweep_idx int, point_idx int")
+    sweeps = spark.createDataFrame([(c, s) for c in (0, 1) for s in range(3)], "scene_id long, sweep_idx int")
+    files.bake_labels(points.select(*files.BAKED_BY, "label"), points.drop("label"), gt, sweeps, "baked", str(tmp_path / "b"), buckets=4)
+    labels, truth, made_for = files.read_baked(spark, "baked", [1])
+    matched = evaluation.match_gt(labels, truth.hint("merge"))
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "EqualTo(scene_id,1)" in plan
+    out = evaluation.confusion(matched).collect()
+    assert sorted((r.scene_id, r.sweep_idx, r.tp, r.fp, r.fn) for r in out) == [(1, 0, 1, 1, 1), (1, 1, 0, 2, 0), (1, 2, 1, 1, 1)]
+    assert files.read_baked(spark, "baked")[0].count() == 36 and made_for.count() == 3
+    p = P.with_(refine="density", cluster_epsilon=1.5, cluster_least=2)
+    assert refinement.refine(labels.select(*files.BAKED_BY, "label"), labels.drop("label"), p).count() == 18
+    for name in ("labels", "gt", "sweeps"):
+        spark.sql(f"drop table baked_{name}")
