@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from driftcloud.functions import geometry
@@ -100,13 +99,6 @@ def test_clusters_noise_and_hull(spark):
     assert out[60] == 3 and out[0] == 0
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 400), min_size=1, max_size=30))
-def test_tree_spans(values):
-    xyz = np.array([[float(v), 0.0, 0.0] for v in values])
-    assert len(refinement._mutual_reachability_tree(xyz, 2)) == len(values) - 1
-
-
 @pytest.mark.parametrize("distance, score", [(20.0, 1.0), (12.0, 0.0)])
 def test_static_surface_around_an_empty_pixel_counts(spark, distance, score):
     """A candidate in an empty pixel of the past image, inside a triangle of static points in the pixels around it."""

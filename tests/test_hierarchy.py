@@ -1,6 +1,7 @@
 """Clusters of the density hierarchy: joins over cells against a whole matrix of distances."""
 
 import numpy as np
+from hypothesis import given, settings, strategies as st
 
 from driftcloud.operators import refinement
 from driftcloud.params import Params
@@ -29,6 +30,11 @@ def clusters_by_matrix(xyz, least, near, epsilon):
     return refinement.tree_clusters(len(xyz), tree_by_matrix(xyz, near), least, epsilon)
 
 
+def groups_of(number, names=None):
+    names = np.arange(len(number)) if names is None else names
+    return {frozenset(names[number == k].tolist()) for k in set(number.tolist()) - {-1}}
+
+
 def cloud(rng):
     parts = [rng.normal(rng.uniform(-30, 30, 3), rng.choice([0.05, 0.3, 2.0]), (rng.integers(1, 40), 3)) for _ in range(rng.integers(0, 5))]
     parts.append(rng.uniform(-40, 40, (rng.integers(0, 12), 3)))
@@ -66,5 +72,18 @@ def test_ties_do_not_depend_on_the_tree():
         c = np.unique(rng.integers(0, 7, (rng.integers(2, 60), 3)), axis=0).astype(float)
         turned = rng.permutation(len(c))
         one, other = clusters_by_matrix(c, 4, 3, 0.5), clusters_by_matrix(c[turned], 4, 3, 0.5)
-        groups = lambda number, names: {frozenset(names[number == k].tolist()) for k in set(number) - {-1}}
-        assert groups(one, np.arange(len(c))) == groups(other, turned)
+        assert groups_of(one) == groups_of(other, turned)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=30))
+def test_tree_spans(values):
+    """A spanning tree has an edge for each point but one, and says as much as all edges do."""
+    xyz = np.array([[float(v), 0.0, 0.0] for v in values])
+    n, tree = len(xyz), tree_by_matrix(xyz, 2)
+    assert len(tree) == n - 1
+    d = np.abs(xyz[:, None, 0] - xyz[None, :, 0])
+    core = np.sort(d, axis=1)[:, min(2, n) - 1]
+    every = sorted((float(max(d[i, j], core[i], core[j])), i, j) for i in range(n) for j in range(i))
+    by_all, by_tree = (refinement.tree_clusters(n, edges, 3, 1.0) for edges in (every, tree))
+    assert groups_of(by_all) == groups_of(by_tree) and all(len(g) >= 3 for g in groups_of(by_all))
