@@ -86,24 +86,23 @@ def ready_sweeps(df: DataFrame, p: Params) -> DataFrame:
     return df.where(F.col("sweep_idx") >= p.init_sweeps - 1)
 
 
-def history_join(gpoints: DataFrame, sweeps: DataFrame, p: Params, frames: int, start: int = 1) -> DataFrame:
-    """Every point in each of the images of the last ``frames`` sweeps (k from ``start``; negative numbers look ahead) that has points."""
+def history_join(points: DataFrame, images: DataFrame, p: Params, frames: int, start: int = 1) -> DataFrame:
+    """Every point in each of the ``images`` of the last ``frames`` sweeps: k from ``start``, and its projection; negative numbers look ahead."""
     steps = F.sequence(F.lit(start), F.lit(frames)) if frames >= start else F.array().cast("array<int>")
-    pairs = gpoints.withColumn("k", F.explode(steps)).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0")
-    return project(pairs, ready_images(gpoints, sweeps), p)
+    pairs = points.withColumn("k", F.explode(steps)).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0")
+    return project(pairs, images, p)
 
 
 def occlusion_coarse(gpoints: DataFrame, sweeps: DataFrame, p: Params, dilated: DataFrame | None = None) -> DataFrame:
     """Per point of a ready sweep and past image: k and the label against the dilated image."""
     if dilated is None:
         dilated = depth_image_dilated(depth_image(own_projection(gpoints, sweeps, p)), p)
-    pairs = project(ready_sweeps(gpoints, p).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(p.frames)))).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0"), ready_images(gpoints, sweeps), p)
-    return coarse_labels(pairs, dilated, p)
+    return coarse_labels(history_join(ready_sweeps(gpoints, p), ready_images(gpoints, sweeps), p, p.frames), dilated, p)
 
 
 def occlusion_margins(gpoints: DataFrame, sweeps: DataFrame, p: Params, dilated: DataFrame) -> DataFrame:
     """Per point of a ready sweep and past image: by how much it is in front of the dilated image (null where it has no surface to be in front of)."""
-    pairs = project(ready_sweeps(gpoints, p).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(p.frames)))).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0"), ready_images(gpoints, sweeps), p)
+    pairs = history_join(ready_sweeps(gpoints, p), ready_images(gpoints, sweeps), p, p.frames)
     seen = pairs.join(dilated.select("scene_id", "di", "v", "h", "min_depth"), ["scene_id", "di", "v", "h"], "left")
     return seen.select(*POINT, "k", F.when(F.col("in_fov"), F.col("min_depth") - F.col("depth")).alias("margin"))
 

@@ -43,7 +43,8 @@ class Scene:
         """Labels of ready sweeps after the vote, ground points marked."""
         active = self.bare.join(self.ground, POINT, "left_anti")
         # images come from all points, so readiness is asked of all; only active points are looked up
-        coarse = _coarse(self, active)
+        pairs = images.history_join(images.ready_sweeps(active, self.p), images.ready_images(self.bare, self.sweeps), self.p, self.p.frames)
+        coarse = images.coarse_labels(pairs, self.dilated, self.p)
         voted = images.occlusion_vote(coarse, active, self.p)
         marked = images.ready_sweeps(self.ground, self.p).withColumn("label", F.lit(GROUND).cast("byte"))
         return voted.unionByName(marked)
@@ -130,10 +131,5 @@ class Scene:
         return spark.read.schema(schema).parquet(path).select(*POINT, "label")
 
 
-def _coarse(scene: Scene, active: DataFrame) -> DataFrame:
-    pairs = images.ready_sweeps(active, scene.p).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(scene.p.frames)))).withColumn("di", F.col("sweep_idx") - F.col("k")).where("di >= 0")
-    return images.coarse_labels(images.project(pairs, images.ready_images(scene.bare, scene.sweeps), scene.p), scene.dilated, scene.p)
-
-
 def label_histogram(labels: DataFrame) -> DataFrame:
     return labels.groupBy("scene_id", "sweep_idx", "label").agg(F.count("*").alias("n"))

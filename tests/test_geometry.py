@@ -116,3 +116,14 @@ def test_static_surface_around_an_empty_pixel_counts(spark, distance, score):
     assert static.count() == 3
     row = motion.mcc_score(motion.mcc_frames(candidates, gpoints, sweeps, images.depth_image(own), static, p), candidates).first()
     assert (row.checked, row.score) == (1, score)
+
+
+def test_history_looks_back_and_ahead(spark):
+    """k counts sweeps back; negative ones are sweeps to come; images without points are no history."""
+    sweeps = spark.createDataFrame([(0, s, *[1.0 if n in ("r00", "r11", "r22") else 0.0 for n in geometry.POSE]) for s in range(4)], f"scene_id long, sweep_idx int, {', '.join(f'{n} double' for n in geometry.POSE)}")
+    points = spark.createDataFrame([(0, s, 0, 5.0 + s, 0.0, 0.0) for s in (0, 1, 3)], f"{POINT}, gx double, gy double, gz double")
+    ready = images.ready_images(points, sweeps)
+    seen = lambda frames, start: sorted((r.sweep_idx, r.k, r.di) for r in images.history_join(points, ready, P, frames, start).collect())
+    assert seen(2, 1) == [(1, 1, 0), (3, 2, 1)]
+    assert seen(-1, -3) == [(0, -3, 3), (0, -1, 1), (1, -2, 3)]
+    assert seen(0, 1) == []
