@@ -161,3 +161,31 @@ def test_baked_tables_join_without_a_shuffle(spark, tmp_path):
     assert refinement.refine(labels.select(*files.BAKED_BY, "label"), labels.drop("label"), p).count() == 18
     for name in ("labels", "gt", "sweeps"):
         spark.sql(f"drop table baked_{name}")
+
+
+def test_sinks_classes_and_selection(spark, tmp_path):
+    trials = spark.createDataFrame([(0, 4, 0.1, 0.5), (1, 5, 0.2, 0.7), (2, 6, 0.3, 0.7)], "trial_id int, `vote.least` int, `vote.epsilon` double, iou double")
+    experiments.export_best(trials, str(tmp_path / "best"))
+    (best,) = spark.read.json(str(tmp_path / "best")).collect()
+    assert (best.trial_id, best.iou, best.vote.least, best.vote.epsilon) == (1, 0.7, 5, 0.2)  # of equal ones the first
+    gpoints = spark.createDataFrame([(c, 0, k, float(k), 0.0, 1.0) for c in (0, 1) for k in range(3)], "scene_id long, sweep_idx int, point_idx int, gx double, gy double, gz double")
+    labels = gpoints.selectExpr("scene_id", "sweep_idx", "point_idx", "cast(case point_idx when 0 then 0 when 1 then 4 else 1 end as byte) as label")
+    assert {(r.point_idx, r.label_class) for r in evaluation.label_class(labels).collect()} == {(0, "dynamic"), (1, "ground"), (2, "static")}
+    files.write_point_labels(labels, gpoints, str(tmp_path / "labels"))
+    stored = spark.read.parquet(str(tmp_path / "labels"))
+    assert sorted((r.scene_id, r.point_idx, r.label, r.gx) for r in files.select_scenes(stored, [1]).collect()) == [(1, 0, 0, 0.0), (1, 1, 4, 1.0), (1, 2, 1, 2.0)]
+    assert files.select_scenes(stored, "all").count() == 6
+
+
+def test_veto_takes_back_what_the_static_map_speaks_against(spark):
+    """Points that a motion test turned dynamic keep their label if they fit the static map; what was dynamic before stays."""
+    points, sweeps = fixtures.points(spark, SF).where("sweep_idx < 4 and scene_id = 0"), fixtures.sweeps(spark)
+    p = Params(grid=COARSE, init_sweeps=2, history=2, mcc_sweeps=2, mcc_interpolate=False, mcc_threshold=0.4, mcc_h=3 * COARSE.h_res, mcc_v=1.5 * COARSE.v_res)
+    scene = Scene(points, sweeps, p)
+    before = saved(scene.first_pass())
+    turn = lambda labels: labels.withColumn("label", F.when(F.col("point_idx") % 2 == 0, 0).otherwise(F.col("label")).cast("byte"))
+    out = {(r.sweep_idx, r.point_idx): r.label for r in scene.event_with_mcc(before, turn, veto=True).collect()}
+    old = {(r.sweep_idx, r.point_idx): r.label for r in before.collect()}
+    scores = {(r.sweep_idx, r.point_idx): r.score for r in scene.scores(scene.bare).collect()}
+    want = {k: (v if k[1] % 2 or v == 0 or scores[k] >= p.mcc_threshold else 0) for k, v in old.items()}
+    assert out == want and any(want[k] != 0 for k in want if k[1] % 2 == 0)
