@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import fixtures
 from .params import COARSE, Params
+from .plans.experiments import draw_trials
 
 P, G = Params(grid=COARSE), COARSE
 #: The queries' parameters: angles that reach over the window of a coarse pixel, so that the sparse fixture has hits.
@@ -13,6 +14,8 @@ WIDE = P.with_(mcc_h=1.25 * G.h_res, mcc_v=1.25 * G.v_res)
 CLUSTERS = P.with_(cluster_epsilon=0.7, cluster_least=5)
 #: Values of the threshold sweeps: 30 tolerances of the coarse pass, 30 thresholds of map consistency (in no order).
 EPSILONS, THRESHOLDS = [round(0.05 * (7 * i % 30), 2) for i in range(30)], [round(0.0353 * (11 * i % 30) + 0.013, 4) for i in range(30)]
+#: The trials of ``hyperband``: 9, 5 and 3 of them start with 1, 3 and 9 sweeps.
+BUDGET, DRAWN = 9, draw_trials(17, {"epsilon": (0.02, 1.0), "vote": range(1, 10)}, seed=7)
 #: Sweeps that the ground truth of ``evaluate_covered`` was made for, and where it found anything.
 COVERED, FOUND = "scene_id = 1 or sweep_idx < 18", "not (scene_id = 1 and sweep_idx = 12)"
 
@@ -193,6 +196,25 @@ def _refinements() -> str:
     return f"{_recursive(_LABELS + ''.join(parts))}{_BOXES}, tried_all as ({all_}), conf as (select trial_id, cluster_epsilon, cluster_least, {counts} from tried_all l left join gt g using (scene_id, sweep_idx, point_idx) group by all) select *, {_IOU} from conf"
 
 
+def _hyperband() -> str:
+    """Each rung of each bracket (first trial, trials, budgets with how many go on) as a ranking of its own."""
+    rungs, parts = [], []
+    for b, (first, n, steps) in enumerate(((0, 9, ((1, 3), (3, 1), (9, 1))), (9, 5, ((3, 1), (9, 1))), (14, 3, ((9, 1),)))):
+        before = f"(select unnest(range({first}, {first + n})) as trial_id)"
+        for r, (budget, keep) in enumerate(steps):
+            name = f"b{b}_{r}"
+            parts.append(f"{name} as (select {b} as bracket, {r} as rung, {budget} as budget, trial_id, iou, row_number() over (order by iou desc, trial_id) <= {keep} as survives from (select trial_id, case when sum(tp + fp + fn) > 0 then sum(tp) / sum(tp + fp + fn)::double else 0 end as iou from per_sweep semi join {before} using (trial_id) where nth <= {budget} group by all))")
+            rungs.append(f"select * from {name}")
+            before = f"(select trial_id from {name} where survives)"
+    u = lambda name: f"(('0x' || substr(md5('7:' || t || ':{name}'), 1, 8))::bigint / 4294967296.0::double)"
+    return f"""{_VOTED}{_BOXES}, drawn as (select t as trial_id, 0.02::double + {u("epsilon")} * (1.0::double - 0.02::double) as epsilon, 1 + floor({u("vote")} * 9)::int as vote from (select unnest(range(17)) as t)),
+      v as (select trial_id, scene_id, sweep_idx, point_idx, count(*) filter (in_fov and depth < least - epsilon) as n from around, drawn group by all),
+      l as (select t.trial_id, p.sweep_idx, coalesce(v.n, 0) >= t.vote as dynamic, g.point_idx is not null as is_gt from voted p cross join drawn t left join v on v.trial_id = t.trial_id and v.scene_id = p.scene_id and v.sweep_idx = p.sweep_idx and v.point_idx = p.point_idx
+        left join gt g on g.scene_id = p.scene_id and g.sweep_idx = p.sweep_idx and g.point_idx = p.point_idx),
+      per_sweep as materialized (select trial_id, dense_rank() over (order by sweep_idx) as nth, count(*) filter (dynamic and is_gt) as tp, count(*) filter (dynamic and not is_gt) as fp, count(*) filter (not dynamic and is_gt) as fn from l group by trial_id, sweep_idx),
+      {', '.join(parts)} select bracket::int as bracket, rung::int as rung, budget::int as budget, trial_id::int as trial_id, round(iou, 6) as iou, survives from ({' union all '.join(rungs)})"""
+
+
 _LABELS, _GAP_LABELS = _labelling(False), _labelling(True)
 _REFINED = _recursive(_VOTED + _density("voted"))
 #: A sweep with too few dynamic points keeps its labels.
@@ -266,6 +288,7 @@ select scene_id, instance_id, ts_us, round(coalesce(case when ts_us - pt > 1000
     "expand_hull": f"{_REFINED} select {_ID}, label from refined",
     "trial_results": f"{_TRIALS}, t as (select *, case when tp + fp + fn > 0 then tp / (tp + fp + fn)::double else 0 end as i from scored) select trial_id, vote, tp, fp, fn, tn, round(i, 6) as iou, row_number() over (order by i desc, trial_id)::int as rank, round(max(i) over () - i, 6) as behind from t",
     "sweep_refinement": _refinements(),
+    "hyperband": _hyperband(),
     "successive_halving": f"""{_TRIALS},
 by_scene as (select t.trial_id, v.scene_id, count(*) filter (votes >= t.vote and g.point_idx is not null) as tp, count(*) filter (votes >= t.vote and g.point_idx is null) as fp, count(*) filter (votes < t.vote and g.point_idx is not null) as fn from votes v cross join trials t left join gt g using (scene_id, sweep_idx, point_idx) group by all),
 so_far as (select trial_id, row_number() over w - 1 as rung, sum(tp) over w as tp, sum(fp) over w as fp, sum(fn) over w as fn from by_scene window w as (partition by trial_id order by scene_id)),

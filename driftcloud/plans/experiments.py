@@ -1,8 +1,10 @@
-"""Parameter sweeps: thresholds in one job, successive halving over scenes, the best trial."""
+"""Parameter sweeps: thresholds in one job, successive halving over scenes, brackets of drawn trials, the best trial."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -86,6 +88,105 @@ def successive_halving(per_scene: DataFrame, factor: int = 3) -> DataFrame:
     return rungs
 
 
+class Bracket(NamedTuple):
+    """How many trials start, and after which budgets how many of them are left."""
+
+    trials: int
+    budgets: tuple[int, ...]
+    keeps: tuple[int, ...]
+
+
+def brackets(budget: int, factor: int = 3) -> list[Bracket]:
+    """From many trials that start with little to few that get all of ``budget`` at once.
+
+    Bracket b of s + 1 starts at budget / factor^(s - b), s being the greatest power of ``factor`` within the budget; at each of its
+    budgets the best share 1/factor (rounded down, one at least) goes on, and after the last one the best trial alone.
+    """
+    if budget < 1 or factor < 2:
+        raise ValueError("a budget of at least 1 and a factor of at least 2")
+    s = 0
+    while factor ** (s + 1) <= budget:
+        s += 1
+    out = []
+    for steps in range(s, -1, -1):
+        n = -(-(s + 1) * factor**steps // (steps + 1))
+        out.append(Bracket(n, tuple(budget // factor ** (steps - i) for i in range(steps + 1)), tuple(max(1, n // factor ** (i + 1)) for i in range(steps)) + (1,)))
+    return out
+
+
+def drawn(seed: int, trial: int, name: str) -> float:
+    """A number in [0, 1) that depends on its arguments alone, so that a study is the same on every cluster."""
+    return int(hashlib.md5(f"{seed}:{trial}:{name}".encode()).hexdigest()[:8], 16) / 2**32
+
+
+def draw_trials(n: int, ranges: Mapping[str, tuple[float, float] | Sequence[int]], seed: int = 0) -> list[dict]:
+    """``n`` trials: a pair of floats is a range to draw from evenly, anything else a list to choose from."""
+    trials = []
+    for t in range(n):
+        values = {}
+        for name, given in ranges.items():
+            u = drawn(seed, t, name)
+            if len(given) == 2 and all(isinstance(v, float) for v in given):
+                values[name] = given[0] + u * (given[1] - given[0])
+            else:
+                values[name] = given[int(u * len(given))]
+        trials.append({"trial_id": t, **values})
+    return trials
+
+
+def tolerance_trials(margins: DataFrame, points: DataFrame, gt: DataFrame, trials: Sequence[Mapping], unit: str = "scene_id") -> DataFrame:
+    """trial_id, ``unit``, tp, fp, fn, tn of trials with an ``epsilon`` and a ``vote`` each: a point is dynamic while its
+    ``vote``-th greatest margin is above ``epsilon``.
+
+    A point gives one row a vote, with the number of that vote's tolerances that it is above, and is counted before anything is
+    shuffled; trials then sum the few counts.  ``points`` are all that are scored.
+    """
+    by_vote: dict[int, list[float]] = {}
+    for t in trials:
+        by_vote.setdefault(t["vote"], []).append(t["epsilon"])
+    by_vote = {v: sorted(set(e)) for v, e in by_vote.items()}
+    if not trials:
+        return points.sparkSession.createDataFrame([], f"trial_id int, {unit} {dict(points.dtypes)[unit]}, tp long, fp long, fn long, tn long")
+    ranked = margins.groupBy(*POINT).agg(F.sort_array(F.collect_list("margin"), asc=False).alias("ranked"))  # at most as many as past images
+
+    def above(vote: int, tolerances: list[float]):
+        array, critical = F.array(*[F.lit(float(e)) for e in tolerances]), F.get("ranked", F.lit(vote - 1))
+        return F.struct(F.lit(vote).alias("vote"), F.coalesce(F.size(F.filter(array, lambda e: e < critical)), F.lit(0)).alias("b"))
+
+    matched = evaluation.match_gt(points.select(*POINT).join(ranked, POINT, "left"), gt)
+    asked = matched.select(unit, "is_gt", F.explode(F.array(*[above(v, e) for v, e in by_vote.items()])).alias("v"))
+    counts = asked.groupBy(unit, "v.vote", "v.b").agg(F.count_if("is_gt").alias("g"), F.count_if(~F.col("is_gt")).alias("o"))
+    rows = [(t["trial_id"], t["vote"], by_vote[t["vote"]].index(t["epsilon"])) for t in trials]
+    few = F.broadcast(points.sparkSession.createDataFrame(rows, "trial_id int, vote int, place int"))  # a row a trial
+    dynamic = F.col("b") > F.col("place")
+    total = lambda name, cond: F.coalesce(F.sum(F.when(cond, F.col(name))), F.lit(0)).alias
+    return counts.join(few, "vote").groupBy("trial_id", unit).agg(total("g", dynamic)("tp"), total("o", dynamic)("fp"), total("g", ~dynamic)("fn"), total("o", ~dynamic)("tn"))
+
+
+def hyperband(per_unit: DataFrame, budget: int, factor: int = 3, unit: str = "scene_id") -> DataFrame:
+    """Successive halving in ``brackets`` of different first budgets, a budget being a number of units in order.
+
+    Trials are dealt to the brackets in order of trial_id.  Returns bracket, rung, budget, trial_id, iou and survives, a row for each
+    trial that came as far.  Where there are fewer units than a budget asks for, all there are count.  Ties go to the smaller trial_id.
+    """
+    plan = brackets(budget, factor)
+    starts = [sum(b.trials for b in plan[:i]) for i in range(len(plan))]
+    rungs = [(i, r, b.budgets[r], b.keeps[r], starts[i], starts[i] + b.trials) for i, b in enumerate(plan) for r in range(len(b.budgets))]
+    schedule = F.broadcast(per_unit.sparkSession.createDataFrame(rungs, "bracket int, rung int, budget int, keeps int, low int, high int"))
+    order = Window.partitionBy("trial_id").orderBy(unit)
+    deal = per_unit.select("trial_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("trial_id")) - 1)  # trials are few
+    numbered = per_unit.select("trial_id", "tp", "fp", "fn", F.row_number().over(order).alias("at")).join(F.broadcast(deal), "trial_id")
+    sums = numbered.join(schedule, (F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")) & (F.col("at") <= F.col("budget")))
+    sums = sums.groupBy("bracket", "rung", "budget", "keeps", "trial_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    seen, out = saved(evaluation.with_iou(sums).select("bracket", "rung", "budget", "keeps", "trial_id", "iou")), None
+    best = Window.partitionBy("bracket").orderBy(F.desc("iou"), "trial_id")
+    for rung in range(1 + max(r[1] for r in rungs)):  # all brackets side by side
+        ranked = saved(seen.where(F.col("rung") == rung).withColumn("survives", F.row_number().over(best) <= F.col("keeps")).drop("keeps"))
+        out = ranked if out is None else out.unionByName(ranked)
+        seen = seen.where(F.col("rung") > rung).join(F.broadcast(ranked.where("survives").select("bracket", "trial_id")), ["bracket", "trial_id"], "left_semi")
+    return out
+
+
 def sweep_refinement(labels: DataFrame, gpoints: DataFrame, gt: DataFrame, p: Params, trials: Sequence[tuple[float, int]]) -> DataFrame:
     """tp, fp, fn, tn, iou of every (cluster_epsilon, cluster_least) over stored labels: trial_id, cluster_epsilon, cluster_least."""
     labels, out = saved(labels), None

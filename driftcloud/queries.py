@@ -253,6 +253,15 @@ def successive_halving(spark, sf_dir):
     return _rounded(experiments.successive_halving(saved(experiments.scene_trials(coarse, gt, VOTES))), "iou")
 
 
+def hyperband(spark, sf_dir):
+    """Drawn tolerances and votes in brackets; the budget counts sweeps of both scenes at once."""
+    gt, gpoints, sweeps = _gt(spark, sf_dir)
+    dilated = saved(images.depth_image_dilated(images.depth_image(images.own_projection(gpoints, sweeps, P)), P))
+    margins = images.occlusion_margins(gpoints, sweeps, P, dilated)
+    counts = experiments.tolerance_trials(margins, images.ready_sweeps(gpoints, P), gt, oracles.DRAWN, "sweep_idx")
+    return _rounded(experiments.hyperband(saved(counts), oracles.BUDGET, unit="sweep_idx"), "iou")
+
+
 def _dynamic(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     coarse, gpoints, _ = _voted(spark, sf_dir)
     labels = saved(images.occlusion_vote(coarse, gpoints, P))
@@ -289,7 +298,7 @@ QUERIES = {
     for f in (
         filter_range, to_global, project_spherical, depth_image, depth_image_dilated, unproject_pixel, adaptive_epsilon, occlusion_coarse, occlusion_vote,
         ransac_ground, mcc_score, mcc_interpolate, event_parallel_away, event_perpendicular, label_geometric, label_histogram, label_points, evaluate_labels, track_velocity, boxes_asof,
-        generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, evaluate_covered, sweep_geometric, sweep_epsilon, sweep_mcc, best_trial, trial_results, successive_halving, sweep_refinement, cluster_density, drop_noise,
+        generate_gt, gt_offsets, confusion, iou_report, error_class, gt_class, evaluate_covered, sweep_geometric, sweep_epsilon, sweep_mcc, best_trial, trial_results, successive_halving, hyperband, sweep_refinement, cluster_density, drop_noise,
         expand_hull, expand_hull_exact, cluster_hdbscan,
     )
 }

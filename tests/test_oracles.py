@@ -8,7 +8,7 @@ from driftcloud.oracles import ORACLE_SQL
 from driftcloud.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["filter_range", "to_global", "project_spherical", "depth_image", "depth_image_dilated", "unproject_pixel", "adaptive_epsilon", "occlusion_vote", "ransac_ground", "track_velocity", "boxes_asof", "cluster_density", "successive_halving", "event_perpendicular", "label_points"]
+QUICK = ["filter_range", "to_global", "project_spherical", "depth_image", "depth_image_dilated", "unproject_pixel", "adaptive_epsilon", "occlusion_vote", "ransac_ground", "track_velocity", "boxes_asof", "cluster_density", "successive_halving", "hyperband", "event_perpendicular", "label_points"]
 
 
 @pytest.mark.parametrize("name", QUICK)

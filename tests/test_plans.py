@@ -87,6 +87,59 @@ def test_halving_keeps_the_best_third(spark):
     assert [r.trial_id for r in out if r.rung == 1 and r.survives] == [8]
 
 
+def test_brackets_and_draws():
+    plan = experiments.brackets(81)
+    assert [b.trials for b in plan] == [81, 34, 15, 8, 5]
+    assert plan[0].budgets == (1, 3, 9, 27, 81) and plan[0].keeps == (27, 9, 3, 1, 1) and plan[-1].budgets == (81,)
+    assert experiments.brackets(2) == [experiments.Bracket(1, (2,), (1,))]
+    ranges = {"epsilon": (0.5, 2.0), "vote": (3, 4), "name": "abc"}
+    trials = experiments.draw_trials(400, ranges, seed=3)
+    assert trials == experiments.draw_trials(500, ranges, seed=3)[:400] != experiments.draw_trials(400, ranges, seed=4)
+    assert all(0.5 <= t["epsilon"] < 2 for t in trials) and {t["vote"] for t in trials} == {3, 4} and {t["name"] for t in trials} == set("abc")
+    assert abs(sum(t["epsilon"] for t in trials) / 400 - 1.25) < 0.1
+
+
+def test_tolerance_trials_by_hand(spark):
+    """Every trial's counts by a plain loop; a point without margins, null margins, equal tolerances, margins on a tolerance."""
+    rng = np.random.default_rng(4)
+    rows = [(s, w, i, k, None if rng.random() < 0.2 else float(rng.integers(0, 8)) / 4) for s in range(3) for w in range(2) for i in range(12) for k in range(1, 5) if i]
+    margins = spark.createDataFrame(rows, "scene_id long, sweep_idx int, point_idx int, k int, margin double")
+    points = [(s, w, i) for s in range(3) for w in range(2) for i in range(12)]
+    gt = [p for p in points if p[2] % 3 == 0]
+    key = "scene_id long, sweep_idx int, point_idx int"
+    trials = experiments.draw_trials(25, {"epsilon": [0.0, 0.25, 0.6, 1.0, 1.5], "vote": [1, 2, 4, 9]}, seed=1)
+    got = experiments.tolerance_trials(margins, spark.createDataFrame(points, key), spark.createDataFrame(gt, key), trials).collect()
+    want = {(t["trial_id"], s): [0, 0, 0, 0] for t in trials for s in range(3)}
+    for t in trials:
+        for p in points:
+            votes = sum(r[4] is not None and r[4] > t["epsilon"] for r in rows if r[:3] == p)
+            want[t["trial_id"], p[0]][(0 if votes >= t["vote"] else 2) + ((p in gt) == (votes < t["vote"]))] += 1
+    want = {k: (a, b, d, c) for k, (a, b, c, d) in want.items()}  # of what is left, ground truth is fn
+    assert {(r.trial_id, r.scene_id): (r.tp, r.fp, r.fn, r.tn) for r in got} == want
+    assert experiments.tolerance_trials(margins, points=spark.createDataFrame(points, key), gt=spark.createDataFrame(gt, key), trials=[]).isEmpty()
+
+
+def test_hyperband_against_a_loop(spark):
+    rng = np.random.default_rng(9)
+    rows = [(t * 5, s, *map(int, rng.integers(0, 6, 3)), 1) for t in range(17) for s in range(7)]
+    schema = "trial_id int, scene_id long, tp long, fp long, fn long, tn long"
+    want = set()
+    first = 0
+    for b, bracket in enumerate(experiments.brackets(9)):
+        left = [5 * t for t in range(first, first + bracket.trials)]
+        first += bracket.trials
+        for r, (budget, keep) in enumerate(zip(bracket.budgets, bracket.keeps)):
+            sums = {t: np.array([x[2:5] for x in rows if x[0] == t and x[1] < budget]).sum(axis=0) for t in left}
+            ious = {t: (v[0] / v.sum() if v.sum() else 0.0) for t, v in sums.items()}
+            best = sorted(left, key=lambda t: (-ious[t], t))[:keep]
+            want |= {(b, r, budget, t, round(float(ious[t]), 9), t in best) for t in left}
+            left = best
+    for parts in (1, 5):  # the same for every partitioning
+        got = experiments.hyperband(spark.createDataFrame(rows, schema).repartition(parts), 9).collect()
+        assert {(r.bracket, r.rung, r.budget, r.trial_id, round(r.iou, 9), r.survives) for r in got} == want and len(got) == len(want)
+    assert experiments.hyperband(spark.createDataFrame([], schema), 9).isEmpty()
+
+
 def test_metadata_to_ground_truth(spark, tmp_path):
     """From metadata files through sweeps and annotations to the points in a moving box."""
     tables = {
