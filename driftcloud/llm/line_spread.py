@@ -8,6 +8,9 @@ from all others.  Blank lines are no lines and stay.
 With ``long_sites``, lines of over ``LONG_WORDS`` words (runs outside the blanks) are spread from that many sites on.  Only
 whole lines are compared: repeats within one site and passages inside longer lines stay.
 
+A very common line's rows are spread over ``SPLIT`` tasks when they meet it: lines with a thousandth or more of all spread
+lines' rows are at most ``HOT`` of them, whatever the input, so these few hashes are broadcast.
+
 Defined results: a null text stays null; a null source is no site; a row with a null doc_id is never a line's first
 document; repeated rows are treated alike; an empty table gives no rows; other columns pass through.
 """
@@ -18,7 +21,10 @@ from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored
+
 LEAST_SITES, LG_CONFIG_K, LONG_WORDS = 3, 12, 50
+HOT, SPLIT = 1000, 64
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -43,7 +49,7 @@ def margin(least_sites: int, lg_config_k: int = LG_CONFIG_K) -> int:
 
 
 def spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: int = LG_CONFIG_K, long_sites: int | None = None) -> DataFrame:
-    """Lines of at least ``least_sites`` sites, long ones of at least ``long_sites``: h1, h2, first_doc."""
+    """Lines of at least ``least_sites`` sites, long ones of at least ``long_sites``: h1, h2, first_doc, n (rows)."""
     lines = _hashed_lines(_keyed(docs.select("doc_id", "source", "text")))
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("source"), lg_config_k)).alias("about"), F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), *([] if long_sites is None else [F.first("long").alias("long")]))
     near = margin(max(least_sites, long_sites or 0), lg_config_k)
@@ -53,17 +59,21 @@ def spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: i
     # a line's sites are made distinct before they meet its candidate, so that a very common line brings no more rows than it has sites
     pairs = lines.where("source is not null").select("h1", "h2", F.xxhash64("source").alias("s1"), F.xxhash64(F.lit(1), F.col("source")).alias("s2")).distinct()
     exact = pairs.join(candidates.where(F.col("about") <= F.col("least") + near).select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    certain = candidates.where(F.col("about") > F.col("least") + near).select("h1", "h2", "first_doc")
-    checked = candidates.where(F.col("about") <= F.col("least") + near).join(exact, ["h1", "h2"]).where(F.col("sites") >= F.col("least")).select("h1", "h2", "first_doc")
+    certain = candidates.where(F.col("about") > F.col("least") + near).select("h1", "h2", "first_doc", "n")
+    checked = candidates.where(F.col("about") <= F.col("least") + near).join(exact, ["h1", "h2"]).where(F.col("sites") >= F.col("least")).select("h1", "h2", "first_doc", "n")
     return certain.unionByName(checked)
 
 
 def remove_spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, lg_config_k: int = LG_CONFIG_K, long_sites: int | None = None) -> DataFrame:
     """The documents with cleaned texts, n_lines (not blank) and n_removed; columns of these names, or of the working ones, are replaced."""
     docs = docs.drop("n_lines", "n_removed", "_row", "_row2", "_gone")
-    keyed, spread = _keyed(docs), spread_lines(docs, least_sites, lg_config_k, long_sites)
+    keyed, spread = _keyed(docs), stored(spread_lines(docs, least_sites, lg_config_k, long_sites))
     lines = _hashed_lines(keyed.select("_row", "_row2", "doc_id", "source", "text"))
-    hits = lines.join(spread, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    hot = F.col("n") * HOT >= (spread.agg(F.sum("n")).first()[0] or 0)
+    part = F.pmod(F.xxhash64("_row", "pos"), F.lit(SPLIT)).cast("int")
+    lines = lines.join(F.broadcast(spread.where(hot).select("h1", "h2", F.lit(True).alias("hot"))), ["h1", "h2"], "left").withColumn("part", F.when(F.col("hot"), part).otherwise(0))
+    spread = spread.withColumn("part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SPLIT - 1))).otherwise(F.array(F.lit(0)))))
+    hits = lines.join(spread, ["h1", "h2", "part"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = hits.groupBy("_row", "_row2").agg(F.collect_set("pos").alias("_gone"))
     joined = keyed.join(gone, ["_row", "_row2"], "left")
     left = F.expr("case when _gone is null then text else array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n') end")

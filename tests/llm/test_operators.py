@@ -471,7 +471,9 @@ def test_wavelet_file_inflates_what_it_needs(monkeypatch):
     assert [len(p.open) for p in wm.planes] == [1] * len(wm.planes) and len(wm.planes[0].frames) == 3
 
 
-def test_line_spread(spark, docs):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_line_spread(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(line_spread, "HOT", hot)  # all lines are split, or the commonest alone
     rows = [(i, f"own {i}\nshared line\n\n{'rare' if i < 2 else 'all of it'}", "en", f"s{i % 5}", 0) for i in range(12)] + [(20, None, None, None, None), (21, "shared line", None, "s9", 0), (None, "shared line\nx", None, "s8", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = line_spread.remove_spread_lines(df).select("doc_id", "text", "n_lines", "n_removed").toPandas()
