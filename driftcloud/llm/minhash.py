@@ -33,6 +33,8 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 BINS, ROWS = 384, 6
 #: Words of 64 bits in the bitmap of rows whose texts are needed (8 million bits): what is broadcast has so many rows at most.
 BITMAP_WORDS = 1 << 17
+#: A hub's pairs beyond one of so many shares of all pairs are dealt to further tasks; a shingle's rows beyond GROUP_ROWS likewise.
+SHARES, GROUP_ROWS = 1000, 512
 _U = np.uint64
 
 
@@ -160,8 +162,17 @@ def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of rows whose full sets are similar enough."""
-    both = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
+    """The (stored) pairs (a, b) of rows whose full sets are similar enough.
+
+    The pairs of a hub ``a`` that has more than a share of all pairs are split into parts, and its text goes to each.  Fewer than
+    ``SHARES`` hubs have more than a share, so their list is broadcast, and fewer than twice ``SHARES`` texts are copied.
+    """
+    share = max(1, -(-pairs.count() // SHARES))
+    large = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    hubs = texts.select(F.col("row").alias("a"), F.col("text").alias("ta")).join(large, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = dealt.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").join(hubs, ["a", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,18 +267,22 @@ def _second_hubs(members: DataFrame, linkable: DataFrame, percent: int) -> DataF
 
 
 def _rare_shingle_pairs(texts: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """All pairs of rows of different components that can be similar, by prefixes in order of frequency and positions in them."""
+    """All pairs of rows of different components that can be similar, by prefixes in order of frequency and positions in them.
+
+    The rows of a frequent shingle are dealt to several tasks, each of which meets all of them.
+    """
     p = percent / 100
     rows = members.groupBy("row").agg(F.first("component").alias("component"))
     shingles = _shingle_rows(texts, rows.select("row"), words)
     counts = shingles.groupBy("g").agg(F.count("*").alias("rows"))
     ordered = shingles.join(counts, "g").groupBy("row").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rows", "g"))).alias("all"))  # one text's own shingles
     prefix = F.slice("all", 1, F.col("n") - F.ceil(p * F.col("n") - 1e-9).cast("int") + 1)
-    tokens = ordered.select("row", "n", F.posexplode(prefix).alias("at", "s")).where("s.rows > 1").select("row", "n", (F.col("n") - F.col("at")).alias("rest"), F.col("s.g").alias("g"))
+    tokens = ordered.select("row", "n", F.posexplode(prefix).alias("at", "s")).where("s.rows > 1").select("row", "n", (F.col("n") - F.col("at")).alias("rest"), F.col("s.g").alias("g"), F.ceil(F.col("s.rows") / GROUP_ROWS).cast("int").alias("parts"))
     tokens = stored(tokens.join(rows, "row"))
-    x, y = (tokens.select("g", *[F.col(c).alias(c + k) for c in ("row", "n", "rest", "component")]) for k in "xy")
+    one_part, every_part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x, y = (tokens.select("g", part.alias("part"), *[F.col(c).alias(c + k) for c in ("row", "n", "rest", "component")]) for k, part in (("x", one_part), ("y", every_part)))
     possible = F.least("restx", "resty") + 1e-6 >= p / (1 + p) * (F.col("nx") + F.col("ny"))
-    return x.join(y, "g").where((F.col("rowx") < F.col("rowy")) & (F.col("componentx") != F.col("componenty")) & possible).select(F.col("rowx").alias("a"), F.col("rowy").alias("b")).distinct()
+    return x.join(y, ["g", "part"]).where((F.col("rowx") < F.col("rowy")) & (F.col("componentx") != F.col("componenty")) & possible).select(F.col("rowx").alias("a"), F.col("rowy").alias("b")).distinct()
 
 
 def linked_rows(texts: DataFrame, words: int, percent: int, bins: int, rows: int) -> DataFrame:

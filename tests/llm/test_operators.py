@@ -111,8 +111,11 @@ def test_near_duplicates(spark, docs):
     assert by_id(minhash.near_duplicates(docs))[None].component_id is None
 
 
-def test_near_duplicates_in_a_hot_bucket(spark):
-    """500 texts of which any two are at a similarity around the threshold, and copies of one and of blank texts."""
+@pytest.mark.parametrize("shares, group_rows", [(minhash.SHARES, minhash.GROUP_ROWS), (7, 16)])
+def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch, shares, group_rows):
+    """500 texts of which any two are at a similarity around the threshold, and copies of one and of blank texts; hubs and shingles whole and split."""
+    monkeypatch.setattr(minhash, "SHARES", shares)
+    monkeypatch.setattr(minhash, "GROUP_ROWS", group_rows)
     rng = np.random.default_rng(5)
     base = [f"t{x}" for x in range(120)]
     rows = []
