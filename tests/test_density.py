@@ -79,3 +79,19 @@ def test_pairs_do_not_grow_with_density(spark, monkeypatch):
         assert len(out) == n and {r.cluster for r in out} == {0}
         most.append(max(rows))
     assert most[1] < 4 * most[0]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 400 cores with names in any order: the rounds are those of its logarithm, not of its length."""
+    written = []
+
+    def counting(df, by=()):
+        written.append(1)
+        return saved(df, by)
+
+    saved = refinement.saved
+    monkeypatch.setattr(refinement, "saved", counting)
+    names = [np.arange(400), np.arange(400)[::-1], np.random.default_rng(2).permutation(400)]
+    rows = [(0, s, int(i), 0.5 * at, 0.0, 0.0) for s, order in enumerate(names) for at, i in enumerate(order)]
+    out = refinement.cluster_density(spark.createDataFrame(rows, SCHEMA), Params(cluster_epsilon=0.7, cluster_least=2)).collect()
+    assert len(out) == 1200 and {r.cluster for r in out} == {0} and len(written) < 30
