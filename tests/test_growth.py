@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftcloud import queries, session
-from driftcloud.operators import refinement
-from driftcloud.params import DYNAMIC
+from driftcloud import fixtures, queries, session
+from driftcloud.operators import ground, refinement
+from driftcloud.params import DYNAMIC, OCCLUDED_BY, UNDETERMINED
+from driftcloud.plans import labelling
 
 SF = "/root/testdata/sf0.001"
 KEY = ["scene_id", "sweep_idx", "point_idx"]
@@ -54,3 +55,52 @@ def test_hulls_need_no_join_of_all_points(spark, grow):
     bare = refinement.drop_noise(labels.select(*KEY, "label"), clusters.select(*KEY, "cluster"))
     assert same(grow(quiet, clusters, every.limit(0)), grow(bare, clusters.select(*KEY, "cluster"), every.drop("label", "cluster")))
     assert quiet.where(F.col("gx").isNull()).isEmpty()
+
+
+def test_points_are_numbered_in_ranges(spark, monkeypatch):
+    """The same numbers as by a window over a whole sweep, rows without keys included; no task sorts a sweep."""
+    monkeypatch.setattr(fixtures, "RANGE_ROWS", 10)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = rows.unionByName(rows.limit(30).withColumn("l_orderkey", F.lit(None).cast("long"))).unionByName(rows.limit(7).withColumn("l_suppkey", F.lit(None).cast("long")))
+    numbered = fixtures._numbered(rows)
+    assert same(numbered, rows.withColumn("_number", F.expr(fixtures._NUMBER).cast("long"))) and numbered.count() == rows.count()
+    assert "_range" in next(x for x in numbered._jdf.queryExecution().executedPlan().toString().splitlines() if " Window " in x)
+    assert fixtures._numbered(rows.limit(0)).isEmpty()
+
+
+def test_planes_move_no_places(spark, monkeypatch):
+    """Corners are drawn by point numbers and planes go to the points, also where Spark by itself would broadcast nothing."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        points = session.saved(queries._points(spark, SF))
+        plans = []
+        monkeypatch.setattr(ground, "saved", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), session.saved(df))[1])
+        plan = ground.ransac_planes(points, queries.P)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and len(plans) == 4
+    assert not any("x#" in line for text in plans for line in text.splitlines() if " Sort [" in line and "k0" not in text)
+
+
+@pytest.mark.parametrize("name", ["mcc_score", "event_parallel_away", "event_perpendicular"])
+def test_only_candidates_are_written(spark, monkeypatch, name):
+    """Of the first pass, the points that are asked; of all points their own places alone."""
+    written = []
+
+    def counting(df, by=()):
+        out = session.saved(df, by)
+        if {"point_idx", "gx"} <= set(df.columns):
+            written.append(out.count())
+        return out
+
+    for module in (queries, labelling):
+        monkeypatch.setattr(module, "saved", counting)
+    out = queries.QUERIES[name](spark, SF).count()
+    assert sum(written) <= (out if name == "mcc_score" else 0)
+
+
+@pytest.mark.parametrize("label", [DYNAMIC, OCCLUDED_BY, UNDETERMINED])
+def test_candidates_are_the_points_of_the_label(spark, label):
+    scene = queries._scene(spark, SF, gap=True)
+    want = session.saved(scene.with_points(scene.first_pass(), label))
+    assert want.count() > 0 and same(scene.candidates(label), want)
