@@ -48,10 +48,16 @@ def discard(df: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = TEXT_BATCH) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows."""
+    """``mapInArrow`` over slices of at most ``rows`` rows.
+
+    Arrow keeps freed memory for later; a worker that has ended its task waits beside those of other stages and gives it back.
+    """
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(part for batch in batches for at in range(0, batch.num_rows, rows) if (part := batch.slice(at, rows)).num_rows)
+        try:
+            yield from fn(part for batch in batches for at in range(0, batch.num_rows, rows) if (part := batch.slice(at, rows)).num_rows)
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(sliced, schema)
 

@@ -7,13 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from driftcloud.llm import packing, target_quality
+from driftcloud.llm import common, packing, target_quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 BLANKS = " \t\n\x0b\x0c\r"
@@ -215,3 +216,28 @@ def test_stages_of_nothing(spark, tmp_path):
     labels_of(spark, [])[0].write.parquet(f"{tmp_path}/labels.parquet")
     for out in run_stages(spark, table(spark, []), str(tmp_path)):
         assert out.count() == 0
+
+
+@pytest.mark.parametrize("early", [False, True])
+def test_workers_give_arrow_memory_back(monkeypatch, early):
+    """After a task's last batch, also where its rows are not all asked for: workers are kept from stage to stage."""
+    released = []
+
+    class Frame:
+        def mapInArrow(self, fn, schema):
+            return fn
+
+    class Pool:
+        def release_unused(self):
+            released.append(len(seen))
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["a"]) for n in (5, 0, 2)]
+    seen = []
+    run = common.map_batches(Frame(), lambda parts: (p for p in parts), "a long", rows=2)(iter(batches))
+    for part in run:
+        seen.append(part.num_rows)
+        if early:
+            break
+    run.close()
+    assert (seen, released) == (([2], [1]) if early else ([2, 2, 1, 2], [4]))
