@@ -66,6 +66,20 @@ def test_clusters_equal_the_matrix(spark):
     assert refinement.cluster_hdbscan(points.limit(0), Params()).count() == 0
 
 
+def test_dense_points_meet_few_others(spark, monkeypatch):
+    """Core distances as by all pairs, of a place four orders denser than the first radius and of lone points; pairs grow with the points alone."""
+    rng, pairs = np.random.default_rng(4), []
+    own = refinement._within
+    monkeypatch.setattr(refinement, "_within", lambda *a: (found := own(*a), pairs.append(found.count()))[0])
+    cloud = np.concatenate([rng.uniform(-0.1, 0.1, (2000, 3)), rng.uniform(-20, 20, (60, 3)), np.full((5, 3), 30.0)])
+    rows = [(0, 1, i, *map(float, xyz)) for i, xyz in enumerate(cloud)] + [(0, 2, 0, 1.0, 1.0, 1.0), (0, 2, 1, 1.0, 1.0, 3.0)]
+    out = refinement.core_distances(spark.createDataFrame(rows, "scene_id long, sweep_idx int, point_idx int, x double, y double, z double"), 4, 0.175).collect()
+    d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(axis=2))
+    want = {(1, i): c for i, c in enumerate(np.sort(d, axis=1)[:, 3].tolist())} | {(2, 0): 2.0, (2, 1): 2.0}
+    assert {(r.sweep_idx, r.point_idx): r.core for r in out} == want and len(out) == len(want)
+    assert sum(pairs) < 60 * len(rows)
+
+
 def test_ties_do_not_depend_on_the_tree():
     rng = np.random.default_rng(3)
     for _ in range(200):
