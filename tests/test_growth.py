@@ -130,3 +130,18 @@ def test_trials_are_one_chain(spark, monkeypatch):
     assert [(r.tp, r.fp, r.fn, r.tn) for r in out] == alone and [(r.trial_id, r.cluster_epsilon, r.cluster_least) for r in out] == [(i, *t) for i, t in enumerate(trials)]
     assert len(set(alone)) > 1 and len(counted) <= few
     assert experiments.sweep_refinement(every, every, gt, p, []).isEmpty()
+
+
+def test_rows_that_look_few_are_not_broadcast(spark, monkeypatch):
+    """Spark's estimates by files of few bytes a row, and of rows before an explode, lie below its threshold here: these joins have a hint."""
+    rows = [(0, 1, i, 0.3 * (i % 20), 0.2 * (i // 20), 0.1 * (i % 3), DYNAMIC) for i in range(200)]
+    points = session.saved(spark.createDataFrame(rows, "scene_id long, sweep_idx int, point_idx int, gx double, gy double, gz double, label byte"))
+    plans = []
+    monkeypatch.setattr(refinement, "saved", lambda df, by=(): (plans.append(df._jdf.queryExecution().executedPlan().toString()), session.saved(df, by))[1])
+    clusters = session.saved(refinement.cluster_density(points, queries.CLUSTERS))
+    refinement.core_distances(points.withColumnsRenamed({"gx": "x", "gy": "y", "gz": "z"}), 4, 0.2)
+    joins = [line for text in plans for line in text.splitlines() if "Join " in line]
+    assert joins and not any("BroadcastHashJoin" in line and ("cx#" in line or "point_idx#" in line) for line in joins)
+    for joined in (evaluation.match_gt(points, session.saved(points.select(*KEY))), refinement.drop_noise(points, clusters)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
